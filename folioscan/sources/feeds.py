@@ -10,8 +10,9 @@ from ..functions import text as tx
 RECORD = "id string, datestamp string, title string, authors array<string>, categories array<string>, published string, updated string, abstract string, comment string, doi string, journalRef string, deleted boolean"
 
 _AUTHOR = "struct<keyname: string, forenames: string>"
-_BODY = f"id string, created string, updated string, title string, categories string, abstract string, comments string, doi string, `journal-ref` string, authors struct<author: array<{_AUTHOR}>>"
-FEED = f"header struct<_status: string, identifier: string, datestamp: string>, metadata struct<arXiv: struct<{_BODY.replace(' string', ': string').replace('authors struct', 'authors: struct')}>>"
+_TEXT = "id created updated title categories abstract comments doi journal-ref".split()
+_BODY = ", ".join(f"`{name}`: string" for name in _TEXT)
+FEED = f"header struct<_status: string, identifier: string, datestamp: string>, metadata struct<arXiv: struct<{_BODY}, authors: struct<author: array<{_AUTHOR}>>>>"
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

@@ -98,3 +98,16 @@ def test_streamed_sync_and_debounce(spark, tmp_path):
     q.awaitTermination()
     got = {(r.key, r.saved_at) for r in spark.table("saves").collect()}
     assert ("k", 1400) in got
+
+
+def test_exports(spark, tmp_path):
+    from folioscan.sources import exports
+
+    notes = spark.createDataFrame([("1", "n", 4, True)], "paper_id string, body string, updated_at long, deleted boolean")
+    exports.write_state({"notes": notes, "updated_at": 4}, str(tmp_path / "state"))
+    back = exports.read_state(spark, str(tmp_path / "state"), {"notes": notes.schema, "library": notes.schema})
+    assert back["notes"].collect() == notes.collect() and back["updated_at"] == 4 and "library" not in back
+    papers = spark.createDataFrame([("1", "On Deep Nets", ["Ann Lee"], "2024-01-05", ["cs.LG"])], "id string, title string, authors array<string>, published string, categories array<string>")
+    entries = spark.createDataFrame([("1", False), ("2", False)], "paper_id string, deleted boolean")
+    assert exports.citations(entries, papers).first().entry.startswith("@misc{lee2024deep,")
+    exports.write_citations(entries, papers, str(tmp_path / "bib"))

@@ -53,6 +53,7 @@ def read_docs(spark: SparkSession, path: str, chunks: list[int]) -> DataFrame:
 
 def find_ids(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     """(id, doc_id) of identifiers, versions left off; unknown ones are null."""
-    known = spark.read.parquet(f"{path}/ids").select("id_shard", F.col("id").alias("known"), "doc_id")
+    # With a schema, as shards such as 2402 would be read as numbers.
+    known = spark.read.schema("id string, doc_id long, id_shard string").parquet(f"{path}/ids").select("id_shard", F.col("id").alias("known"), "doc_id")
     asked = ids.select("id", tx.strip_version(F.col("id")).alias("bare")).withColumn("s", tx.id_shard_key(F.col("bare")))
     return asked.join(known, (F.col("s") == F.col("id_shard")) & (F.col("bare") == F.col("known")), "left").select("id", "doc_id")

@@ -2,48 +2,45 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
-
-#: Rows in one Arrow batch sent to Python. Long texts make rows large, so batches are short.
-ARROW_ROWS = 256
+from pyspark.sql import SparkSession
 
+from ..storage import cut, shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one when unset.
+__all__ = ["ARROW_ROWS", "Hashed", "batches", "cut", "mix32", "mix64", "released", "shared_dir", "stored"]
 
-    The temporary folder serves local sessions (tests); a cluster names its own.
-    """
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        current = sc._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="folioscan-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(path)
-    return path
+#: Rows in one Arrow batch sent to Python. Long texts make rows large, so batches are short.
+ARROW_ROWS = 256
+#: Rows that the Parquet reader decodes at a time; with its default, texts fill tens of MB for each task.
+READ_ROWS = 512
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a small frame in the shared folder, so that lost executors lose nothing of it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Bound the rows of a batch: one of very long texts must fit a Python worker, and the reader."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as a Parquet table in the shared folder and read it back: a compressed, columnar lineage cut."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+@contextmanager
+def released() -> Iterator[None]:
+    """Give a Python worker's free memory back to the system at the end: idle workers outlive their task."""
+    try:
+        yield
+    finally:
+        import gc
 
+        import pyarrow
 
-def batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows of an Arrow batch: a batch of very long texts must fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library: nothing to trim
 
 
 def mix32(x: np.ndarray) -> np.ndarray:
@@ -67,7 +64,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class Hashed(dict):
     """word -> 64-bit hash, remembered for up to ``most`` words; then it starts afresh."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 

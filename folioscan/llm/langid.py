@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mix64
+from .common import batches, mix64, released
 
 UND = "und"
 #: Whether a code point is a letter; the last entry stands for those beyond the two first planes.
@@ -175,8 +175,9 @@ def detect(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
     @F.pandas_udf("lang_pred string, score double")
     def decided(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         f = sent.value
-        for texts in parts:
-            yield pd.DataFrame([decide(x, f) for x in texts], columns=["lang_pred", "score"])
+        with released():
+            for texts in parts:
+                yield pd.DataFrame([decide(x, f) for x in texts], columns=["lang_pred", "score"])
 
     found = docs.withColumn("_lang", decided(F.col(text)))
     return found.withColumn("lang_pred", F.col("_lang.lang_pred")).withColumn("score", F.col("_lang.score")).drop("_lang")

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashed, batches, cut, mix32, mix64, stored
+from .common import Hashed, batches, cut, mix32, mix64, released, stored
 from .graph import components
 
 
@@ -140,13 +140,15 @@ def described(docs: DataFrame, key: str, text: str, p: Params) -> DataFrame:
     def describe(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        words = Words(300_000)
-        for texts in parts:
-            rows = []
-            for x in texts:
-                found = shingles(x, p.shingle, words)
-                rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), signature(found, p).tobytes()) if len(found) else (0, None, None))
-            yield pd.DataFrame(rows, columns=["n", "digest", "sig"])
+        words = Words()
+        with released():
+            for texts in parts:
+                rows = []
+                for x in texts:
+                    found = shingles(x, p.shingle, words)
+                    rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), signature(found, p).tobytes()) if len(found) else (0, None, None))
+                yield pd.DataFrame(rows, columns=["n", "digest", "sig"])
+            words.clear()
 
     return docs.select(F.col(key).cast("long").alias("id"), describe(F.col(text)).alias("d")).select("id", "d.*")
 
@@ -156,9 +158,11 @@ def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, p: Params) -
 
     @F.pandas_udf("array<long>")
     def listed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = Words(300_000)
-        for texts in parts:
-            yield pd.Series([shingles(x, p.shingle, words).view(np.int64) for x in texts], dtype=object)
+        words = Words()
+        with released():
+            for texts in parts:
+                yield pd.Series([shingles(x, p.shingle, words).view(np.int64) for x in texts], dtype=object)
+            words.clear()
 
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("x")).join(ids, "id", "left_semi")
     return texts.select("id", listed("x").alias("s"))

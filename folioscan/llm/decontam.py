@@ -36,9 +36,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered, NOT_WORD), "")
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """A broadcast hint, if the frame is counted to be small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST else df
+def bounded(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """A broadcast hint, if the frame's rows, or their summed ``size``, are counted to be few enough."""
+    total = df.agg(F.count(F.lit(1)) if size is None else F.sum(size)).first()[0]
+    return F.broadcast(df) if (total or 0) <= BROADCAST else df
 
 
 def items_of(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -76,7 +77,7 @@ def alignments(docs: DataFrame, items: DataFrame, width: int, key: str = "doc_id
     index = stored(postings(docs, cut(offsets.select("term").distinct()), key, text), "postings")
     lists = index.join(offsets, "term").select("doc_id", "rid", "at", (F.col("pos") - F.col("at")).alias("delta"))
     met = lists.groupBy("doc_id", "rid", "delta").agg(F.collect_set("at").alias("ats"))
-    pairs = windows.groupBy("rid").agg(F.collect_set(F.struct("first", "second")).alias("pairs"))
+    pairs = bounded(cut(windows.groupBy("rid").agg(F.collect_set(F.struct("first", "second")).alias("pairs"))), F.size("pairs"))
     whole = F.exists("pairs", lambda x: F.array_contains("ats", x["first"]) & F.array_contains("ats", x["second"]))
     return met.join(pairs, "rid").filter(whole).select("doc_id", "rid", "delta")
 
@@ -102,7 +103,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "
     more; ``hits`` the disjoint word ranges that they cover.
     """
     items = items_of(benchmark, item, item_text)
-    found = alignments(docs, items, width, key, text).join(items, "rid")
+    found = alignments(docs, items, width, key, text).join(bounded(items, F.size("w")), "rid")
     by_doc = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("item", "delta", "w")).alias("_c"))
     # Texts are joined, not their words, which would be larger.
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_x"), *[F.col(x) for x in extra])

@@ -254,6 +254,18 @@ def snapshot_round_trip(spark, sf_dir):
     return docs.join(meta, (docs["id"] == meta["id"]) & (F.col("m") == F.col("month")), "left").select("doc_id", docs["id"], "title", "abstract")
 
 
+@query(f"with {duck.DOCS} select doc_id, doc_id // 512 as chunk, id, title, authors, categories, published, updated, abstract, cast(null as varchar) as comment, cast(null as varchar) as doi, cast(null as varchar) as journal_ref from docs")
+def snapshot_round_trip_whole(spark, sf_dir):
+    """Every document of every display chunk with all its metadata, read back from a written snapshot."""
+    path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    snapshots.write_snapshot(built(spark, sf_dir), path)
+    snapshots.read_manifest(spark, path)
+    docs = snapshots.read_docs(spark, path).withColumn("m", F.regexp_replace(F.substring("published", 1, 7), "-", ""))
+    meta = spark.read.option("basePath", f"{path}/meta").parquet(f"{path}/meta").withColumn("month", F.col("month").cast("string"))
+    found = docs.join(meta, (docs["id"] == meta["id"]) & (F.col("m") == F.col("month")), "left")
+    return found.select("doc_id", F.col("chunk").cast("long").alias("chunk"), docs["id"], "title", "authors", "categories", "published", "updated", "abstract", "comment", "doi", "journal_ref")
+
+
 # Search
 
 

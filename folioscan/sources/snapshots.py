@@ -47,8 +47,10 @@ def read_postings(spark: SparkSession, path: str, terms: list[str], prefix_lengt
     return postings.filter(F.col("shard").isin(*shards) & F.col("term").isin(*terms))
 
 
-def read_docs(spark: SparkSession, path: str, chunks: list[int]) -> DataFrame:
-    return spark.read.parquet(f"{path}/docs").filter(F.col("chunk").isin(*chunks))
+def read_docs(spark: SparkSession, path: str, chunks: list[int] | None = None) -> DataFrame:
+    """Display rows of some chunks, or of all."""
+    docs = spark.read.parquet(f"{path}/docs")
+    return docs if chunks is None else docs.filter(F.col("chunk").isin(*chunks))
 
 
 def find_ids(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:

@@ -432,6 +432,15 @@ def notes_search(spark, sf_dir):
     return st.search_notes(notes, marks, " TION ").drop("title")
 
 
+@query("select case when turn % 2 = 0 then 'note' else 'highlight' end as source, cast(conv_id as varchar) || '-' || turn as paper_id, case when turn % 2 = 0 then text else '\"' || text || '\"' end as body from conversations where contains(lower(text), 'tion')")
+def notes_search_whole(spark, sf_dir):
+    """All turns are searched: the even ones as notes, the odd ones as highlights."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("paper_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).withColumn("deleted", F.lit(False))
+    notes = rows.filter("turn % 2 = 0").select("paper_id", F.col("text").alias("body"), "deleted")
+    marks = rows.filter("turn % 2 <> 0").select("paper_id", F.col("text").alias("exact"), F.lit(None).cast("string").alias("note"), "deleted")
+    return st.search_notes(notes, marks, " TION ").drop("title")
+
+
 @query("select event_id, case when least(value / 490, 1e0) > 0.95 then 'finished' when least(value / 490, 1e0) > 0.02 then 'reading' else 'unread' end as status from events")
 def status_promotion(spark, sf_dir):
     percent = F.least(F.col("value") / 490, F.lit(1.0))

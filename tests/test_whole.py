@@ -19,3 +19,10 @@ def test_snapshot_reads_every_chunk(spark):
     want = rows_of("documents", f"with {duck.DOCS} select doc_id, id, title, abstract from docs")
     assert len({r.chunk for r in got}) > 1
     assert sorted((r.doc_id, r.id, r.title, r.abstract) for r in got) == sorted(want)
+
+
+def test_notes_of_every_turn_are_searched(spark):
+    """Turns after the first two give hits, and every turn that holds the query is one."""
+    got = {r.paper_id for r in catalogue.QUERIES["notes_search_whole"](spark, MEDIUM).collect()}
+    want = rows_of("conversations", "select conv_id || '-' || turn from conversations where contains(lower(text), 'tion')")
+    assert got == {x for x, in want} and any(int(x.split("-")[1]) > 1 for x in got)

@@ -2,11 +2,13 @@
 
 A tokenizer feeds a tree builder that knows void elements, raw-text elements, comments and implied
 tags (a new paragraph, list item, row or cell closes the open one; a block closes an open
-paragraph). Subtrees that are not rendered are dropped: head matter, scripts, styles, templates,
-``hidden`` and ``display:none`` or ``visibility:hidden`` elements, ``input type=hidden``. The rest is
-laid out as text: inline runs collapse their white space, blocks stand on lines of their own with a
+paragraph; what may not stand in an open head closes it; a tag of HTML closes open SVG or MathML).
+Subtrees that are not rendered are dropped: head matter, scripts, styles, templates, closed dialogs,
+``hidden`` and ``display:none`` or ``visibility:hidden`` elements, ``input type=hidden``, annotations
+of MathML, and of SVG all but ``text`` and ``foreignObject`` (what ``use`` refers to is not copied).
+The rest is laid out as text: inline runs collapse their white space, blocks stand on lines of their own with a
 blank line around paragraphs, headings, lists and tables, list items get bullets or numbers and
-indentation, ``pre`` keeps its spacing, ``br`` breaks, and the cells of a table are padded to the
+indentation, ``pre`` keeps the spacing of all text below it, ``br`` breaks, and the cells of a table are padded to the
 width of their column.
 
 Defined results: null or empty markup renders as the empty text; markup without tags is its collapsed
@@ -30,10 +32,20 @@ from .common import batches
 # Element names of the HTML standard, by how they build or lay out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas svg math datalist param source track link meta base area dialog".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
+UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas datalist param source track link meta base area".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl table blockquote pre figure fieldset hr".split())
 ENDS_P = BLOCK - frozenset("body html li dd dt td th tr tbody thead tfoot caption legend option optgroup summary".split())
+#: What may stand in a head: any other tag, or text, closes it.
+IN_HEAD = frozenset("html head title base basefont bgsound link meta noframes noscript script style template".split())
+#: Elements of SVG and MathML that aren't rendered, and those whose children are HTML again.
+UNSEEN_WITHIN = {
+    "svg": frozenset("defs desc title metadata symbol clippath mask pattern marker filter lineargradient radialgradient style script".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
+HTML_WITHIN = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext".split())}
+#: Tags that close open SVG and MathML.
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: An opening tag closes the nearest open one of the first set, unless one of the second stands between.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -54,20 +66,33 @@ NOT_SHOWN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|visibilit
 QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 STYLE = re.compile(r"\bstyle\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 START = re.compile(r"\bstart\s*=\s*[\"']?(-?\d{1,9})", re.I)
+OPEN = re.compile(r"(?:^|[\s/])open(?=[\s=/]|$)", re.I)
+OFF = re.compile(r"(?:^|\s)(?:display\s*=\s*[\"']?\s*none|visibility\s*=\s*[\"']?\s*(?:hidden|collapse))", re.I)
+AS_HTML = re.compile(r"\bencoding\s*=\s*[\"']?\s*(?:text/html|application/xhtml\+xml)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 DEEPEST = 40
 
 
 class Node:
-    __slots__ = ("name", "attrs", "children")
+    __slots__ = ("name", "attrs", "children", "space", "drawn")
+
+    def __init__(self, name: str, attrs: str = "", space: str = "", drawn: bool = True):
+        """``space``: svg, math, or none for HTML; ``drawn``: whether text directly below is."""
+        self.name, self.attrs, self.children, self.space, self.drawn = name, attrs, [], space, drawn
 
-    def __init__(self, name: str, attrs: str = ""):
-        self.name, self.attrs, self.children = name, attrs, []
+    @property
+    def within(self) -> str:
+        """The space of the elements below."""
+        if self.space and (self.name in HTML_WITHIN[self.space] or self.name == "annotation-xml" and AS_HTML.search(self.attrs)):
+            return ""
+        return self.space
 
 
-def shown(name: str, attrs: str) -> bool:
+def shown(name: str, attrs: str, space: str = "") -> bool:
     """The visibility rules for an element of its own."""
-    if name in UNSEEN:
+    if name in UNSEEN_WITHIN[space] or OFF.search(attrs) if space else name in UNSEEN:
+        return False
+    if name == "dialog" and not space and not OPEN.search(QUOTED.sub('""', attrs)):
         return False
     if not attrs or not NOT_SHOWN.search(attrs):
         return True
@@ -84,8 +109,13 @@ def build(markup: str) -> Node:
     stack, unseen = [root], 0  # unseen: how deep the innermost open unseen elements reach
 
     def text(raw: str) -> None:
-        if raw and not unseen:
-            stack[-1].children.append(entities(raw) if "&" in raw else raw)
+        if not raw or unseen and stack[-1].name != "head":
+            return
+        raw = entities(raw) if "&" in raw else raw
+        if stack[-1].name == "head" and raw.strip(" \t\n\r\f"):
+            pop(len(stack) - 1)
+        if not unseen and stack[-1].drawn:
+            stack[-1].children.append(raw)
 
     def close(names, barred) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -111,9 +141,12 @@ def build(markup: str) -> Node:
         at = m.end()
         name = m["name"]
         if name is None:
-            text(m["cdata"] or "")
+            if m["cdata"] and stack[-1].name != "head":
+                text(m["cdata"])
             continue
         name = name.lower()
+        if stack[-1].name == "head" and (name in ("body", "html", "br") if m["end"] else name not in IN_HEAD):
+            pop(len(stack) - 1)
         if m["end"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
@@ -126,21 +159,32 @@ def build(markup: str) -> Node:
                     stack[-1].children.append(Node("p"))
             continue
         attrs = m["attrs"]
-        if name in IMPLIED:
+        if name in BREAKS_OUT and stack[-1].within:
+            pop(next(k for k in range(len(stack) - 1, -1, -1) if not stack[k].within) + 1)
+        above = stack[-1]
+        space = name if name in ("svg", "math") else above.within
+        empty = bool(space) and attrs.endswith("/")
+        if space:
+            pass
+        elif name in IMPLIED:
             close(*IMPLIED[name])
         elif name in ENDS_P:
             close({"p"}, {"table", "td", "th", "li", "dd", "dt", "caption", "button", "object", "body", "template"})
-        node = Node(name, attrs)
-        visible = shown(name, attrs)
+        # Of SVG, text is drawn in `text` and in what is HTML again.
+        drawn = space != "svg" or name in ("text", "foreignobject") or name != "svg" and above.space == "svg" and above.drawn
+        node = Node(name, attrs, space, drawn)
+        visible = shown(name, attrs, space)
+        if above.space == "math" and above.name in ("semantics", "maction") and above.children and any(isinstance(x, Node) for x in above.children):
+            visible = False  # only the first child is rendered
         if visible and not unseen:
             stack[-1].children.append(node)
-        if name in RAW:
+        if name in RAW and not empty:
             raw_end = re.compile(rf"</{re.escape(name)}\s*/?>", re.I).search(markup, at)
             body = markup[at : raw_end.start() if raw_end else len(markup)]
             if visible and not unseen:
                 node.children.append(entities(body) if name in ("textarea", "title") else body)
             at = raw_end.end() if raw_end else len(markup)
-        elif name not in VOID and not (attrs.endswith("/") and name in ("svg", "math")):
+        elif name not in VOID and not empty:
             if not visible:
                 node.children = None  # marks an unseen element that is open
                 unseen += 1
@@ -210,29 +254,36 @@ def render(markup: str | None) -> str:
     if not markup:
         return ""
     top = Lines()
-    # Frames: node, next child, the Lines that it writes to, and its own data (list counter, table rows).
-    todo: list[list] = [[build(markup), 0, top, None]]
+    # Frames: node, next child, the Lines that it writes to, its own data (list counter, table rows), and
+    # whether it is, or is below, a pre.
+    todo: list[list] = [[build(markup), 0, top, None, False]]
     nested = 0
     while todo:
         frame = todo[-1]
-        node, k, out, data = frame
+        node, k, out, data, kept = frame
         if k < len(node.children):
             frame[1] += 1
             child = node.children[k]
             if isinstance(child, str):
-                if node.name == "pre" and data is not None:
+                if node.name in ("table", "tbody", "thead", "tfoot", "tr") and not child.strip():
+                    pass
+                elif kept:
                     first, *more = child.split("\n")
                     out.open()
                     out.now += first
                     for line in more:
                         out.lines.append(out.now)
                         out.now = line
-                elif not (node.name in ("table", "tbody", "thead", "tfoot", "tr") and not child.strip()):
+                else:
                     out.inline(child)
                 continue
             name, own, extra = child.name, out, None
             if name == "br":
-                if out.now:
+                if kept:
+                    out.open()
+                    out.lines.append(out.now)
+                    out.now = ""
+                elif out.now:
                     out.end()
                 else:
                     out.gap = min(out.gap + 1, 1) if out.lines else 0
@@ -260,7 +311,9 @@ def render(markup: str | None) -> str:
                     table[3]["rows"].append([])
             elif name == "pre":
                 extra = {}
-            todo.append([child, 0, own, extra])
+            elif name == "text" and child.space:
+                out.inline(" ")
+            todo.append([child, 0, own, extra, kept or name == "pre"])
             continue
         todo.pop()
         name = node.name
@@ -293,6 +346,8 @@ def render(markup: str | None) -> str:
         elif name == "pre" and data is not None and out.now:
             out.lines.append(out.now)
             out.now = ""
+        elif name == "text" and node.space:
+            out.inline(" ")
         if name in BLOCK:
             out.end(1 if name in SPACED and not (name in ("ul", "ol") and todo and todo[-1][0].name == "li") else 0)
     top.end()

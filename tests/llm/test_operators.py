@@ -226,6 +226,33 @@ def test_html_rendering(markup, text):
     assert html.render(markup) == text
 
 
+@pytest.mark.parametrize(
+    "markup, text",
+    [
+        ("<head><title>t</title><p>Hello", "Hello"),
+        ("<html><head><meta charset=utf-8><style>p{}</style>\n<title>t</title>\nHello <b>you</b>", "Hello you"),
+        ("<head><noscript><img src=x>no</noscript><template><p>no</template><script>no</script> \n</head><p>yes", "yes"),
+        ("<head><title>t</title></body>x", "x"),
+        ("a <math><mi>x</mi><mo>=</mo><mspace/><mn>1</mn></math> b", "a x=1 b"),
+        ("<math><semantics><mi>x</mi><annotation encoding='application/x-tex'>\\x</annotation></semantics><mphantom><mi>no</mi></mphantom></math>", "x"),
+        ("<svg><title/><desc>no</desc><defs><text>no</text></defs><g>no<path d='M0'/><text>one</text><text x=1>t<tspan>wo</tspan></text></g></svg>!", "one two !"),
+        ("<svg><text display='none'>no</text><foreignObject><p>a<p>b</foreignObject></svg>", "a\n\nb"),
+        ("<svg><path><p>out", "out"),
+        ("a<dialog>no</dialog><dialog open>yes</dialog><dialog class='open'>no</dialog>b", "a\nyes\nb"),
+        ("<pre><code>if x:\n    <span class=k>return</span>  y\n\nz</code></pre>end", "if x:\n    return  y\n\nz\n\nend"),
+        ("<pre><b>a  b</b><br><br>  c</pre>", "a  b\n\n  c"),
+    ],
+)
+def test_html_shows_what_browsers_show(markup, text):
+    assert html.render(markup) == text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<head>", "</head>", "<svg>", "</svg>", "<text>", "</text>", "<foreignObject>", "<math>", "<mi>", "</mi>", "</math>", "<semantics>", "<path/>", "<title/>", "<pre>", "</pre>", "<p>", "<table>", "<td>", "<br>", "x", " ", "\n"]), max_size=30).map("".join))
+def test_html_foreign_never_fails(markup):
+    assert isinstance(html.render(markup), str)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<ul>", "<li>", "</ul>", "<table>", "<tr>", "<td>", "</td>", "</table>", "<div hidden>", "</div>", "<pre>", "</pre>", "<", ">", "x", " ", "<br>", "<script>", "</script>", "<!--", "-->"]), max_size=30).map("".join))
 def test_html_never_fails(markup):

@@ -6,8 +6,10 @@ come from a bounded sample, while every vector is indexed. A list is scanned in
 vectors, rotated by a random orthogonal matrix, are read in blocks of columns: after ``d`` of ``D``
 columns a candidate is abandoned when its partial distance, scaled by ``D / d``, exceeds the query's
 bound by the factor ``(1 + epsilon / sqrt(d))^2`` (the hypothesis test of ADSampling, Gao and Long,
-2023). The bound is the distance of the query's k-th nearest vector so far, at first within the
-sample. Survivors get their inner product of the original vectors in double precision.
+2023). The bound is the distance of the query's k-th nearest vector of the sample within the lists that
+it probes; the sample gives no rows of its own, all come from scanned lists. In the nearest lists, that
+hold k vectors together, a scan leaves k at least, so that abandoned rows can't make a result short.
+Survivors get their inner product of the original vectors in double precision.
 
 Probed lists are as many as a query needs for ``recall`` on the sample, where exact search is cheap,
 and at least as many as hold k vectors.
@@ -54,6 +56,7 @@ class Index:
     rotation: np.ndarray
     sample: np.ndarray
     ids: np.ndarray
+    own: np.ndarray  # the list of each vector of the sample
     probes: int
     sizes: np.ndarray
 
@@ -131,11 +134,14 @@ def build(rows: DataFrame, p: Params = Params()) -> tuple[Index, DataFrame] | No
     sizes = np.zeros(lists, np.int64)
     for k, m in table.groupBy("list").count().collect():
         sizes[k] = m
-    return Index(p, norm, c, rotation, x, ids, probes, sizes), table
+    return Index(p, norm, c, rotation, x, ids, own, probes, sizes), table
 
 
-def scan(x: np.ndarray, q: np.ndarray, bound: float, p: Params) -> np.ndarray:
-    """The rows of ``x`` that the column blocks leave: not shown to be farther than ``bound``. Both rotated."""
+def scan(x: np.ndarray, q: np.ndarray, bound: float, p: Params, least: int = 0) -> np.ndarray:
+    """The rows of ``x`` that the column blocks leave: not shown to be farther than ``bound``. Both rotated.
+
+    ``least`` rows stay, if there are so many, those of the smallest partial distances.
+    """
     alive, partial, full = np.arange(len(x)), np.zeros(len(x)), x.shape[1]
     for at in range(0, full, p.columns):
         block = slice(at, min(at + p.columns, full))
@@ -143,6 +149,8 @@ def scan(x: np.ndarray, q: np.ndarray, bound: float, p: Params) -> np.ndarray:
         d = block.stop
         limit = bound * (1 + 1e-12) if d == full else bound * d / full * (1 + p.epsilon / np.sqrt(d)) ** 2
         keep = partial <= limit + 1e-12
+        if np.count_nonzero(keep) < least:
+            keep = np.argpartition(partial, least - 1)[:least] if len(partial) > least else np.ones(len(partial), bool)
         alive, partial = alive[keep], partial[keep]
         if not len(alive):
             break
@@ -165,18 +173,20 @@ def search(table: DataFrame, index: Index, queries: DataFrame) -> DataFrame:
             q = np.stack(part.v.to_numpy())
             near = np.argsort(squared(augment(q, None), ix.centroids), axis=1)
             held = np.cumsum(ix.sizes[near], axis=1)
-            depth = np.maximum(ix.probes, 1 + (held < ix.p.k + 1).sum(axis=1))
+            first = 1 + (held < ix.p.k + 1).sum(axis=1)  # these lists hold k others together
+            depth = np.maximum(ix.probes, first)
             known = squared(augment(q, None), deep)
             known[part.id.to_numpy()[:, None] == ix.ids] = np.inf
+            known[np.argsort(near, axis=1)[:, ix.own] >= depth[:, None]] = np.inf
             k = min(ix.p.k, known.shape[1]) - 1
             bound = np.partition(known, k, axis=1)[:, k]
             for j in range(len(part)):
                 lists = near[j, : depth[j]]
-                yield pd.DataFrame({"id": part.id.iloc[j], "v": [part.v.iloc[j]] * len(lists), "bound": bound[j], "list": lists})
+                yield pd.DataFrame({"id": part.id.iloc[j], "v": [part.v.iloc[j]] * len(lists), "bound": bound[j], "list": lists, "least": np.where(np.arange(len(lists)) < first[j], ix.p.k + 1, 0)})
 
     wide = F.create_map(*[v for k, n in enumerate(blocks) if n > 1 for v in (F.lit(k), F.lit(int(n)))]) if (blocks > 1).any() else None
     count = F.coalesce(F.element_at(wide, F.col("list")), F.lit(1)) if wide is not None else F.lit(1)
-    asked = queries.mapInPandas(probed, "id long, v array<double>, bound double, list int")
+    asked = queries.mapInPandas(probed, "id long, v array<double>, bound double, list int, least int")
     # Many queries may probe one list: they are dealt to blocks by a hash, and its vectors go to each of them.
     per_list = cut(asked.groupBy("list").count())
     halves = per_list.select("list", F.ceil(F.col("count") / p.block).cast("int").alias("qn"))
@@ -193,10 +203,10 @@ def search(table: DataFrame, index: Index, queries: DataFrame) -> DataFrame:
         order = np.argsort(ids)
         x, ids = x[order], ids[order]
         turned = np.ascontiguousarray(augment(x, ix.norm) @ ix.rotation)
-        for key, v, bound in zip(asked.id, asked.v, asked.bound):
+        for key, v, bound, least in zip(asked.id, asked.v, asked.bound, asked["least"]):
             q = np.asarray(v)
             deep = augment(q[None], None) @ ix.rotation
-            alive = scan(turned, deep[0], bound + 1e-9, ix.p)
+            alive = scan(turned, deep[0], bound + 1e-9, ix.p, least)
             alive = alive[ids[alive] != key]
             if len(alive):
                 score = (x[alive] * q).sum(axis=1)
@@ -204,20 +214,8 @@ def search(table: DataFrame, index: Index, queries: DataFrame) -> DataFrame:
                 out.append(pd.DataFrame({"query_id": key, "vec_id": ids[alive[best]], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame(columns=columns)
 
-    def known(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The sample's nearest, whose farthest is a query's bound: they are candidates too, in whatever list."""
-        ix = sent.value
-        for part in parts:
-            for key, v in zip(part.id, part.v):
-                score = (ix.sample * np.asarray(v)).sum(axis=1)
-                score[ix.ids == key] = -np.inf
-                best = np.lexsort((ix.ids, -score))[: ix.p.k]
-                best = best[np.isfinite(score[best])]
-                yield pd.DataFrame({"query_id": key, "vec_id": ix.ids[best], "score": score[best]})
-
     keys = ["list", "vb", "qb"]
-    found = stored.select(*keys, "id", "v").groupBy(*keys).cogroup(asked.select(*keys, "id", "v", "bound").groupBy(*keys)).applyInPandas(scanned, "query_id long, vec_id long, score double")
-    found = found.unionByName(queries.mapInPandas(known, "query_id long, vec_id long, score double")).distinct()
+    found = stored.select(*keys, "id", "v").groupBy(*keys).cogroup(asked.select(*keys, "id", "v", "bound", "least").groupBy(*keys)).applyInPandas(scanned, "query_id long, vec_id long, score double")
     best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return best.filter(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and on odd rows."""
 
 import collections
+import dataclasses
 import hashlib
 import re
 import zlib
@@ -190,6 +191,34 @@ def test_nearest_with_several_blocks(spark):
     assert hit / (5 * len(range(0, 600, 7))) >= 0.9 and (got.groupby("query_id").size() == 5).all()
 
 
+def test_nearest_rows_come_from_probed_lists(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((600, 16))
+    rows = ann.usable(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    index, table = ann.build(rows, ann.Params(k=10, lists=12))
+    index = dataclasses.replace(index, probes=2)
+    got = ann.search(table, index, rows.filter("id % 7 = 0")).toPandas()
+    where = table.select("id", "list").toPandas().set_index("id")["list"]
+    for q, g in got.groupby("query_id"):
+        near = np.argsort(ann.squared(ann.augment(x[q][None], None), index.centroids))[0]
+        depth = max(2, 1 + int((np.cumsum(index.sizes[near]) < 11).sum()))
+        assert set(where[g.vec_id]) <= set(near[:depth])
+        held = where.index[where.isin(near[:depth]) & (where.index != q)]
+        want = held[np.argsort(-(x[held] * x[q]).sum(axis=1))[:10]]
+        assert len(g) == 10 and len(set(want) & set(g.vec_id)) >= 8
+    assert got.query_id.nunique() == 86
+
+
+def test_nearest_recall_beyond_the_sample(spark):
+    """Parameters as in the query, on well over the 8,192 vectors of a sample."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((400, 32))[rng.integers(0, 400, 20_000)] + 0.5 * rng.standard_normal((20_000, 32))
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20_000), "embedding": x.tolist()}))
+    got = ann.nearest(rows, lambda key: key % 100 == 0).toPandas()
+    hit = sum(len(set(exact(x, np.arange(20_000), q, 20)[0]) & set(got[got.query_id == q].vec_id)) for q in range(0, 20_000, 100))
+    assert hit / (20 * 200) >= 0.95 and (got.groupby("query_id").size() == 20).all()
+
+
 def test_nearest_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0]), (9, []), (10, [0.5, 0.5]), (None, [1.0, 1.0]), (1, [1.0, 0.0])]

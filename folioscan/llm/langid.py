@@ -6,6 +6,8 @@ kept n-grams enter Bloom filters that are stored bit-sliced: slot ``s`` holds on
 so that the AND of an n-gram's slots is the set of all languages that contain it. A text's n-grams
 give a count of hits per language; a count is corrected for the filter's false positives,
 ``(hits / n - f) / (1 - f)``, and the language with the largest corrected share is the answer.
+``floors`` gives the share below which a text is taken to be in no learned language: for each language,
+a low quantile of the training texts that were recognised, less some slack.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; texts without
 learned n-grams go to the first language of equal shares by name; rows without a language do not
@@ -20,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, mix64, released
@@ -41,6 +43,8 @@ class Params:
     kept: int = 60_000
     share: float = 0.25
     least: int = 3
+    clean: float = 0.001
+    slack: float = 0.8
 
 
 @dataclass(frozen=True)
@@ -130,6 +134,17 @@ def decide(text: str | None, filters: Filters) -> tuple[str, float]:
     return filters.langs[k], float(share[k])
 
 
+def sampled(docs: DataFrame, text: str, lang: str, key: str, p: Params) -> DataFrame | None:
+    """(lang, k, x): about ``p.sample`` rows of each language, chosen by a hash of ``key``; None without any."""
+    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(key).alias("k"), F.col(text).alias("x"))
+    totals = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    part = {x: min(1 << 32, int(p.sample / n * (1 << 32))) for x, n in totals.items()}
+    if not part:
+        return None
+    limit = F.create_map(*[v for x, n in part.items() for v in (F.lit(x), F.lit(n))])
+    return rows.filter(F.coalesce(F.pmod(F.xxhash64(F.lit(29), "k"), F.lit(1 << 32)), F.lit(0)) < limit[F.col("lang")])
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", p: Params = Params()) -> Filters:
     """Learn filters from about ``p.sample`` rows of each language, chosen by a hash of ``key``.
 
@@ -138,15 +153,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     """
     from pyspark.sql import Window
 
-    spark = docs.sparkSession
-    batches(spark)
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(key).alias("k"), F.col(text).alias("x"))
-    totals = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    part = {x: min(1 << 32, int(p.sample / n * (1 << 32))) for x, n in totals.items()}
-    if not part:
+    batches(docs.sparkSession)
+    rows = sampled(docs, text, lang, key, p)
+    if rows is None:
         return Filters(p, [])
-    limit = F.create_map(*[v for x, n in part.items() for v in (F.lit(x), F.lit(n))])
-    rows = rows.filter(F.coalesce(F.pmod(F.xxhash64(F.lit(29), "k"), F.lit(1 << 32)), F.lit(0)) < limit[F.col("lang")])
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got: dict[str, list[np.ndarray]] = {}
@@ -181,3 +191,19 @@ def detect(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
 
     found = docs.withColumn("_lang", decided(F.col(text)))
     return found.withColumn("lang_pred", F.col("_lang.lang_pred")).withColumn("score", F.col("_lang.score")).drop("_lang")
+
+
+def floors(docs: DataFrame, filters: Filters, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, float]:
+    """The least score of a text in each language, learned from the texts that trained and were recognised."""
+    p = filters.p
+    rows = sampled(docs, text, lang, key, p)
+    if rows is None:
+        return {}
+    right = detect(rows, filters, "x").filter(F.col("lang_pred") == F.col("lang"))
+    return {r[0]: p.slack * r[1] for r in right.groupBy("lang").agg(F.percentile("score", F.lit(p.clean))).collect()}
+
+
+def known(least: dict[str, float]) -> Column:
+    """Whether a detected row is in a learned language: its score isn't 0, nor below its language's floor."""
+    floor = F.create_map(*[F.lit(v) for x in least.items() for v in x])[F.col("lang_pred")] if least else F.lit(0.0)
+    return (F.col("lang_pred") != UND) & (F.col("score") > 0) & (F.col("score") >= F.coalesce(floor, F.lit(0.0)))

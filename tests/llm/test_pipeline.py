@@ -36,3 +36,13 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, MEDIUM)
         assert docs.count() == 0
+
+
+def test_languages_that_were_not_learned_go(spark):
+    """Other scripts, another language and gibberish go; all documents with a letter stay."""
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    clean = {d for d, t in zip(*[read("documents", MEDIUM)[c] for c in ("doc_id", "text")]) if t and any(map(str.isalpha, t))}
+    foreign = ["Съешь же ещё этих мягких французских булок да выпей чаю", "これは日本語の文章です。とても簡単です。", "Toto je česká věta o počasí a jídle", "xqzv jkwp zzxq vvkj qqwx"]
+    more = spark.createDataFrame([(-1 - k, x, None, "s", len(x)) for k, x in enumerate(foreign)], docs.schema)
+    kept = corpus_pipeline.language(spark, docs.unionByName(more), MEDIUM).collect()
+    assert {r.doc_id for r in kept} == clean

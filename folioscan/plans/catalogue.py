@@ -512,6 +512,25 @@ def html_abstract(spark, sf_dir):
     return sr.structure(paper_pages(spark)).select("n", F.col("doc").isNotNull().alias("available"), "doc.abstract")
 
 
+def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sr.structure(spark.read.parquet(f"{sf_dir}/pages.parquet"), any_body=True)
+
+
+@query()
+def reading_units_whole(spark, sf_dir):
+    return page_structure(spark, sf_dir).select("page_id", F.explode("doc.units").alias("u")).select("page_id", "u.*")
+
+
+@query()
+def html_toc_whole(spark, sf_dir):
+    return page_structure(spark, sf_dir).select("page_id", F.explode("doc.toc").alias("t")).select("page_id", "t.id", "t.label", "t.level")
+
+
+@query()
+def html_abstract_whole(spark, sf_dir):
+    return page_structure(spark, sf_dir).select("page_id", F.col("doc").isNotNull().alias("available"), "doc.abstract")
+
+
 @query()
 def html_text(spark, sf_dir):
     return sr.structure(spark.read.parquet(f"{sf_dir}/pages.parquet"), any_body=True).select("page_id", "doc.text")
@@ -530,6 +549,13 @@ def quote_anchors(spark, sf_dir):
     return rows.select("doc_id", F.lit(10).alias("start"), "a.exact", sr.locate(F.col("text"), F.col("a")).isNotNull().alias("found"))
 
 
+@query("select doc_id, 10 as start, substr(text, 11, 20) as exact, length(text) > 10 as found from documents")
+def quote_anchors_whole(spark, sf_dir):
+    """Texts too short for a whole quotation have a part of it, or none."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", sr.quote_anchor(F.col("text"), F.lit(10), F.lit(20)).alias("a"))
+    return rows.select("doc_id", F.lit(10).alias("start"), "a.exact", F.when(F.col("text").isNotNull(), sr.locate(F.col("text"), F.col("a")).isNotNull()).alias("found"))
+
+
 # Streams
 
 
@@ -548,3 +574,10 @@ def stream_bookmark(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("event_type").alias("set_name"), F.col("ts").cast("date").cast("string").alias("datestamp"))
     marks = streams.bookmark(events.filter("event_id % 3 <> 0"), "set_name")
     return streams.since_bookmark(events, marks, "1970-01-01", "set_name").select("event_id", "set_name")
+
+
+@query("with m as (select event_type as set_name, max(cast(ts as date)) as day from events group by 1) select event_id, event_type as set_name from events e left join m on e.event_type = m.set_name where cast(ts as date) >= coalesce(day, date '1970-01-01')")
+def stream_bookmark_whole(spark, sf_dir):
+    """The marks come from all events."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("event_type").alias("set_name"), F.col("ts").cast("date").cast("string").alias("datestamp"))
+    return streams.since_bookmark(events, streams.bookmark(events, "set_name"), "1970-01-01", "set_name").select("event_id", "set_name")

@@ -26,3 +26,10 @@ def test_notes_of_every_turn_are_searched(spark):
     got = {r.paper_id for r in catalogue.QUERIES["notes_search_whole"](spark, MEDIUM).collect()}
     want = rows_of("conversations", "select conv_id || '-' || turn from conversations where contains(lower(text), 'tion')")
     assert got == {x for x, in want} and any(int(x.split("-")[1]) > 1 for x in got)
+
+
+def test_short_texts_have_anchors_and_pages_have_structure(spark):
+    got = catalogue.QUERIES["quote_anchors_whole"](spark, MEDIUM)
+    assert got.count() == rows_of("documents", "select count(*) from documents")[0][0]
+    pages = {r.page_id for r in catalogue.QUERIES["html_abstract_whole"](spark, MEDIUM).collect()}
+    assert pages == {x for x, in rows_of("pages", "select page_id from pages")}

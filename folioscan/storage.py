@@ -7,26 +7,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_temporary: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session.
+
+    A local session without one gets a temporary folder, as in tests; on a cluster that would be a
+    folder of the driver alone, so there it is an error.
+    """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="folioscan-")
-        sc._conf.set("spark.checkpoint.dir", path)
-        sc.setCheckpointDir(path)
-    return path
+    if path:
+        return path
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _temporary:
+        _temporary[sc.applicationId] = tempfile.mkdtemp(prefix="folioscan-")
+        sc.setCheckpointDir(_temporary[sc.applicationId])
+    return _temporary[sc.applicationId]
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of the file system that Spark would take it from."""
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    return out.replace("file:/", "file:///", 1) if out.startswith("file:/") and not out.startswith("file://") else out
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise a small frame in the shared folder."""
+    """Materialise a small frame in the shared folder; larger ones are ``stored``."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as a Parquet table in the shared folder and read it back."""
+def stored(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """Write a frame as a Parquet table in the shared folder, by columns ``parts`` if given, and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(*parts) if parts else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

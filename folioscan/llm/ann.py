@@ -2,17 +2,21 @@
 
 Largest inner products become smallest distances by one more dimension, ``sqrt(M^2 - |x|^2)`` with M
 the largest norm (0 for queries). Vectors are dealt to the lists of their nearest centroid; centroids
-come from a bounded sample, while every vector is indexed. A list is scanned in blocks. There the
-vectors, rotated by a random orthogonal matrix, are read in blocks of columns: after ``d`` of ``D``
-columns a candidate is abandoned when its partial distance, scaled by ``D / d``, exceeds the query's
-bound by the factor ``(1 + epsilon / sqrt(d))^2`` (the hypothesis test of ADSampling, Gao and Long,
-2023). The bound is the distance of the query's k-th nearest vector of the sample within the lists that
-it probes; the sample gives no rows of its own, all come from scanned lists. In the nearest lists, that
-hold k vectors together, a scan leaves k at least, so that abandoned rows can't make a result short.
-Survivors get their inner product of the original vectors in double precision.
-
-Probed lists are as many as a query needs for ``recall`` on the sample, where exact search is cheap,
-and at least as many as hold k vectors.
+come from a bounded sample, while every vector is indexed. The vectors, rotated by a random orthogonal
+matrix, are read in blocks of columns: after ``d`` of ``D`` columns a candidate is abandoned when its partial
+distance, scaled by ``D / d``, exceeds the query's bound by the factor ``(1 + epsilon / sqrt(d))^2`` (the
+hypothesis test of ADSampling, Gao and Long, 2023). Survivors get their inner product of the original
+vectors in double precision.
+
+Bounds come from scanned vectors alone, nearest lists first. A query's nearest lists, which hold k other
+vectors together, are scanned whole; the k-th of what they give bounds the scan of its other probed lists,
+and falls further as these are scanned one after the other. All rows come from scanned lists. Lists are
+packed into cells of about ``block`` vectors, larger ones are dealt to several; a cell's task meets the
+queries that probe a list of it, in blocks of ``block`` too, and a query is sent once to a cell.
+
+Probed lists are as many as queries need for ``recall`` on the sample, where exact search is cheap, and
+at least as many as hold k vectors. There are ``4 sqrt(n)`` lists, as far as the sample allows: with
+finer lists the probed share falls.
 
 Defined results: null, empty or zero vectors, those with null or non-finite components and those of
 a length other than the commonest one take no part, neither as queries nor as candidates; rows of one
@@ -30,17 +34,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 
 
 @dataclass(frozen=True)
 class Params:
-    """``sample`` bounds the vectors that centroids, bounds and probes are fitted on; ``block`` the rows of a task's block."""
+    """``sample`` bounds the vectors that centroids are fitted on, and as many others that probes are fitted on; ``block`` the vectors, and the queries, of a task."""
 
     k: int = 20
     lists: int | None = None
     sample: int = 8_192
-    recall: float = 0.985
+    recall: float = 0.95
     tuned: int = 256
     columns: int = 16
     epsilon: float = 2.1
@@ -54,11 +58,21 @@ class Index:
     norm: float
     centroids: np.ndarray
     rotation: np.ndarray
-    sample: np.ndarray
-    ids: np.ndarray
-    own: np.ndarray  # the list of each vector of the sample
     probes: int
-    sizes: np.ndarray
+    sizes: np.ndarray  # vectors of each list
+
+    def cells(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first cell of each list, and how many it is dealt to: large lists to their own, others packed together."""
+        first, many = np.zeros(len(self.sizes), np.int64), np.maximum(1, -(-self.sizes // self.p.block))
+        at, held = -1, self.p.block
+        for k, n in enumerate(self.sizes):
+            if many[k] > 1 or held + n > self.p.block:
+                at, held = at + 1, 0
+            first[k] = at
+            if many[k] > 1:
+                at, held = at + many[k] - 1, self.p.block
+            held += n
+        return first, many
 
 
 def augment(x: np.ndarray, norm: float | None) -> np.ndarray:
@@ -102,17 +116,23 @@ def build(rows: DataFrame, p: Params = Params()) -> tuple[Index, DataFrame] | No
         return None
     norm = float(np.sqrt(most))
     part = F.pmod(F.xxhash64(F.lit(p.seed), "id"), F.lit(1 << 32))
-    taken = rows if n <= p.sample else rows.filter(part < int(p.sample / n * (1 << 32)))
-    got = taken.orderBy("id").toPandas()
-    x, ids = np.stack(got.v.to_numpy()), got.id.to_numpy()
+    share = int(p.sample / n * (1 << 32))
+
+    def drawn(low: int, high: int) -> np.ndarray:
+        return np.stack(rows.filter((part >= low) & (part < high)).orderBy("id").toPandas().v.to_numpy())
+
+    x = drawn(0, 1 << 32) if n <= p.sample else drawn(0, share)
     rng = np.random.default_rng(p.seed)
-    lists = min(p.lists or int(np.clip(np.sqrt(n), 1, 4096)), max(1, len(x) // 4))
+    lists = min(p.lists or max(1, int(4 * np.sqrt(n))), max(1, len(x) // 4))
     deep = augment(x, norm)
     c = kmeans(deep, lists, rng)
     rotation = np.linalg.qr(rng.standard_normal((deep.shape[1],) * 2))[0]
-    own = np.argmin(squared(deep, c), axis=1)
 
-    # Probes: the fewest lists that hold `recall` of the neighbours of sampled queries, within the sample.
+    # Probes: the fewest lists that hold `recall` of the neighbours of sampled queries, among vectors that the centroids
+    # weren't fitted on, as most vectors are.
+    if n >= 1.25 * p.sample:
+        x = drawn(share, min(2 * share, 1 << 32))
+    own = np.argmin(squared(augment(x, norm), c), axis=1)
     tuned = rng.choice(len(x), min(p.tuned, len(x)), replace=False)
     dots = x[tuned] @ x.T
     dots[np.arange(len(tuned)), tuned] = -np.inf
@@ -130,99 +150,151 @@ def build(rows: DataFrame, p: Params = Params()) -> tuple[Index, DataFrame] | No
                 part["list"] = np.argmin(squared(augment(np.stack(part.v.to_numpy()), norm), c), axis=1)
                 yield part
 
-    table = cut(rows.mapInPandas(dealt, "id long, v array<double>, list int"))
+    table = stored(rows.mapInPandas(dealt, "id long, v array<double>, list int"), "lists")
     sizes = np.zeros(lists, np.int64)
-    for k, m in table.groupBy("list").count().collect():
+    for k, m in table.groupBy("list").count().collect():  # a row for each list
         sizes[k] = m
-    return Index(p, norm, c, rotation, x, ids, own, probes, sizes), table
-
+    return Index(p, norm, c, rotation, probes, sizes), table
 
-def scan(x: np.ndarray, q: np.ndarray, bound: float, p: Params, least: int = 0) -> np.ndarray:
-    """The rows of ``x`` that the column blocks leave: not shown to be farther than ``bound``. Both rotated.
 
-    ``least`` rows stay, if there are so many, those of the smallest partial distances.
-    """
-    alive, partial, full = np.arange(len(x)), np.zeros(len(x)), x.shape[1]
-    for at in range(0, full, p.columns):
+def survivors(x: np.ndarray, q: np.ndarray, bound: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(row of ``q``, row of ``x``) of the pairs that no block of columns shows to be farther than the query's ``bound``. Both rotated."""
+    full = x.shape[1]
+    partial, at = np.zeros((len(q), len(x))), 0
+    while at < full:
         block = slice(at, min(at + p.columns, full))
-        partial = partial + ((x[alive, block] - q[block]) ** 2).sum(axis=1)
-        d = block.stop
-        limit = bound * (1 + 1e-12) if d == full else bound * d / full * (1 + p.epsilon / np.sqrt(d)) ** 2
-        keep = partial <= limit + 1e-12
-        if np.count_nonzero(keep) < least:
-            keep = np.argpartition(partial, least - 1)[:least] if len(partial) > least else np.ones(len(partial), bool)
-        alive, partial = alive[keep], partial[keep]
-        if not len(alive):
+        at = block.stop
+        a, b = q[:, block], x[:, block]
+        partial += (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T
+        keep = partial <= allowed(bound, at, full, p)[:, None]
+        if np.count_nonzero(keep) * 4 < keep.size or at == full:
             break
-    return alive
+    i, j = np.nonzero(keep)
+    partial = partial[i, j]
+    while at < full and len(i):  # few are left: they go on one by one
+        block = slice(at, min(at + p.columns, full))
+        at = block.stop
+        partial = partial + ((q[i, block] - x[j, block]) ** 2).sum(axis=1)
+        keep = partial <= allowed(bound, at, full, p)[i]
+        i, j, partial = i[keep], j[keep], partial[keep]
+    return i, j
+
+
+def allowed(bound: np.ndarray, d: int, full: int, p: Params) -> np.ndarray:
+    """What a partial distance over ``d`` of ``full`` columns may be."""
+    return (bound if d == full else bound * d / full * (1 + p.epsilon / np.sqrt(d)) ** 2) + 1e-9
+
+
+class Best:
+    """The ``k`` largest scores so far of each query, ties to the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.score, self.id = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def add(self, i: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Pairs in order of the query's row ``i``."""
+        n, k = self.score.shape
+        rows, first, many = np.unique(i, return_index=True, return_counts=True)
+        if not len(rows):
+            return
+        # A row for each query met: what it has, then its new pairs, padded.
+        wide = np.full((len(rows), k + many.max()), -np.inf)
+        names = np.full(wide.shape, np.iinfo(np.int64).max)
+        wide[:, :k], names[:, :k] = self.score[rows], self.id[rows]
+        r = np.repeat(np.arange(len(rows)), many)
+        c = k + np.arange(len(i)) - np.repeat(first, many)
+        wide[r, c], names[r, c] = score, ids
+        order = np.lexsort((names, -wide), axis=1)[:, :k]
+        self.score[rows], self.id[rows] = np.take_along_axis(wide, order, 1), np.take_along_axis(names, order, 1)
+
+
+def scanned(ix: Index, vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """(query_id, vec_id, score): each query's ``k`` best of a cell's vectors, in the lists that it probes."""
+    p, columns = ix.p, ["query_id", "vec_id", "score"]
+    if not len(vectors) or not len(asked):
+        return pd.DataFrame(columns=columns)
+    vectors = vectors.sort_values(["list", "id"])
+    x, ids, own = np.stack(vectors.v.to_numpy()), vectors.id.to_numpy(), vectors["list"].to_numpy()
+    q, names = np.stack(asked.v.to_numpy()), asked.id.to_numpy()
+    turned, deep = augment(x, ix.norm) @ ix.rotation, augment(q, None) @ ix.rotation
+    most = (deep * deep).sum(axis=1) + ix.norm**2  # a squared distance is this less twice the inner product
+    best = Best(len(q), p.k)
+    probed = np.repeat(np.arange(len(q)), asked.lists.map(len)), np.concatenate(asked.lists.to_numpy())
+    at, ends = np.unique(own, return_index=True)
+    for k, a, b in zip(at, ends, [*ends[1:], len(own)]):
+        mine = probed[0][probed[1] == k]
+        if not len(mine):
+            continue
+        bound = np.minimum(asked.bound.to_numpy()[mine], most[mine] - 2 * best.score[mine, -1])
+        i, j = survivors(turned[a:b], deep[mine], bound, p)
+        ok = ids[a:b][j] != names[mine[i]]
+        i, j = mine[i[ok]], a + j[ok]
+        score = np.empty(len(i))
+        for s in range(0, len(i), 1 << 16):
+            score[s : s + (1 << 16)] = (x[j[s : s + (1 << 16)]] * q[i[s : s + (1 << 16)]]).sum(axis=1)
+        best.add(i, ids[j], score)
+    i, c = np.nonzero(best.score > -np.inf)
+    return pd.DataFrame({"query_id": names[i], "vec_id": best.id[i, c], "score": best.score[i, c]})
+
+
+def met(table: DataFrame, ix: Index, asked: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score) of queries (id, v, bound, lists) with the vectors of these lists."""
+    first, many = ix.cells()
+    p = ix.p
+    spark = table.sparkSession
+    cells = F.broadcast(spark.createDataFrame(pd.DataFrame({"list": np.arange(len(first), dtype=np.int32), "first": first, "many": many})))  # a row for each list
+    placed = table.join(cells, "list").select("id", "v", "list", (F.col("first") + F.pmod(F.xxhash64(F.lit(1), "id"), "many")).alias("cell"))
+    each = asked.select("id", F.explode("lists").alias("list")).join(cells, "list")
+    each = each.select("id", "list", F.explode(F.sequence("first", F.col("first") + F.col("many") - 1)).alias("cell"))
+    by_cell = each.groupBy("id", "cell").agg(F.collect_list("list").alias("lists"))  # a cell's lists at most
+    # Many queries may meet in one cell: they are dealt to blocks by a hash, and its vectors go to each of them.
+    blocks = stored(each.groupBy("cell").agg(F.ceil(F.count_distinct("id") / p.block).cast("int").alias("blocks")), "blocks")
+    by_cell = by_cell.join(blocks, "cell").select("id", "cell", "lists", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
+    sides = asked.select("id", "v", "bound").join(by_cell, "id")
+    placed = placed.join(blocks, "cell").select("id", "v", "list", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    sent = spark.sparkContext.broadcast(ix)
+
+    def task(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        return scanned(sent.value, vectors, asked)
+
+    return placed.groupBy("cell", "block").cogroup(sides.groupBy("cell", "block")).applyInPandas(task, "query_id long, vec_id long, score double")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def search(table: DataFrame, index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of the table's vectors to each of ``queries`` (id, v), itself left out."""
     p = index.p
-    spark = table.sparkSession
-    sent = spark.sparkContext.broadcast(index)
-    blocks = np.maximum(1, -(-index.sizes // p.block))
+    sent = table.sparkSession.sparkContext.broadcast(index)
 
     def probed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = sent.value
-        deep = augment(ix.sample, ix.norm)
         for part in parts:
-            if not len(part):
-                continue
-            q = np.stack(part.v.to_numpy())
-            near = np.argsort(squared(augment(q, None), ix.centroids), axis=1)
-            held = np.cumsum(ix.sizes[near], axis=1)
-            first = 1 + (held < ix.p.k + 1).sum(axis=1)  # these lists hold k others together
-            depth = np.maximum(ix.probes, first)
-            known = squared(augment(q, None), deep)
-            known[part.id.to_numpy()[:, None] == ix.ids] = np.inf
-            known[np.argsort(near, axis=1)[:, ix.own] >= depth[:, None]] = np.inf
-            k = min(ix.p.k, known.shape[1]) - 1
-            bound = np.partition(known, k, axis=1)[:, k]
-            for j in range(len(part)):
-                lists = near[j, : depth[j]]
-                yield pd.DataFrame({"id": part.id.iloc[j], "v": [part.v.iloc[j]] * len(lists), "bound": bound[j], "list": lists, "least": np.where(np.arange(len(lists)) < first[j], ix.p.k + 1, 0)})
-
-    wide = F.create_map(*[v for k, n in enumerate(blocks) if n > 1 for v in (F.lit(k), F.lit(int(n)))]) if (blocks > 1).any() else None
-    count = F.coalesce(F.element_at(wide, F.col("list")), F.lit(1)) if wide is not None else F.lit(1)
-    asked = queries.mapInPandas(probed, "id long, v array<double>, bound double, list int, least int")
-    # Many queries may probe one list: they are dealt to blocks by a hash, and its vectors go to each of them.
-    per_list = cut(asked.groupBy("list").count())
-    halves = per_list.select("list", F.ceil(F.col("count") / p.block).cast("int").alias("qn"))
-    asked = asked.join(halves, "list").withColumn("qb", F.pmod(F.xxhash64("id"), F.col("qn")).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), count - 1)))
-    stored = table.join(halves, "list").withColumn("vb", F.pmod(F.xxhash64(F.lit(1), "id"), count).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)))
-
-    def scanned(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        ix, out = sent.value, []
-        columns = ["query_id", "vec_id", "score"]
-        if not len(vectors) or not len(asked):
-            return pd.DataFrame(columns=columns)
-        k = ix.p.k
-        x, ids = np.ascontiguousarray(np.stack(vectors.v.to_numpy())), vectors.id.to_numpy()
-        order = np.argsort(ids)
-        x, ids = x[order], ids[order]
-        turned = np.ascontiguousarray(augment(x, ix.norm) @ ix.rotation)
-        for key, v, bound, least in zip(asked.id, asked.v, asked.bound, asked["least"]):
-            q = np.asarray(v)
-            deep = augment(q[None], None) @ ix.rotation
-            alive = scan(turned, deep[0], bound + 1e-9, ix.p, least)
-            alive = alive[ids[alive] != key]
-            if len(alive):
-                score = (x[alive] * q).sum(axis=1)
-                best = np.lexsort((ids[alive], -score))[:k]
-                out.append(pd.DataFrame({"query_id": key, "vec_id": ids[alive[best]], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=columns)
-
-    keys = ["list", "vb", "qb"]
-    found = stored.select(*keys, "id", "v").groupBy(*keys).cogroup(asked.select(*keys, "id", "v", "bound", "least").groupBy(*keys)).applyInPandas(scanned, "query_id long, vec_id long, score double")
-    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return best.filter(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
+            for at in range(0, len(part), 256):
+                some = part.iloc[at : at + 256]
+                near = np.argsort(squared(augment(np.stack(some.v.to_numpy()), None), ix.centroids), axis=1).astype(np.int32)
+                held = np.cumsum(ix.sizes[near], axis=1)
+                first = np.minimum(1 + (held < ix.p.k + 1).sum(axis=1), near.shape[1])  # these lists hold k others together
+                depth = np.maximum(ix.probes, first)
+                lists = [(near[j, : first[j]], near[j, first[j] : depth[j]]) for j in range(len(some))]
+                yield pd.DataFrame({"id": some.id.to_numpy(), "v": some.v.to_numpy(), "first": [a for a, _ in lists], "others": [b for _, b in lists]})
+
+    asked = stored(queries.mapInPandas(probed, "id long, v array<double>, first array<int>, others array<int>"), "asked")
+    near = stored(ranked(met(table, index, asked.select("id", "v", F.lit(float("inf")).alias("bound"), F.col("first").alias("lists"))), p.k), "near")
+    # The bound of what is left: the distance of the k-th vector so far.
+    last = near.filter(F.col("rank") == p.k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) + index.norm**2
+    others = asked.filter(F.size("others") > 0).join(last, "id", "left").select("id", "v", F.coalesce(square - 2 * F.col("kth"), F.lit(float("inf"))).alias("bound"), F.col("others").alias("lists"))
+    found = near.select("query_id", "vec_id", "score").unionByName(met(table, index, others))
+    return ranked(found, p.k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, queries=None, key: str = "vec_id", vector: str = "embedding", p: Params = Params()) -> DataFrame:
     """Index all vectors and search them; ``queries`` is a condition on ``key`` (default: every row)."""
-    rows = cut(usable(vectors, key, vector))
+    rows = stored(usable(vectors, key, vector), "vectors")
     built = build(rows, p)
     if built is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -23,12 +23,12 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import SLICE_BYTES, slices
 
 LEAF = 48
 #: Pieces whose ids a worker remembers in each of two generations; the older one goes when the newer is full.
@@ -174,27 +174,35 @@ def send(df: DataFrame, path: str) -> str:
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids``, the token ids of ``text`` by the rank file at ``path`` and the pre-token ``pattern``."""
-    batches(docs.sparkSession)
     name = send(docs, path)
 
-    @F.pandas_udf("array<int>")
-    def encoded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def encoded(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(name, pattern)
-        for texts in parts:
-            yield pd.Series([c.encode(x) for x in texts], dtype=object)
+        for batch in parts:
+            for part in slices(batch):
+                each = [c.encode(x) for x in part.to_pylist()]
+                flat = np.concatenate([np.zeros(0, np.int32), *each])
+                yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]), pa.int32()), pa.array(flat, pa.int32()))
 
     return docs.withColumn(ids, encoded(F.col(text)))
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``, the bytes that ``ids`` stand for."""
-    batches(docs.sparkSession)
     name = send(docs, path)
 
-    @F.pandas_udf("binary")
-    def decoded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def decoded(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(name, pattern)
-        for each in parts:
-            yield pd.Series([c.decode(x.tolist()) if x is not None else b"" for x in each], dtype=object)
+        for batch in parts:
+            made, size = [], 0
+            for x in batch:
+                made.append(c.decode(x.values.to_pylist()) if x.is_valid else b"")
+                size += len(made[-1]) + 16
+                if size > SLICE_BYTES:
+                    yield pa.array(made, pa.binary())
+                    made, size = [], 0
+            yield pa.array(made, pa.binary())
 
     return docs.withColumn(out, decoded(F.col(ids)))

@@ -10,13 +10,14 @@ The parser is deterministic: after ``<s>`` the next control string tells the pro
 ends at the first closing string of it. Rendering first tries the text as it is, reparses it, and
 compares the recovered turn with the source; if they differ, the text's control strings get one more
 backslash after their first character (``<\\s>``), which the parser takes off again, until the turn
-comes back identical. As each turn is a prefix that the parser consumes on its own, a conversation of
-any length is rendered and reparsed turn by turn in bounded memory.
+comes back identical. As each turn is a prefix that the parser consumes on its own, turns are rendered and
+reparsed where they are read, in any order. Only a conversation's digests need its turns in order: they are
+sequential hashes, so a conversation is streamed through one task, which does nothing but hash.
 
-The loss mask covers exactly the assistant texts, in code points of the rendered conversation.
+The loss mask covers exactly the assistant texts, in code points of the rendered turn.
 
 Defined results: a null role or text is the empty one; an empty role is an ``other`` turn; turns are
-ordered by turn (nulls first), then role, then text, so repeated rows are repeated turns; a null
+ordered by turn (nulls first), then by role and text, so repeated rows are repeated turns; a null
 conversation id is one conversation. Of the input only the four named columns are read.
 """
 
@@ -26,11 +27,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import slices
 
 BOS, EOS, OPEN, CLOSE, SYS, ENDSYS, BAR = "<s>", "</s>", "[INST] ", " [/INST]", "<<SYS>>", "<</SYS>>", "<|>"
 #: A control string, with any backslashes that escapes have put after its first character.
@@ -92,65 +93,93 @@ def parse(rendered: str) -> Iterator[tuple[str, str, int, int]]:
         yield turn
 
 
-def in_order(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """Each key's rows in one partition and in order, to be streamed; a conversation is never collected."""
-    return df.repartition(key).sortWithinPartitions(F.col(key).asc_nulls_first(), *[F.col(x).asc_nulls_first() for x in order])
-
-
 def render(conversations: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per turn: (conv_id, n, formatted, loss_from, loss_to).
+    """One row per turn: (conv_id, turn, formatted, loss_from, loss_to).
 
-    ``formatted`` in order of ``n`` is the conversation; ``loss_from`` and ``loss_to`` bound the
+    ``formatted`` in order of ``turn`` is the conversation; ``loss_from`` and ``loss_to`` bound the
     text under the loss mask in it, null where the turn has none.
     """
-    batches(conversations.sparkSession)
     rows = conversations.select(F.col(key).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
-    def rendered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, n, at = object(), 0, 0
-        for part in parts:
-            out = []
-            for conv, role, text in zip(part.conv_id, part.role, part.text):
-                conv = None if pd.isna(conv) else int(conv)
-                if conv != last:
-                    last, n, at = conv, 0, 0
-                made, begin, end = render_turn(role, text)
-                out.append((conv, n, made, at + begin, at + end) if role == "assistant" else (conv, n, made, None, None))
-                n, at = n + 1, at + len(made)
-            yield pd.DataFrame(out, columns=["conv_id", "n", "formatted", "loss_from", "loss_to"]).astype({"conv_id": "Int64", "loss_from": "Int64", "loss_to": "Int64"})
+    @F.arrow_udf("struct<formatted: string, loss_from: long, loss_to: long>")
+    def rendered(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for roles, texts in parts:
+            at = 0
+            for part in slices(texts):
+                out = []
+                for role, text in zip(roles[at : at + len(part)].to_pylist(), part.to_pylist()):
+                    made, begin, end = render_turn(role, text)
+                    out.append((made, begin, end) if role == "assistant" else (made, None, None))
+                at += len(part)
+                made, begin, end = zip(*out) if out else ((), (), ())
+                yield pa.StructArray.from_arrays([pa.array(made, pa.string()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], ["formatted", "loss_from", "loss_to"])
+
+    return rows.select("conv_id", "turn", rendered("role", "text").alias("r")).select("conv_id", "turn", "r.*")
+
 
-    return in_order(rows, "conv_id", "turn", "role", "text").mapInPandas(rendered, "conv_id long, n long, formatted string, loss_from long, loss_to long")
+def recovered(rendered: DataFrame) -> DataFrame:
+    """(conv_id, turn, said, loss_at, n, chars): the turns that a rendered row parses to, from its text alone.
+
+    ``said`` holds role, line break, text and line break of each; ``loss_at`` is where the text under the loss mask
+    begins in it, null without one; ``n`` counts the turns and ``chars`` the rendered characters.
+    """
+
+    @F.arrow_udf("struct<said: string, loss_at: long, n: long, chars: long>")
+    def parsed(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, begins, ends in parts:
+            at = 0
+            for part in slices(texts):
+                out, to = [], at + len(part)
+                for formatted, begin, end in zip(part.to_pylist(), begins[at:to].to_pylist(), ends[at:to].to_pylist()):
+                    turns = list(parse(formatted))
+                    said = "".join(f"{role}\n{text}\n" for role, text, _, _ in turns)
+                    if begin is not None and unescape(formatted[begin:end]) != turns[0][1]:  # what the mask covers, by its offsets
+                        raise ValueError("the loss mask does not cover the assistant's text")
+                    out.append((said, None if begin is None else len(turns[0][0]) + 1, len(turns), len(formatted)))
+                at = to
+                said, loss, n, chars = zip(*out) if out else ((), (), (), ())
+                yield pa.StructArray.from_arrays([pa.array(said, pa.string()), pa.array(loss, pa.int64()), pa.array(n, pa.int64()), pa.array(chars, pa.int64())], ["said", "loss_at", "n", "chars"])
+
+    return rendered.select("conv_id", "turn", parsed("formatted", "loss_from", "loss_to").alias("r")).select("conv_id", "turn", "r.*")
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """Reparse rendered conversations, streaming: one row of digests for each, from the rendered text alone.
+    """Reparse rendered conversations: one row of digests for each, from the rendered text alone.
 
     Columns: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
     """
-
-    def parsed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        kind = {"conv_id": "Int64"}
-        last, state = object(), None
-        for part in parts:
-            out = []
-            for conv, formatted, begin, end in zip(part.conv_id, part.formatted, part.loss_from, part.loss_to):
-                conv = None if pd.isna(conv) else int(conv)
-                if state is None or conv != last:
-                    if state is not None:
-                        out.append((last, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
-                    last, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text, _, _ in parse(formatted):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode())
-                if not pd.isna(begin):  # what the mask covers, cut out of the text by its offsets
-                    loss = unescape(formatted[int(begin) - state[4] : int(end) - state[4]])
-                    state[2] += len(loss)
-                    state[3].update(loss.encode())
-                state[4] += len(formatted)
-            if out:
-                yield pd.DataFrame(out, columns=columns).astype(kind)
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, out = None, None, []
+        close = lambda: (last, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
+        for batch in parts:
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
+                for conv, said, loss_at, n, chars in zip(*[part.column(c).to_pylist() for c in ("conv_id", "said", "loss_at", "n", "chars")]):
+                    if state is None or conv != last:
+                        if state is not None:
+                            out.append(close())
+                        last, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    state[0] += n
+                    state[1].update(said.encode())
+                    if loss_at is not None:
+                        state[2] += len(said) - 1 - loss_at
+                        state[3].update(said[loss_at:-1].encode())
+                    state[4] += chars
+                if len(out) >= 1024:
+                    yield batch_of(out)
+                    out = []
         if state is not None:
-            yield pd.DataFrame([(last, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])], columns=columns).astype(kind)
+            out.append(close())
+        if out:
+            yield batch_of(out)
 
-    return in_order(rendered, "conv_id", "n").mapInPandas(parsed, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    # Each conversation's turns in one partition and in order, to be streamed; they are never collected.
+    rows = recovered(rendered).repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "said")
+    return rows.mapInArrow(hashed, schema)

@@ -7,22 +7,37 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from ..storage import cut, shared_dir, stored
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-__all__ = ["ARROW_ROWS", "Hashed", "batches", "cut", "mix32", "mix64", "released", "shared_dir", "stored"]
+from ..storage import cut, qualified, shared_dir, stored
 
-#: Rows in one Arrow batch sent to Python. Long texts make rows large, so batches are short.
-ARROW_ROWS = 256
-#: Rows that the Parquet reader decodes at a time; with its default, texts fill tens of MB for each task.
-READ_ROWS = 512
+__all__ = ["Hashed", "cut", "let", "mix32", "mix64", "qualified", "released", "shared_dir", "slices", "stored"]
 
+#: Bytes of values that an operator takes from an Arrow batch at a time. Spark itself bounds the batch, to 64 MB
+#: by default (``spark.sql.execution.arrow.maxBytesPerBatch``), or to one row.
+SLICE_BYTES = 4 << 20
 
-def batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows of a batch: one of very long texts must fit a Python worker, and the reader."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+
+def slices(batch: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Consecutive slices of strings or binaries, each of about ``most`` bytes or one value."""
+    if not len(batch):
+        yield batch
+        return
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch), 0), np.int64) + 16)
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield batch[at:end]
+        at = end
+
+
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` or a lambda in it uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 @contextmanager

@@ -9,12 +9,13 @@ of MathML, and of SVG all but ``text`` and ``foreignObject`` (what ``use`` refer
 The rest is laid out as text: inline runs collapse their white space, blocks stand on lines of their own with a
 blank line around paragraphs, headings, lists and tables, list items get bullets or numbers and
 indentation, ``pre`` keeps the spacing of all text below it, ``br`` breaks, and the cells of a table are padded to the
-width of their column.
+width of their columns, of which a cell may span several, as it may rows.
 
 Defined results: null or empty markup renders as the empty text; markup without tags is its collapsed
-text; unclosed and stray tags are repaired as above and never fail; nesting of any depth is handled
-without recursion limits, as layout walks an explicit stack; lists and tables nested below
-``DEEPEST`` levels are laid out as plain blocks. Other columns stay.
+text; unclosed and stray tags are repaired as above and never fail; a tag that the markup ends within is
+text. Building and layout walk explicit stacks, in time that grows with the markup, at any depth. Beyond
+``DEEPEST`` open lists, quotations and tables items keep their marks and rows their cells, while indentation
+and the padding of columns stop: they would grow as the square of the depth. Other columns stay.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ import re
 from collections.abc import Iterator
 from html import unescape as entities
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import slices
 
 # Element names of the HTML standard, by how they build or lay out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,7 +62,11 @@ IMPLIED = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, set()),
 }
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+(?=>)|[^>]*)>", re.S)
+_MARKED = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+TOKEN = re.compile(_MARKED + r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>", re.S)
+#: What a tag's end is no part of: for what comes after the last ``>``.
+LAST = re.compile(_MARKED + r"(?P<end>)(?P<name>(?!))?(?P<attrs>)", re.S)
+SPAN = re.compile(r"(?:^|[\s/])(col|row)span\s*=\s*[\"']?\s*(\d{1,5})", re.I)
 NOT_SHOWN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|type\s*=\s*[\"']?hidden", re.I)
 QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 STYLE = re.compile(r"\bstyle\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -107,6 +112,7 @@ def build(markup: str) -> Node:
     """A tree of elements and strings, with implied tags closed and unseen subtrees left out."""
     root = Node("body")
     stack, unseen = [root], 0  # unseen: how deep the innermost open unseen elements reach
+    places: dict[str, list[int]] = {}  # where the open elements of a name are on the stack
 
     def text(raw: str) -> None:
         if not raw or unseen and stack[-1].name != "head":
@@ -117,23 +123,29 @@ def build(markup: str) -> Node:
         if not unseen and stack[-1].drawn:
             stack[-1].children.append(raw)
 
+    def innermost(names) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
     def close(names, barred) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in barred:
+        while (k := innermost(names)) > innermost(barred):
+            pop(k)
+            if stack[-1].name not in names:
                 return
-            if stack[k].name in names:
-                pop(k)
-                if stack[-1].name not in names:
-                    return
+
+    def push(node: Node) -> None:
+        places.setdefault(node.name, []).append(len(stack))
+        stack.append(node)
 
     def pop(k: int) -> None:
         nonlocal unseen
-        unseen -= sum(x.children is None for x in stack[k:])
+        for x in stack[k:]:
+            places[x.name].pop()
+            unseen -= x.children is None
         del stack[k:]
 
-    at, raw_end = 0, None
+    at, last = 0, markup.rfind(">")
     while True:
-        m = TOKEN.search(markup, at)
+        m = (TOKEN if at <= last else LAST).search(markup, at)
         if not m:
             text(markup[at:])
             return root
@@ -148,15 +160,11 @@ def build(markup: str) -> Node:
         if stack[-1].name == "head" and (name in ("body", "html", "br") if m["end"] else name not in IN_HEAD):
             pop(len(stack) - 1)
         if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    pop(k)
-                    break
-                if stack[k].name in ("table", "td", "th") and name not in BLOCK:
-                    break
-            else:
-                if name == "p" and not unseen:
-                    stack[-1].children.append(Node("p"))
+            k = innermost((name,))
+            if k and (name in BLOCK or k >= innermost(("table", "td", "th"))):
+                pop(k)
+            elif not k and name == "p" and not unseen:
+                stack[-1].children.append(Node("p"))
             continue
         attrs = m["attrs"]
         if name in BREAKS_OUT and stack[-1].within:
@@ -179,7 +187,7 @@ def build(markup: str) -> Node:
         if visible and not unseen:
             stack[-1].children.append(node)
         if name in RAW and not empty:
-            raw_end = re.compile(rf"</{re.escape(name)}\s*/?>", re.I).search(markup, at)
+            raw_end = re.compile(rf"</{re.escape(name)}\s*+/?>", re.I).search(markup, at)
             body = markup[at : raw_end.start() if raw_end else len(markup)]
             if visible and not unseen:
                 node.children.append(entities(body) if name in ("textarea", "title") else body)
@@ -188,37 +196,47 @@ def build(markup: str) -> Node:
             if not visible:
                 node.children = None  # marks an unseen element that is open
                 unseen += 1
-            stack.append(node)
+            push(node)
 
 
 class Lines:
     """Text under layout: lines, with pending white space and pending blank lines."""
 
     def __init__(self):
-        self.lines, self.now, self.gap, self.space = [], "", 0, False
+        self.lines, self.now, self.gap, self.space = [], [], 0, False
 
     def inline(self, text: str) -> None:
         text = SPACE.sub(" ", text)
         body = text.strip(" ")
         if body:
-            if self.now and (self.space or text[0] == " ") and not self.now.endswith("\t"):
-                self.now += " "
             self.open()
-            self.now += body
+            if self.now and (self.space or text[0] == " "):
+                self.now.append(" ")
+            self.now.append(body)
             self.space = text[-1] == " "
         elif text and self.now:
             self.space = True
 
+    def exact(self, text: str) -> None:
+        """Text whose white space counts."""
+        self.open()
+        first, *more = text.split("\n")
+        self.now.append(first)
+        for line in more:
+            self.lines.append("".join(self.now))
+            self.now = [line]
+
     def open(self) -> None:
         if not self.now and self.lines and self.gap:
             self.lines += [""] * self.gap
         self.gap = 0
 
     def end(self, gap: int = 0) -> None:
-        if self.now:
-            self.lines.append(self.now)
-            self.now, self.gap = "", 0
-        self.space = False
+        now = "".join(self.now)
+        if now:
+            self.lines.append(now)
+            self.gap = 0
+        self.now, self.space = [], False
         if self.lines:
             self.gap = max(self.gap, gap)
 
@@ -235,17 +253,48 @@ class Lines:
             self.lines.append(line.rstrip(" "))
 
 
-def grid(rows: list[list[list[str]]]) -> list[str]:
-    """A table's cells, each a list of lines, padded to the widest of their column."""
-    wide: list[int] = []
-    for row in rows:
-        wide += [0] * (len(row) - len(wide))
-        for k, cell in enumerate(row):
-            wide[k] = max([wide[k], *map(len, cell)])
+def spans(attrs: str) -> tuple[int, int]:
+    """How many columns and rows a cell spans, within the standard's limits; 0 rows are all that follow."""
+    found = {a.lower(): int(n) for a, n in SPAN.findall(attrs)} if attrs else {}
+    return min(max(found.get("col", 1), 1), 1000), min(found.get("row", 1) or 65534, 65534)
+
+
+def grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """A table's cells, each of lines and spans, padded to the width of the columns that they stand in."""
+    placed, active = [], []  # cells (first column, end, lines); cells of rows above (first column, end, end row)
+    for r, row in enumerate(rows):
+        active = [a for a in active if a[2] > r] if row else active
+        now, more, k, at = [], [], 0, 0
+        for lines, wide, high in row:
+            while k < len(active) and active[k][0] <= at:
+                at, k = max(at, active[k][1]), k + 1
+            end = min(at + wide, active[k][0]) if k < len(active) else at + wide
+            now.append((at, end, lines))
+            if high > 1:
+                more.append((at, end, r + high))
+            at = end
+        active = sorted(active + more) if more else active
+        placed.append(now)
+    # Columns that no cell begins or ends between are one.
+    number = {x: k for k, x in enumerate(sorted({x for row in placed for a, b, _ in row for x in (a, b)} | {0}))}
+    placed = [[(number[a], number[b], lines) for a, b, lines in row] for row in placed]
+    wide = [0] * len(number)
+    for a, b, lines in sorted((c for row in placed for c in row), key=lambda c: c[1] - c[0]):
+        need = max(map(len, lines), default=0)
+        if b - a == 1:
+            wide[a] = max(wide[a], need)
+        elif need:
+            wide[b - 1] += max(0, need - sum(wide[a:b]) - 3 * (b - a - 1))
     out = []
-    for row in rows:
-        for k in range(max(map(len, row), default=0)):
-            out.append(" | ".join((cell[k] if k < len(cell) else "").ljust(wide[j]) for j, cell in enumerate(row)).rstrip(" "))
+    for row in placed:
+        for k in range(max((len(c[2]) for c in row), default=0)):
+            parts, at = [], 0
+            for a, b, lines in row:
+                parts += [" " * wide[x] for x in range(at, a)]
+                room = wide[a] if b - a == 1 else sum(wide[a:b]) + 3 * (b - a - 1)
+                parts.append((lines[k] if k < len(lines) else "").ljust(room))
+                at = b
+            out.append(" | ".join(parts).rstrip(" "))
     return out
 
 
@@ -257,7 +306,7 @@ def render(markup: str | None) -> str:
     # Frames: node, next child, the Lines that it writes to, its own data (list counter, table rows), and
     # whether it is, or is below, a pre.
     todo: list[list] = [[build(markup), 0, top, None, False]]
-    nested = 0
+    nested, tables, lists = 0, [], []  # open boxes of lines; frames of open tables and lists
     while todo:
         frame = todo[-1]
         node, k, out, data, kept = frame
@@ -268,21 +317,14 @@ def render(markup: str | None) -> str:
                 if node.name in ("table", "tbody", "thead", "tfoot", "tr") and not child.strip():
                     pass
                 elif kept:
-                    first, *more = child.split("\n")
-                    out.open()
-                    out.now += first
-                    for line in more:
-                        out.lines.append(out.now)
-                        out.now = line
+                    out.exact(child)
                 else:
                     out.inline(child)
                 continue
             name, own, extra = child.name, out, None
             if name == "br":
                 if kept:
-                    out.open()
-                    out.lines.append(out.now)
-                    out.now = ""
+                    out.exact("\n")
                 elif out.now:
                     out.end()
                 else:
@@ -295,37 +337,49 @@ def render(markup: str | None) -> str:
                 if value and re.search(r"type\s*=\s*[\"']?(?:submit|button|reset)", child.attrs, re.I):
                     out.inline(" " + entities(value[1].strip("\"'")) + " ")
                 continue
-            if name in BLOCK:
+            cell = name in ("td", "th") and tables and tables[-1][3]["rows"] is None
+            if name in BLOCK and not cell:
                 out.end(1 if name in SPACED else 0)
             if name in ("ul", "ol", "menu", "dir"):
                 m = START.search(child.attrs) if name == "ol" else None
                 extra = [name == "ol", int(m[1]) if m else 1]
                 if node.name == "li":
                     out.gap = 0
-            elif name in ("li", "table", "td", "th", "blockquote", "dd") and nested < DEEPEST:
-                own, nested = Lines(), nested + 1
-                extra = {"rows": []} if name == "table" else {}
-            elif name == "tr":
-                table = next((f for f in reversed(todo) if f[0].name == "table"), None)
-                if table and isinstance(table[3], dict):
-                    table[3]["rows"].append([])
+            elif name in ("li", "table", "td", "th", "blockquote", "dd"):
+                if nested < DEEPEST:
+                    own, nested = Lines(), nested + 1
+                    extra = {"rows": []} if name == "table" else {}
+                elif name == "table":
+                    extra = {"rows": None}
+                elif cell:
+                    if out.now:
+                        out.inline(" | ")
+                elif name in ("li", "dd", "blockquote"):
+                    out.inline({"li": marked(lists), "dd": "    ", "blockquote": "> "}[name])
+            elif name == "tr" and tables and tables[-1][3]["rows"] is not None:
+                tables[-1][3]["rows"].append([])
             elif name == "pre":
                 extra = {}
             elif name == "text" and child.space:
                 out.inline(" ")
             todo.append([child, 0, own, extra, kept or name == "pre"])
+            if name == "table":
+                tables.append(todo[-1])
+            elif name in ("ul", "ol", "menu", "dir"):
+                lists.append(todo[-1])
             continue
         todo.pop()
         name = node.name
-        if name in ("li", "table", "td", "th", "blockquote", "dd") and isinstance(data, dict):
+        if name == "table":
+            tables.pop()
+        elif name in ("ul", "ol", "menu", "dir") and lists and lists[-1] is frame:
+            lists.pop()
+        if name in ("li", "table", "td", "th", "blockquote", "dd") and isinstance(data, dict) and out is not todo[-1][2]:
             nested -= 1
             out.end()
             outer = todo[-1][2]
             if name == "li":
-                above = next((f for f in reversed(todo) if f[0].name in ("ul", "ol", "menu", "dir")), None)
-                mark = "- "
-                if above and isinstance(above[3], list) and above[3][0]:
-                    mark, above[3][1] = f"{above[3][1]}. ", above[3][1] + 1
+                mark = marked(lists)
                 outer.whole(out.lines, mark, " " * len(mark))
             elif name == "dd":
                 outer.whole(out.lines, "    ", "    ")
@@ -334,33 +388,40 @@ def render(markup: str | None) -> str:
             elif name == "table":
                 before = out.lines  # a caption, or text outside of cells
                 outer.whole(before + grid(data["rows"]))
+            elif tables and tables[-1][3]["rows"] is not None:
+                rows = tables[-1][3]["rows"]
+                if not rows:
+                    rows.append([])
+                rows[-1].append((out.lines, *spans(node.attrs)))
             else:
-                table = next((f for f in reversed(todo) if f[0].name == "table"), None)
-                if table and isinstance(table[3], dict):
-                    if not table[3]["rows"]:
-                        table[3]["rows"].append([])
-                    table[3]["rows"][-1].append(out.lines)
-                else:
-                    outer.whole(out.lines)
+                outer.whole(out.lines)
             out = outer
         elif name == "pre" and data is not None and out.now:
-            out.lines.append(out.now)
-            out.now = ""
+            out.lines.append("".join(out.now))
+            out.now = []
         elif name == "text" and node.space:
             out.inline(" ")
-        if name in BLOCK:
+        if name in BLOCK and not (name in ("td", "th") and tables and tables[-1][3]["rows"] is None):
             out.end(1 if name in SPACED and not (name in ("ul", "ol") and todo and todo[-1][0].name == "li") else 0)
     top.end()
     return "\n".join(top.lines).strip("\n")
 
 
+def marked(lists: list[list]) -> str:
+    """The mark of the next item of the innermost open list."""
+    if not lists or not lists[-1][3][0]:
+        return "- "
+    number, lists[-1][3][1] = lists[-1][3][1], lists[-1][3][1] + 1
+    return f"{number}. "
+
+
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """Add ``out``, the visible text of each page."""
-    batches(pages.sparkSession)
 
-    @F.pandas_udf("string")
-    def rendered(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for each in parts:
-            yield pd.Series([render(x) for x in each], dtype=object)
+    @F.arrow_udf("string")
+    def rendered(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in parts:
+            for part in slices(batch):
+                yield pa.array([render(x) for x in part.to_pylist()], pa.string())
 
     return pages.withColumn(out, rendered(F.col(html)))

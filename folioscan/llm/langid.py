@@ -1,8 +1,9 @@
 """Language identification by language-bitmask n-gram filters.
 
 Training counts the distinct character n-grams of sampled texts per language and keeps, for each
-language, those whose rate there is at least ``share`` of their highest rate in any language. The
-kept n-grams enter Bloom filters that are stored bit-sliced: slot ``s`` holds one bit per language,
+language, those whose rate there is at least ``share`` of their highest rate in any language. A rate of n
+texts among t is ``n / (t + 1)``, so that a language of few texts counts for less. The
+kept n-grams, all of them, enter Bloom filters that are stored bit-sliced: slot ``s`` holds one bit per language,
 so that the AND of an n-gram's slots is the set of all languages that contain it. A text's n-grams
 give a count of hits per language; a count is corrected for the filter's false positives,
 ``(hits / n - f) / (1 - f)``, and the language with the largest corrected share is the answer.
@@ -11,8 +12,9 @@ a low quantile of the training texts that were recognised, less some slack.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; texts without
 learned n-grams go to the first language of equal shares by name; rows without a language do not
-train; with no language learned every text is ``und``. Up to 64 languages share a slot's word;
-more use several planes.
+train; with no language learned every text is ``und``. Up to 63 languages share a slot's word;
+more use several planes. The slots of a filter are fixed, so what reaches the driver is bounded by
+``2 ** slots`` words for each plane, however many n-grams there are.
 """
 
 from __future__ import annotations
@@ -22,27 +24,28 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mix64, released
+from .common import mix64, released, slices, stored
 
 UND = "und"
+#: Languages of one plane: the bits of a signed 64-bit word but its sign.
+PLANE = 63
 #: Whether a code point is a letter; the last entry stands for those beyond the two first planes.
 LETTER = np.array([chr(c).isalpha() for c in range(0x20000)] + [True])
 
 
 @dataclass(frozen=True)
 class Params:
-    """``sample`` bounds the texts that train, per language; ``kept`` the n-grams of a language's filter."""
+    """``sample`` bounds the texts that train, per language."""
 
     sizes: tuple[int, ...] = (1, 3)
     slots: int = 20
     probes: int = 2
     sample: int = 1_500
-    kept: int = 60_000
     share: float = 0.25
-    least: int = 3
     clean: float = 0.001
     slack: float = 0.8
 
@@ -62,8 +65,8 @@ class Filters:
             mask = plane[at[0]]
             for more in at[1:]:
                 mask = mask & plane[more]
-            for j in range(64 * k, min(64 * k + 64, len(self.langs))):
-                out[j] = np.count_nonzero(mask & plane.dtype.type(1 << j - 64 * k))
+            for j in range(PLANE * k, min(PLANE * (k + 1), len(self.langs))):
+                out[j] = np.count_nonzero(mask & plane.dtype.type(1 << j - PLANE * k))
         return out
 
 
@@ -101,25 +104,16 @@ def ngrams(text: str | None, p: Params) -> np.ndarray | None:
     return mix64(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-def build(counts: pd.DataFrame, totals: dict[str, int], p: Params = Params()) -> Filters:
-    """Filters from rows (lang, gram, n): how many sampled texts' n-grams were ``gram``."""
-    langs = sorted(totals)
+def build(words: pd.DataFrame, langs: list[str], p: Params = Params()) -> Filters:
+    """Filters from rows (plane, slot, word): the bits of the plane's languages in a slot."""
     if not langs:
         return Filters(p, [])
-    code = {x: k for k, x in enumerate(langs)}
-    gram, where = np.unique(counts.gram.to_numpy().astype(np.int64).view(np.uint64), return_inverse=True)
-    rate = np.zeros((len(langs), len(gram)))
-    lang = counts.lang.map(code).to_numpy()
-    rate[lang, where] = counts.n.to_numpy() / np.maximum(1, np.array([totals[x] for x in langs]))[lang]
-    best = rate.max(axis=0)
-    planes = [np.zeros(1 << p.slots, np.uint8 if len(langs) <= 8 else np.uint64) for _ in range(-(-len(langs) // 64))]
-    for j in range(len(langs)):
-        held = np.flatnonzero((rate[j] > 0) & (rate[j] >= p.share * best))
-        held = held[np.argsort(-rate[j][held], kind="stable")[: p.kept]]
-        for at in places(gram[held], p):
-            planes[j // 64][at] |= planes[0].dtype.type(1 << j % 64)
+    planes = [np.zeros(1 << p.slots, np.uint8 if len(langs) <= 8 else np.uint64) for _ in range(-(-len(langs) // PLANE))]
+    for plane in range(len(planes)):
+        got = words[words.plane == plane]
+        planes[plane][got.slot.to_numpy(np.int64)] = got.word.to_numpy(np.int64).astype(planes[plane].dtype)
     # A filter answers wrongly when all probes of a foreign n-gram are set: its fill to the power of the probes.
-    false = np.array([np.count_nonzero(planes[j // 64] & planes[0].dtype.type(1 << j % 64)) / (1 << p.slots) for j in range(len(langs))]) ** p.probes
+    false = np.array([np.count_nonzero(planes[j // PLANE] & planes[0].dtype.type(1 << j % PLANE)) / (1 << p.slots) for j in range(len(langs))]) ** p.probes
     return Filters(p, langs, planes, false)
 
 
@@ -134,60 +128,77 @@ def decide(text: str | None, filters: Filters) -> tuple[str, float]:
     return filters.langs[k], float(share[k])
 
 
-def sampled(docs: DataFrame, text: str, lang: str, key: str, p: Params) -> DataFrame | None:
-    """(lang, k, x): about ``p.sample`` rows of each language, chosen by a hash of ``key``; None without any."""
+def sampled(docs: DataFrame, text: str, lang: str, key: str, p: Params) -> DataFrame:
+    """(lang, x): about ``p.sample`` rows of each language, chosen by a hash of ``key``."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(key).alias("k"), F.col(text).alias("x"))
-    totals = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    part = {x: min(1 << 32, int(p.sample / n * (1 << 32))) for x, n in totals.items()}
-    if not part:
-        return None
-    limit = F.create_map(*[v for x, n in part.items() for v in (F.lit(x), F.lit(n))])
-    return rows.filter(F.coalesce(F.pmod(F.xxhash64(F.lit(29), "k"), F.lit(1 << 32)), F.lit(0)) < limit[F.col("lang")])
+    limit = rows.groupBy("lang").agg((F.least(F.lit(1.0), F.lit(p.sample) / F.count("lang")) * (1 << 32)).cast("long").alias("limit"))  # a row for each language
+    part = F.coalesce(F.pmod(F.xxhash64(F.lit(29), "k"), F.lit(1 << 32)), F.lit(0))
+    return rows.join(F.broadcast(limit), "lang").filter(part < F.col("limit")).select("lang", "x")
+
+
+def slot_words(counted: DataFrame, p: Params) -> DataFrame:
+    """(plane, slot, word) of counts (code, gram, n, texts): for each language's code how many of its texts hold an n-gram."""
+    rated = counted.withColumn("rate", F.col("n") / (F.col("texts") + 1))
+    best = rated.groupBy("gram").agg(F.max("rate").alias("best"), F.collect_list(F.struct("code", "rate")).alias("each"))  # a row for each language at most
+    kept = best.select("gram", F.explode(F.filter("each", lambda e: e["rate"] >= p.share * F.col("best"))).alias("e")).select("gram", F.col("e.code").alias("code"))
+    masks = kept.groupBy("gram", F.floor(F.col("code") / PLANE).cast("int").alias("plane")).agg(F.bit_or(F.expr(f"shiftleft(1L, code % {PLANE})")).alias("word"))
+    slot = F.explode(F.array(*[F.shiftrightunsigned("gram", p.slots * k).bitwiseAND((1 << p.slots) - 1) for k in range(p.probes)]))
+    return masks.select("plane", "word", slot.alias("slot")).groupBy("plane", "slot").agg(F.bit_or("word").alias("word")).select("plane", "slot", "word")
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", p: Params = Params()) -> Filters:
     """Learn filters from about ``p.sample`` rows of each language, chosen by a hash of ``key``.
 
-    The counting is a distributed aggregate. What reaches the driver is bounded by ``p.kept`` n-grams
-    for each language.
+    Counting and filling the slots are distributed aggregates; the driver gets the filled slots.
     """
-    from pyspark.sql import Window
-
-    batches(docs.sparkSession)
     rows = sampled(docs, text, lang, key, p)
-    if rows is None:
-        return Filters(p, [])
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[str, list[np.ndarray]] = {}
-        for b in parts:
-            for x, t in zip(b.lang, b.x):
-                grams = ngrams(t, p)
-                if grams is not None:
-                    got.setdefault(x, []).append(np.unique(grams))
+        size = 0
+        for batch in parts:
+            at = 0
+            for part in slices(batch.column("x")):
+                for x, t in zip(batch.column("lang")[at : at + len(part)].to_pylist(), part.to_pylist()):
+                    grams = ngrams(t, p)
+                    if grams is not None:
+                        got.setdefault(x, []).append(np.unique(grams))
+                        size += len(got[x][-1])
+                at += len(part)
+                if size > 1 << 20:  # partial counts, so that a task holds a bounded number
+                    yield from told(got)
+                    got, size = {}, 0
+        yield from told(got)
+
+    def told(got: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for x, each in got.items():
             gram, n = np.unique(np.concatenate(each), return_counts=True)
-            yield pd.DataFrame({"lang": x, "text": False, "gram": gram.view(np.int64), "n": n})
-            yield pd.DataFrame({"lang": [x], "text": True, "gram": 0, "n": [len(each)]})  # how many texts were read
+            # The last row tells how many texts were read.
+            gram, n, text = np.append(gram.view(np.int64), 0), np.append(n, len(each)), np.append(np.zeros(len(n), bool), True)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([x] * len(n), pa.string()), "text": pa.array(text), "gram": pa.array(gram), "n": pa.array(n)})
 
-    counted = rows.select("lang", "x").mapInPandas(count, "lang string, text boolean, gram long, n long").groupBy("lang", "text", "gram").agg(F.sum("n").alias("n"))
-    ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang", "text").orderBy(F.desc("n"), "gram")))
-    got = ranked.filter((F.col("n") >= p.least) | F.col("text")).filter(F.col("r") <= p.kept).select("lang", "text", "gram", "n").toPandas()
-    texts = got[got.text]
-    return build(got[~got.text], dict(zip(texts.lang, texts.n)), p)
+    counted = stored(rows.select("lang", "x").mapInArrow(count, "lang string, text boolean, gram long, n long").groupBy("lang", "text", "gram").agg(F.sum("n").alias("n")), "grams")
+    totals = counted.filter("text").select("lang", F.col("n").alias("texts")).orderBy("lang").collect()  # a row for each language
+    langs = [r["lang"] for r in totals]
+    if not langs:
+        return Filters(p, [])
+    known = docs.sparkSession.createDataFrame([(r["lang"], k, r["texts"]) for k, r in enumerate(totals)], "lang string, code int, texts long")
+    words = slot_words(counted.filter("not text").join(F.broadcast(known), "lang"), p).toPandas()
+    return build(words, langs, p)
 
 
 def detect(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` to every row."""
-    batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(filters)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def decided(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def decided(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         f = sent.value
         with released():
-            for texts in parts:
-                yield pd.DataFrame([decide(x, f) for x in texts], columns=["lang_pred", "score"])
+            for batch in parts:
+                for part in slices(batch):
+                    lang, score = zip(*[decide(x, f) for x in part.to_pylist()]) if len(part) else ((), ())
+                    yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
     found = docs.withColumn("_lang", decided(F.col(text)))
     return found.withColumn("lang_pred", F.col("_lang.lang_pred")).withColumn("score", F.col("_lang.score")).drop("_lang")
@@ -197,8 +208,6 @@ def floors(docs: DataFrame, filters: Filters, text: str = "text", lang: str = "l
     """The least score of a text in each language, learned from the texts that trained and were recognised."""
     p = filters.p
     rows = sampled(docs, text, lang, key, p)
-    if rows is None:
-        return {}
     right = detect(rows, filters, "x").filter(F.col("lang_pred") == F.col("lang"))
     return {r[0]: p.slack * r[1] for r in right.groupBy("lang").agg(F.percentile("score", F.lit(p.clean))).collect()}
 

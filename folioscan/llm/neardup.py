@@ -19,10 +19,15 @@ chunks), and no pair list of a whole bucket is needed to use it:
 Every link is confirmed on the full shingle sets. A class that would link two members of one
 component needs no further comparison, so groups of thousands of copies cost links, not pairs.
 
+What a bucket's members cost: they are dealt to at most ``grid`` blocks, and a row goes to a task for each
+pair of its block with another, so shuffled rows are at most ``grid`` times the members. Comparisons of
+members that stay in different components are as many as their pairs, on bitmaps within those tasks.
+
 Defined results: texts without words, and null texts, have no shingle and link with nothing; fewer
-words than a shingle are one shingle; a row without id gets its size, no component and ``kept``; rows
-of one id are one document whose set is that of any of them with the smallest digest; other columns
-aren't read.
+words than a shingle are one shingle; a row without id gets its size, no component and ``kept``. Rows of
+one id are one document: its links are those of its row whose set has the smallest digest (rows without
+words aside), other texts of the id link with nothing, and every row gets the size of its own set and the
+id's component. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -33,11 +38,13 @@ from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashed, batches, cut, mix32, mix64, released, stored
+from .common import Hashed, cut, mix32, mix64, released, slices, stored
 from .graph import components
+from .joins import by_class, lookup, only
 
 
 @dataclass(frozen=True)
@@ -50,6 +57,7 @@ class Params:
     bits: int = 16
     cells: int = 1024
     block: int = 1024
+    grid: int = 32
     seed: int = 11
 
     @property
@@ -117,55 +125,71 @@ def keys(signatures: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
 
 def keyed(classes: DataFrame, p: Params, words: bool = False) -> DataFrame:
     """(rep, key) of classes (rep, sig), or (rep, key, word)."""
-    batches(classes.sparkSession, 2048)
-
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part):
-                key, word = keys(np.frombuffer(b"".join(part.sig), np.uint16).reshape(len(part), p.symbols), p)
-                out = {"rep": part.rep, "keys": list(key)}
-                yield pd.DataFrame(out | {"words": list(word)} if words else out)
 
-    made = classes.select("rep", "sig").mapInPandas(rows, "rep long, keys array<long>" + ", words array<int>" * words)
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for at in range(0, len(batch), 2048):
+                part = batch.slice(at, 2048)
+                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16)
+                key, word = keys(sig.reshape(len(part), p.symbols), p)
+                offsets = pa.array(np.arange(len(part) + 1) * key.shape[1], pa.int32())
+                out = {"rep": part.column("rep"), "keys": pa.ListArray.from_arrays(offsets, pa.array(key.ravel()))}
+                if words:
+                    out["words"] = pa.ListArray.from_arrays(offsets, pa.array(word.ravel()))
+                yield pa.RecordBatch.from_pydict(out)
+
+    made = classes.select("rep", "sig").mapInArrow(rows, "rep long, keys array<long>" + ", words array<int>" * words)
     if not words:
         return made.select("rep", F.explode("keys").alias("key"))
     return made.select("rep", F.explode(F.arrays_zip("keys", "words")).alias("k")).select("rep", F.col("k.keys").alias("key"), F.col("k.words").alias("word"))
 
 
+def digested(found: np.ndarray) -> bytes | None:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
+
+
 def described(docs: DataFrame, key: str, text: str, p: Params) -> DataFrame:
     """(id, n, digest, sig): size, digest and signature of each row's shingle set."""
-    batches(docs.sparkSession)
-
-    @F.pandas_udf("n long, digest binary, sig binary")
-    def describe(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        import xxhash
 
+    @F.arrow_udf("struct<n: long, digest: binary, sig: binary>")
+    def describe(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = Words()
         with released():
-            for texts in parts:
-                rows = []
-                for x in texts:
-                    found = shingles(x, p.shingle, words)
-                    rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), signature(found, p).tobytes()) if len(found) else (0, None, None))
-                yield pd.DataFrame(rows, columns=["n", "digest", "sig"])
+            for batch in parts:
+                for part in slices(batch):
+                    rows = []
+                    for x in part.to_pylist():
+                        found = shingles(x, p.shingle, words)
+                        rows.append((len(found), digested(found), signature(found, p).tobytes() if len(found) else None))
+                    n, digest, sig = zip(*rows) if rows else ((), (), ())
+                    yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["n", "digest", "sig"])
             words.clear()
 
     return docs.select(F.col(key).cast("long").alias("id"), describe(F.col(text)).alias("d")).select("id", "d.*")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, p: Params) -> DataFrame:
-    """(id, s): the full shingle sets of the given classes; of a repeated id, that of the smallest text."""
+def full_sets(docs: DataFrame, members: DataFrame, key: str, text: str, p: Params, repeated: bool) -> DataFrame:
+    """(id, s): the full shingle sets of members (id, digest), which is materialised; once if ids are ``repeated``."""
 
-    @F.pandas_udf("array<long>")
-    def listed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("struct<s: array<long>, digest: binary>")
+    def listed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = Words()
         with released():
-            for texts in parts:
-                yield pd.Series([shingles(x, p.shingle, words).view(np.int64) for x in texts], dtype=object)
+            for batch in parts:
+                for part in slices(batch):
+                    found = [shingles(x, p.shingle, words).view(np.int64) for x in part.to_pylist()]
+                    flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+                    offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                    yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64())), pa.array([digested(x) for x in found], pa.binary())], ["s", "digest"])
             words.clear()
 
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("x")).join(ids, "id", "left_semi")
-    return texts.select("id", listed("x").alias("s"))
+    texts = only(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("x")), ["id"], members)
+    sets = texts.select("id", listed("x").alias("d")).select("id", "d.*")
+    if repeated:
+        sets = sets.join(members, ["id", "digest"], "left_semi").dropDuplicates(["id"])
+    return sets.select("id", "s")
 
 
 def owned(sets: DataFrame, p: Params) -> DataFrame:
@@ -204,29 +228,35 @@ def reaches(p: Params, shared, na, nb):
     return shared * 100 >= p.percent * (F.col(na) + F.col(nb) - shared)
 
 
-def linkable(p: Params, g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def linkable(p: Params, g: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of one bucket's rows that differ in component and may reach the similarity.
 
-    Rows of two blocks are compared across; of one block, each pair once.
+    Rows of two blocks are compared across; of one block, each pair once. ``p.block`` rows meet at a time.
     """
     root, rep, word = g.root.to_numpy(), g.rep.to_numpy(), g.word.to_numpy()
     n, core, block = g.n.to_numpy(), (g.n - g.own).to_numpy(), g.block.to_numpy()
-    order = np.flatnonzero(block == block.max()), np.flatnonzero(block == block.min())
-    i, j = np.meshgrid(*order, indexing="ij")
-    ok = (root[i] != root[j]) & ((word[i] == 0) | (word[i] != word[j])) & ((rep[i] > rep[j]) if block.max() == block.min() else True)
-    i, j = i[ok], j[ok]
-    shared = np.minimum(core[i], core[j])
-    ok = shared * 100 >= p.percent * (n[i] + n[j] - shared)
-    i, j = i[ok], j[ok]
     bits = np.stack(g.bits.to_numpy()).view(np.uint64)
-    left = np.zeros((2, len(i)), np.int64)  # cells of one that the other lacks: shingles that they don't share
-    for w in range(bits.shape[1]):
-        x, y = bits[i, w], bits[j, w]
-        left[0] += np.bitwise_count(x & ~y)
-        left[1] += np.bitwise_count(y & ~x)
-    shared = np.minimum(core[i] - left[0], core[j] - left[1])
-    ok = shared * 100 >= p.percent * (n[i] + n[j] - shared)
-    return i[ok], j[ok]
+    one = block.max() == block.min()
+    x, y = np.flatnonzero(block == block.max()), np.flatnonzero(block == block.min())
+    for at in range(0, len(x), p.block):
+        for to in range(0, len(y), p.block):
+            i, j = (a.ravel() for a in np.meshgrid(x[at : at + p.block], y[to : to + p.block], indexing="ij"))
+            ok = (root[i] != root[j]) & ((word[i] == 0) | (word[i] != word[j]))
+            if one:
+                ok &= rep[i] > rep[j]
+            i, j = i[ok], j[ok]
+            shared = np.minimum(core[i], core[j])
+            ok = shared * 100 >= p.percent * (n[i] + n[j] - shared)
+            i, j = i[ok], j[ok]
+            left = np.zeros((2, len(i)), np.int64)  # cells of one that the other lacks: shingles that they don't share
+            for w in range(bits.shape[1]):
+                a, b = bits[i, w], bits[j, w]
+                left[0] += np.bitwise_count(a & ~b)
+                left[1] += np.bitwise_count(b & ~a)
+            shared = np.minimum(core[i] - left[0], core[j] - left[1])
+            ok = shared * 100 >= p.percent * (n[i] + n[j] - shared)
+            if ok.any():
+                yield i[ok], j[ok]
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Params = Params()) -> DataFrame:
@@ -234,16 +264,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", p:
 
     ``component_id`` is the smallest id reachable over links, ``kept`` marks the document of that id.
     """
-    spark = docs.sparkSession
     facts = stored(described(docs, key, text, p), "sets")
-    classes = facts.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("digest", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
+    usable = facts.filter((F.col("n") > 0) & F.col("id").isNotNull())
+    repeats = stored(facts.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count("id").alias("c"), F.min("digest").alias("chosen")).filter("c > 1 and chosen is not null").drop("c"), "repeats")
+    repeated = not repeats.isEmpty()
+    if repeated:  # of each id the rows with its smallest digest count
+        plain, several = lookup(usable, ["id"], repeats)
+        usable = plain.unionByName(several.filter(F.col("chosen").isNull() | (F.col("chosen") == F.col("digest"))).drop("chosen"))
+    classes = stored(usable.groupBy("digest").agg(F.min("id").alias("rep"), F.count("id").alias("count"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
 
     keyed_by = keyed(classes, p)
     # Partial aggregation and a join, which Spark can split, keep a hot key from one task.
     shared = keyed_by.groupBy("key").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).filter("r0 < r1").select("key")
     buckets = stored(keyed_by.join(shared, "key"), "buckets")
-    batches(spark)
-    sets = stored(full_sets(docs, buckets.select(F.col("rep").alias("id")).distinct(), key, text, p), "full")
+    members = stored(classes.select(F.col("rep").alias("id"), "digest").join(buckets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "members")
+    sets = stored(full_sets(docs, members, key, text, p, repeated), "full")
     sized = stored(owned(sets, p).withColumnRenamed("id", "rep").filter((F.col("n") - F.col("own")) * 100 >= p.percent * F.col("n")), "own")
     buckets = stored(buckets.join(sized.drop("bits"), "rep"), "sized")
 
@@ -257,8 +292,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", p:
     # Within buckets of several components.
     label = grown(label, confirmed(crossed(buckets, classes.select("rep", "sig").join(sized, "rep"), label, p), sets, p))
 
-    ends = facts.join(classes.select("digest", "n", "rep"), ["digest", "n"], "left").join(label.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    ends = ends.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id")).alias("component_id"))
+    # Classes of one row need no join: its id is the representative.
+    known = classes.filter("count > 1").select("digest", "count", "rep")
+    if repeated:
+        plain, several = lookup(facts, ["id"], repeats)
+        facts = plain.withColumn("of", F.col("digest")).unionByName(several.withColumn("of", F.coalesce("chosen", "digest")).drop("chosen"))
+    else:
+        facts = facts.withColumn("of", F.col("digest"))
+    ends = by_class(facts.select("id", "n", "of"), "of", stored(known.withColumnRenamed("digest", "of"), "known"), "id")
+    ends = ends.withColumn("rep", F.coalesce("rep", "id"))
+    label = stored(label.select(F.col("node").alias("rep"), "root"), "label")
+    rooted_by = label.join(classes.select("rep", "count"), "rep")
+    ends = by_class(ends.drop("of"), "rep", stored(rooted_by, "roots"), "id")
+    ends = ends.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("root", "rep")).alias("component_id"))
     return ends.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -289,16 +335,15 @@ def grown(label: DataFrame, links: DataFrame) -> DataFrame:
 def crossed(buckets: DataFrame, members: DataFrame, label: DataFrame, p: Params) -> DataFrame:
     """Distinct pairs (a, b) of different components that share a bucket, as far as a link is possible.
 
-    A bucket is dealt to blocks of about ``p.block`` rows, and a task holds two of them at a time.
+    A bucket is dealt to blocks of about ``p.block`` rows, or ``p.grid`` of them, and a task holds two at a time.
     """
     placed = buckets.select("key", "rep").join(label.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root"))
-    several = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.ceil(F.count("root") / p.block).cast("int").alias("blocks")).filter("r0 < r1").select("key", "blocks")
+    several = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.least(F.lit(p.grid), F.ceil(F.count("root") / p.block)).cast("int").alias("blocks")).filter("r0 < r1").select("key", "blocks")
     facts = members.join(label.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     rows = keyed(members, p, words=True).join(several, "key").join(facts.select("rep", "n", "own", "root", "bits"), "rep")
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     rows = rows.withColumn("x", F.greatest("block", "other")).withColumn("y", F.least("block", "other"))
-    batches(rows.sparkSession, 2048)
 
     def pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -314,9 +359,8 @@ def crossed(buckets: DataFrame, members: DataFrame, label: DataFrame, p: Params)
             for end in ends:
                 if end - at > 1:
                     g = held.iloc[at:end]
-                    i, j = linkable(p, g)
                     rep = g.rep.to_numpy()
-                    out.append(np.stack([np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])], axis=1))
+                    out += [np.stack([np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])], axis=1) for i, j in linkable(p, g)]
                 at = end
             held = held.iloc[at:]
             if out:

@@ -1,4 +1,4 @@
-"""The registered queries of the operators, each over its whole table, and their SQL."""
+"""The registered queries of the operators, each over its whole table; their SQL is in ``oracles``."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, decontam, html, langid, neardup, secrets, toxicity, warc
+from .oracles import ORACLES  # noqa: F401
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 FIXED_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -54,8 +55,8 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.array_distinct(F.col("phrases.item")))
-    found = found.select("doc_id", "n_words", decontam.hit_words(F.col("hits")).alias("n_hit"), items.alias("items"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    found = found.select("doc_id", "n_words", decontam.hit_words(F.col("hits")).alias("n_hit"), items.alias("items"), "near")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.concat_ws(",", "near").alias("near_items"))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ rule runs on the documents of its query; a rule without mandatory trigrams runs
 exact: leftmost, non-overlapping, then a minimum length; a span is (kind, start, end) in code points,
 end exclusive.
 
+Only documents that satisfy some query are shuffled, to meet their kinds (see ``joins``).
+
 Defined results: a null text is the empty one and has no span; rows of one doc_id share candidates,
 each is matched by its own text; a row without doc_id is matched like the others; of the documents
 the named columns are read and ``extra`` ones kept.
@@ -21,6 +23,9 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let, stored
+from .joins import lookup
+
 #: Strings, clauses and characters that a query may enumerate before it becomes weaker (never wrong).
 MOST = 64
 
@@ -45,6 +50,12 @@ RULES = (
     Rule("github", r"gh[opsru]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
+    Rule("npm", r"npm_[A-Za-z0-9]{36}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{20,}"),
+    Rule("sendgrid", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 
 Query = frozenset  # of clauses; a clause is a frozenset of trigrams. {frozenset()} is true of every text.
@@ -147,34 +158,54 @@ def candidates(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "t
     return met.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds")), full
 
 
+EMPTY = "cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)"
+#: Matches that are walked in one go; a longer list is walked in parts, so that its cost stays linear.
+WALKED = 256
+
+
 def spans(rule: Rule, order: int, text: Column) -> Column:
     """All spans of a rule in a text: the pieces between matches tell where these begin."""
     found, between = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
-    told = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
-    both = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("b"), found.alias("f"), told.alias("t"))
-    empty = "cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)"
+    own = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
+    size = lambda b, f, t: F.struct(F.length(b).alias("b"), F.length(f).alias("f"), F.length(t).alias("t"))
+    each = F.transform(F.arrays_zip(F.slice(between, 1, F.size(found)).alias("b"), found.alias("f"), own.alias("t")), lambda m: size(m["b"], m["f"], m["t"]))
 
     def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(m["b"])
-        end = start + F.length(m["f"])
+        start = acc["at"] + m["b"]
+        end = start + m["f"]
         one = F.array(F.struct(start.alias("start"), F.lit(order).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(m["t"]) >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(m["t"] >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    def walked(part: Column, at: Column) -> Column:
+        return F.aggregate(part, F.struct(at.alias("at"), F.expr(EMPTY).alias("out")), step, lambda acc: acc["out"])
+
+    def apart(each: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.size(each), F.lit(WALKED)), lambda k: F.slice(each, k, WALKED))
+        return let(parts, lambda ps: F.flatten(F.zip_with(ps, F.slice(begins(ps), 1, F.size(ps)), walked)))
 
-    walked = F.aggregate(both, F.struct(F.lit(0).alias("at"), F.expr(empty).alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, F.lit(rule.pattern)), walked).otherwise(F.expr(empty))
+    def begins(parts: Column) -> Column:
+        """Where each part begins: the sums of the parts before it."""
+        long = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda n, m: n + m["b"] + m["f"]))
+        return F.aggregate(long, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    told = let(each, lambda ms: F.when(F.size(ms) <= WALKED, walked(ms, F.lit(0))).otherwise(apart(ms)))
+    return F.when(F.rlike(text, F.lit(rule.pattern)), told).otherwise(F.expr(EMPTY))
 
 
 def scan(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: (doc_id, x, spans), ``x`` the text and ``spans`` (start, rank, kind, end) in order."""
     held, full = candidates(docs, rules, key, text)
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("x"), *[F.col(c) for c in extra])
-    if held is not None:
-        held = held.withColumnRenamed("doc_id", "_doc")
-        rows = rows.join(held, rows["doc_id"].eqNullSafe(held["_doc"]), "left").drop("_doc")
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")
-    each = [spans(r, k, F.col("x")) if r.kind in full else F.when(F.array_contains("kinds", r.kind), spans(r, k, F.col("x"))).otherwise(none) for k, r in enumerate(rules)]
-    rows = rows.select("doc_id", "x", *extra, *[e.alias(f"_s{k}") for k, e in enumerate(each)])
-    return rows.select("doc_id", "x", *extra, F.array_sort(F.concat(*[F.col(f"_s{k}") for k in range(len(rules))])).alias("spans"))
+
+    def told(rows: DataFrame, some: bool) -> DataFrame:
+        found = [spans(r, k, F.col("x")) if r.kind in full else F.when(F.array_contains("kinds", r.kind), spans(r, k, F.col("x"))).otherwise(F.expr(EMPTY)) for k, r in enumerate(rules) if some or r.kind in full]
+        rows = rows.select("doc_id", "x", *extra, *[e.alias(f"_s{k}") for k, e in enumerate(found)])
+        return rows.select("doc_id", "x", *extra, F.array_sort(F.concat(F.expr(EMPTY), *[F.col(f"_s{k}") for k in range(len(found))])).alias("spans"))
+
+    if held is None:
+        return told(rows, False)
+    plain, others = lookup(rows, ["doc_id"], stored(held, "candidates"))
+    return told(plain, False).unionByName(told(others, True))
 
 
 def written(found: Column) -> Column:
@@ -183,13 +214,19 @@ def written(found: Column) -> Column:
 
 
 def redacted(text: Column, found: Column, mark: str = "[REDACTED]") -> Column:
-    """The text with each stretch that spans cover replaced by ``mark``; overlapping spans are one stretch."""
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    done = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, end)
-    return F.when(F.size(found) > 0, done).otherwise(text)
+    """The text with each stretch that spans cover replaced by ``mark``; overlapping or touching spans are one stretch.
+
+    With starts and ends sorted apart, stretches part where the k-th smallest end lies before the next start. What is
+    between them is cut out of the text's UTF-32 form, in which places are found without counting.
+    """
+    a, b = F.array_sort(F.transform(found, lambda s: s["start"])), F.array_sort(F.transform(found, lambda s: s["end"]))
+    bound = F.struct(a.alias("a"), b.alias("b"), F.encode(text, "UTF-32").alias("wide"))
+
+    def pieces(v: Column) -> Column:
+        n = F.size(v["a"]) - 1
+        gaps = F.filter(F.arrays_zip(F.slice(v["b"], 1, n).alias("b"), F.slice(v["a"], 2, n).alias("a")), lambda g: g["b"] < g["a"])
+        kept = F.concat(F.array(F.struct(F.lit(0).alias("b"), F.get(v["a"], F.lit(0)).alias("a"))), gaps, F.array(F.struct(F.element_at(v["b"], -1).alias("b"), (F.octet_length(v["wide"]) / 4).cast("int").alias("a"))))
+        # A character before each piece, taken off again, as a decoder drops a byte order mark that comes first.
+        return F.transform(kept, lambda g: F.substring(F.decode(F.concat(F.unhex(F.lit("00000078")), F.substring(v["wide"], g["b"] * 4 + 1, (g["a"] - g["b"]) * 4)), "UTF-32"), 2, 2147483647))
+
+    return F.when(F.size(found) > 0, let(bound, lambda v: F.array_join(pieces(v), mark))).otherwise(text)

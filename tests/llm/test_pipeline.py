@@ -2,9 +2,11 @@
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioscan.llm import bpe
+from folioscan.llm.common import stored
 from folioscan.llm.queries import VOCABULARY
 
 from .test_operators import MEDIUM, contaminated, linked, read, secret_spans
@@ -46,3 +48,16 @@ def test_languages_that_were_not_learned_go(spark):
     more = spark.createDataFrame([(-1 - k, x, None, "s", len(x)) for k, x in enumerate(foreign)], docs.schema)
     kept = corpus_pipeline.language(spark, docs.unionByName(more), MEDIUM).collect()
     assert {r.doc_id for r in kept} == clean
+
+
+def test_odd_rows(spark):
+    """Nulls, repeats, ties and a very long text go through every stage, and equal rows stay once."""
+    words = lambda c: " ".join(f"{c}{k}" for k in range(30))
+    rows = [(1, words("a"), "en", "s", 5), (1, words("a"), None, "r", None), (1, words("b"), "en", None, None), (None, words("c"), "en", None, 1), (None, words("c"), "en", None, 1), (None, None, None, None, None), (2, "", "en", "s", 0), (3, words("d") + " password = " + "k" * 40, "en", "s", 1), (4, words("e") * 3000, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit(1)).withColumn("spans", F.lit("x"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, MEDIUM), "odd")
+        kept[name] = [(r.doc_id, r.lang) for r in docs.select("doc_id", "lang").collect()]
+    assert sorted(kept["near duplicates"], key=str) == sorted([(1, "en"), (1, "en"), (None, "en"), (3, "en"), (4, "en")], key=str)
+    assert len(kept["byte-level BPE"]) == 5 and docs.filter("not round_trip").count() == 0

@@ -31,7 +31,6 @@ from .joins import lookup
 
 BROADCAST = 200_000
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-WORD_RUN = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,11 +41,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered, NOT_WORD), "")
 
 
-def word_count(text: Column) -> Column:
-    """The number of ``words``, without making them."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD_RUN)), F.lit(0)).cast("long")
-
-
 def bounded(df: DataFrame, size: Column | None = None) -> DataFrame:
     """A broadcast hint, if the frame's rows, or their summed ``size``, are counted to be few enough."""
     total = df.agg(F.count(F.lit(1)) if size is None else F.sum(size)).first()[0]
@@ -129,7 +123,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int =
     # Texts are joined, not their words, which would be larger.
     plain, others = lookup(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_x"), *[F.col(x) for x in extra]), ["doc_id"], by_doc)
     none = F.expr("cast(array() as array<struct<item:string,a:int,b:int>>)")
-    plain = plain.select("doc_id", *extra, word_count(F.col("_x")).alias("n_words"), none.alias("phrases"), F.expr("cast(array() as array<string>)").alias("near"))
+    plain = plain.select("doc_id", *extra, F.size(words(F.col("_x"))).cast("long").alias("n_words"), none.alias("phrases"), F.expr("cast(array() as array<string>)").alias("near"))
 
     def of_item(c: Column, w: Column) -> Column:
         exact = F.filter(c["at"], lambda d: d["exact"])

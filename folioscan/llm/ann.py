@@ -8,9 +8,10 @@ distance, scaled by ``D / d``, exceeds the query's bound by the factor ``(1 + ep
 hypothesis test of ADSampling, Gao and Long, 2023). Survivors get their inner product of the original
 vectors in double precision.
 
-Bounds come from scanned vectors alone, nearest lists first. A query's nearest lists, which hold k other
-vectors together, are scanned whole; the k-th of what they give bounds the scan of its other probed lists,
-and falls further as these are scanned one after the other. All rows come from scanned lists. Lists are
+Bounds come from scanned vectors alone, nearest lists first, in waves. A query's nearest lists, which hold k
+other vectors together, are scanned whole; the k-th of what they give bounds the scan of the next lists, up to a
+64th of those that it probes, the k-th then those up to an eighth, and so the rest. Within a task it falls further as lists
+are scanned one after the other. All rows come from scanned lists. Lists are
 packed into cells of about ``block`` vectors, larger ones are dealt to several; a cell's task meets the
 queries that probe a list of it, in blocks of ``block`` too, and a query is sent once to a cell.
 
@@ -37,6 +38,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+#: The waves of lists that a query probes, nearest first: those that hold k vectors, then up to a part of them all.
+WAVES = {"first": None, "next": 1 / 64, "more": 1 / 8, "others": 1}
+
+
 @dataclass(frozen=True)
 class Params:
     """``sample`` bounds the vectors that centroids are fitted on, and as many others that probes are fitted on; ``block`` the vectors, and the queries, of a task."""
@@ -126,6 +131,8 @@ def build(rows: DataFrame, p: Params = Params()) -> tuple[Index, DataFrame] | No
     lists = min(p.lists or max(1, int(4 * np.sqrt(n))), max(1, len(x) // 4))
     deep = augment(x, norm)
     c = kmeans(deep, lists, rng)
+    # Lists that lie together are numbered together, so that they share cells.
+    c = c[np.argsort(np.argmin(squared(c, kmeans(c, max(1, min(lists, int(n / p.block))), rng)), axis=1), kind="stable")]
     rotation = np.linalg.qr(rng.standard_normal((deep.shape[1],) * 2))[0]
 
     # Probes: the fewest lists that hold `recall` of the neighbours of sampled queries, among vectors that the centroids
@@ -279,17 +286,25 @@ def search(table: DataFrame, index: Index, queries: DataFrame) -> DataFrame:
                 held = np.cumsum(ix.sizes[near], axis=1)
                 first = np.minimum(1 + (held < ix.p.k + 1).sum(axis=1), near.shape[1])  # these lists hold k others together
                 depth = np.maximum(ix.probes, first)
-                lists = [(near[j, : first[j]], near[j, first[j] : depth[j]]) for j in range(len(some))]
-                yield pd.DataFrame({"id": some.id.to_numpy(), "v": some.v.to_numpy(), "first": [a for a, _ in lists], "others": [b for _, b in lists]})
+                edges = [[0, *(max(first[j], int(depth[j] * (part or 0))) for part in WAVES.values())] for j in range(len(some))]
+                lists = {name: [near[j, e[k] : e[k + 1]] for j, e in enumerate(edges)] for k, name in enumerate(WAVES)}
+                yield pd.DataFrame({"id": some.id.to_numpy(), "v": some.v.to_numpy()} | lists)
 
-    asked = stored(queries.mapInPandas(probed, "id long, v array<double>, first array<int>, others array<int>"), "asked")
-    near = stored(ranked(met(table, index, asked.select("id", "v", F.lit(float("inf")).alias("bound"), F.col("first").alias("lists"))), p.k), "near")
-    # The bound of what is left: the distance of the k-th vector so far.
-    last = near.filter(F.col("rank") == p.k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    asked = stored(queries.mapInPandas(probed, "id long, v array<double>, " + ", ".join(f"{w} array<int>" for w in WAVES)), "asked")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) + index.norm**2
-    others = asked.filter(F.size("others") > 0).join(last, "id", "left").select("id", "v", F.coalesce(square - 2 * F.col("kth"), F.lit(float("inf"))).alias("bound"), F.col("others").alias("lists"))
-    found = near.select("query_id", "vec_id", "score").unionByName(met(table, index, others))
-    return ranked(found, p.k).select("query_id", "rank", "vec_id", "score")
+    found = None
+    for wave in WAVES:
+        now = asked.filter(F.size(wave) > 0).withColumn("lists", F.col(wave))
+        if found is None:
+            found = met(table, index, now.select("id", "v", F.lit(float("inf")).alias("bound"), "lists"))
+        else:  # bounded by the distance of the k-th vector so far
+            last = found.filter(F.col("rank") == p.k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+            now = now.join(last, "id", "left").select("id", "v", F.coalesce(square - 2 * F.col("kth"), F.lit(float("inf"))).alias("bound"), "lists")
+            found = found.select("query_id", "vec_id", "score").unionByName(met(table, index, now))
+        found = ranked(found, p.k)
+        if wave != "others":
+            found = stored(found, wave)
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, queries=None, key: str = "vec_id", vector: str = "embedding", p: Params = Params()) -> DataFrame:

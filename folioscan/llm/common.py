@@ -17,8 +17,8 @@ from ..storage import cut, qualified, shared_dir, stored
 
 __all__ = ["Hashed", "cut", "let", "mix32", "mix64", "qualified", "released", "shared_dir", "slices", "stored"]
 
-#: Bytes of values that an operator takes from an Arrow batch at a time. Spark itself bounds the batch, to 64 MB
-#: by default (``spark.sql.execution.arrow.maxBytesPerBatch``), or to one row.
+#: Bytes of values that an operator takes from an Arrow batch at a time. The batch itself is bounded by Spark
+#: (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB if nobody sets it), or is one row.
 SLICE_BYTES = 4 << 20
 
 

@@ -64,7 +64,7 @@ def rarest(docs: DataFrame, items: DataFrame, width: int, text: str = "text") ->
     placed = items.select("rid", F.size("w").alias("n"), F.posexplode("w").alias("at", "term"))
     vocabulary = cut(placed.select("term").distinct())
     counts = docs.select(F.explode(words(F.col(text))).alias("term")).join(bounded(vocabulary), "term").groupBy("term").agg(F.count("term").alias("df"))
-    known = placed.join(cut(counts), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    known = placed.join(bounded(cut(counts)), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     starts = F.sequence(F.greatest(F.lit(0), F.col("at") - width + 1), F.least("at", F.greatest(F.lit(0), F.col("n") - width)))
     each = known.select("rid", "at", "term", "df", F.explode(starts).alias("start"))
     # Of one term's occurrences in a window only the first counts, so that the second list is another term's.

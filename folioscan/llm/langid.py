@@ -200,7 +200,8 @@ def detect(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
                     lang, score = zip(*[decide(x, f) for x in part.to_pylist()]) if len(part) else ((), ())
                     yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
-    found = docs.withColumn("_lang", decided(F.col(text)))
+    # Not to be evaluated again by a filter on its result.
+    found = docs.withColumn("_lang", decided.asNondeterministic()(F.col(text)))
     return found.withColumn("lang_pred", F.col("_lang.lang_pred")).withColumn("score", F.col("_lang.score")).drop("_lang")
 
 

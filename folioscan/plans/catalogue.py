@@ -242,20 +242,8 @@ def compaction(spark, sf_dir):
     return pp.compact(st.state_log(spark, sf_dir), ["seq"], key="paper_id").select("paper_id", "seq", "event_type")
 
 
-@query(f"with {duck.DOCS} select d.doc_id, d.id, d.title, m.abstract from docs d left join docs m using (doc_id) where d.doc_id < 100")
-def snapshot_round_trip(spark, sf_dir):
-    """The newest documents with their metadata, read back from a written snapshot by chunk and month."""
-    index = built(spark, sf_dir)
-    path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
-    snapshots.write_snapshot(index, path)
-    snapshots.read_manifest(spark, path)
-    docs = snapshots.read_docs(spark, path, [0]).filter(F.col("doc_id") < 100).select("doc_id", "id", "title", F.regexp_replace(F.substring("published", 1, 7), "-", "").alias("m"))
-    meta = spark.read.option("basePath", f"{path}/meta").parquet(f"{path}/meta").select("id", "abstract", F.col("month").cast("string").alias("month"))
-    return docs.join(meta, (docs["id"] == meta["id"]) & (F.col("m") == F.col("month")), "left").select("doc_id", docs["id"], "title", "abstract")
-
-
 @query(f"with {duck.DOCS} select doc_id, doc_id // 512 as chunk, id, title, authors, categories, published, updated, abstract, cast(null as varchar) as comment, cast(null as varchar) as doi, cast(null as varchar) as journal_ref from docs")
-def snapshot_round_trip_whole(spark, sf_dir):
+def snapshot_round_trip(spark, sf_dir):
     """Every document of every display chunk with all its metadata, read back from a written snapshot."""
     path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
     snapshots.write_snapshot(built(spark, sf_dir), path)
@@ -424,16 +412,8 @@ def history(spark, sf_dir):
     return st.history(rows)
 
 
-@query("select 'note' as source, cast(conv_id as varchar) || '-' || turn as paper_id, text as body from conversations where turn = 0 and contains(lower(text), 'tion') union all select 'highlight', cast(conv_id as varchar) || '-' || turn, '\"' || text || '\"' from conversations where turn = 1 and contains(lower(text), 'tion')")
-def notes_search(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("paper_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).withColumn("deleted", F.lit(False))
-    notes = rows.filter("turn = 0").select("paper_id", F.col("text").alias("body"), "deleted")
-    marks = rows.filter("turn = 1").select("paper_id", F.col("text").alias("exact"), F.lit(None).cast("string").alias("note"), "deleted")
-    return st.search_notes(notes, marks, " TION ").drop("title")
-
-
 @query("select case when turn % 2 = 0 then 'note' else 'highlight' end as source, cast(conv_id as varchar) || '-' || turn as paper_id, case when turn % 2 = 0 then text else '\"' || text || '\"' end as body from conversations where contains(lower(text), 'tion')")
-def notes_search_whole(spark, sf_dir):
+def notes_search(spark, sf_dir):
     """All turns are searched: the even ones as notes, the odd ones as highlights."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("paper_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).withColumn("deleted", F.lit(False))
     notes = rows.filter("turn % 2 = 0").select("paper_id", F.col("text").alias("body"), "deleted")
@@ -463,97 +443,78 @@ def library_upsert(spark, sf_dir):
     return st.upsert(entries, changes, 7).filter("starred and not deleted").select("paper_id", "status", F.col("added_at").cast("long").alias("added_at"))
 
 
-@query()
+@query("""with recursive r as (select user_id as key, epoch_us(ts) // 60000000 as t, row_number() over (partition by user_id order by epoch_us(ts) // 60000000, event_id) as k from events),
+s as (select key, k, t as first, t as last, cast(null as bigint) as saved from r where k = 1
+ union all select r.key, r.k, case when least(s.last + 900, s.first + 1200) <= r.t then r.t else s.first end, r.t, case when least(s.last + 900, s.first + 1200) <= r.t then least(s.last + 900, s.first + 1200) end
+ from s join r on r.key = s.key and r.k = s.k + 1)
+select key, saved as saved_at from s where saved is not null union all select key, least(last + 900, first + 1200) from s where (key, k) in (select key, max(k) from r group by key)""")
 def debounced_saves(spark, sf_dir):
+    """Requests come at each event's minute, as if minutes were milliseconds, so that many fall within the quiet period."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return st.save_times(events.select(F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at")))
+    return st.save_times(events.select(F.col("user_id").alias("key"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000).cast("long").alias("at")))
 
 
 # Structure
 
-# Worked out by hand from `paper_pages`: a heading's text runs into the paragraph's first word, and
-# short neighbours are merged.
-UNITS = values(
-    (1, "1-introduction", "S1", "S1", "1 Introduction", 1, 397, 2, False, 0, 0),
-    (1, "2-method", "S2", "S2.SS1", "2 Method", 1, 100, 1, False, 0, 1),
-    (1, "2-1-data", "S2.SS1", "S2.SS1", "2.1 Data", 2, 400, 2, False, 0, 2),
-    (1, "2-2-data", "S2.SS2", "S2.SS2", "2.2 Data", 2, 500, 3, False, 0, 3),
-    (1, "3-short", "S3", "S4", "3 Short", 1, 31, 1, False, 1, 4),
-    (1, "a-proofs", "A1", "A1", "A Proofs", 1, 720, 4, True, 0, 5),
-    names="n, key, element_id, end_element_id, label, level, words, minutes, appendix, merged, ordinal",
-)
-SECTION = "<section id='{0}' class='ltx_section'><h2 class='ltx_title ltx_title_section'><span class='ltx_tag'>{1}</span>{2}</h2><p>{3}</p>{4}</section>"
-
-
-def paper_pages(spark: SparkSession) -> DataFrame:
-    """A few hand-written papers with sections, an appendix and links."""
-    prose = lambda n: " ".join(["word"] * n)
-    sub = SECTION.format("S2.SS1", "2.1", "Data", prose(400), "") + SECTION.format("S2.SS2", "2.2", "Data", prose(500), "")
-    body = SECTION.format("S1", "1", "Introduction", prose(397), "") + SECTION.format("S2", "2", "Method", prose(100), sub) + SECTION.format("S3", "3", "Short", prose(10), "") + SECTION.format("S4", "4", "Also short", prose(20), "")
-    appendix = "<section id='A1' class='ltx_appendix'><h2 class='ltx_title ltx_title_appendix'><span class='ltx_tag'>A</span>Proofs</h2><p>" + prose(720) + "</p></section>"
-    links = "<a href='#S1'>in</a><a href='2608.1v1/fig.html'>out</a><img src='x.png'><img src='/static/logo.png'>"
-    page = f"<html><body><nav>menu</nav><div class='ltx_page_main'><div class='ltx_abstract'><h6>Abstract</h6><p> What we did. </p></div>{body}{appendix}{links}</div></body></html>"
-    return spark.createDataFrame([(1, "https://arxiv.org/html/2608.1", page), (2, "https://arxiv.org/html/none", "<html><body>No HTML</body></html>")], "n int, url string, html string")
-
-
-@query(UNITS)
-def reading_units(spark, sf_dir):
-    found = sr.structure(paper_pages(spark)).select("n", F.explode("doc.units").alias("u"))
-    return found.select("n", "u.*")
+def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rendered paper for every document: two sections whose lengths follow its number, an abstract, links and what is no part of it."""
+    number = F.col("doc_id").cast("string")
+    first, second = F.repeat(F.lit("word "), (F.col("doc_id") % 900 + 1).cast("int")), F.repeat(F.lit("more "), (F.col("doc_id") % 70 + 1).cast("int"))
+    section = lambda at, head, body: F.concat(F.lit(f"<section id='S{at}' class='ltx_section'><h2 class='ltx_title ltx_title_section'><span class='ltx_tag'>{at}</span>"), head, F.lit("</h2><p>"), body, F.lit("</p></section>"))
+    page = F.concat(
+        F.lit("<html><body><nav><a href='/'>menu</a></nav><div class='ltx_page_main'><div class='ltx_abstract'><p> About "), number, F.lit(" </p></div>"),
+        section(1, F.concat(F.lit("Head "), number), first), section(2, F.lit("Tail"), second),
+        F.lit("<a href='#S1'>in</a><a href='p"), number, F.lit(".html'>out</a><img src='/static/x.png'><script>no</script></div></body></html>"),
+    )
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("https://example.org/html/"), number).alias("url"), page.alias("html"))
 
 
-@query(values((1, "S1", "1Introduction", 1), (1, "S2", "2Method", 1), (1, "S2.SS1", "2.1Data", 1), (1, "S2.SS2", "2.2Data", 1), (1, "S3", "3Short", 1), (1, "S4", "4Also short", 1), names="n, id, label, level"))
-def html_toc(spark, sf_dir):
-    return sr.structure(paper_pages(spark)).select("n", F.explode("doc.toc").alias("t")).select("n", "t.id", "t.label", "t.level")
-
-
-@query(values((1, True, "What we did."), (2, False, None), names="n, available, abstract"))
-def html_abstract(spark, sf_dir):
-    return sr.structure(paper_pages(spark)).select("n", F.col("doc").isNotNull().alias("available"), "doc.abstract")
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sr.structure(document_pages(spark, sf_dir))
 
 
-def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sr.structure(spark.read.parquet(f"{sf_dir}/pages.parquet"), any_body=True)
+N1, N2 = "(doc_id % 900 + 2)", "(doc_id % 70 + 1)"  # words of the sections: the heading runs into the first word
+UNIT = "cast({0} as int) as words, cast(greatest(1, floor({0} / 180 + 0.5)) as int) as minutes, false as appendix"
 
 
-@query()
-def reading_units_whole(spark, sf_dir):
-    return page_structure(spark, sf_dir).select("page_id", F.explode("doc.units").alias("u")).select("page_id", "u.*")
+@query(f"""select doc_id, '1-head-' || doc_id as key, 'S1' as element_id, case when {N1} < 350 then 'S2' else 'S1' end as end_element_id, '1 Head ' || doc_id as label, 1 as level, {UNIT.format(f"(case when {N1} < 350 then {N1} + {N2} else {N1} end)")}, case when {N1} < 350 then 1 else 0 end as merged, 0 as ordinal from documents
+ union all select doc_id, '2-tail', 'S2', 'S2', '2 Tail', 1, {UNIT.format(N2)}, 0, 1 from documents where {N1} >= 350""")
+def reading_units(spark, sf_dir):
+    return described(spark, sf_dir).select("doc_id", F.explode("doc.units").alias("u")).select("doc_id", "u.*")
 
 
-@query()
-def html_toc_whole(spark, sf_dir):
-    return page_structure(spark, sf_dir).select("page_id", F.explode("doc.toc").alias("t")).select("page_id", "t.id", "t.label", "t.level")
+@query("select doc_id, 'S1' as id, '1Head ' || doc_id as label, 1 as level from documents union all select doc_id, 'S2', '2Tail', 1 from documents")
+def html_toc(spark, sf_dir):
+    return described(spark, sf_dir).select("doc_id", F.explode("doc.toc").alias("t")).select("doc_id", "t.id", "t.label", "t.level")
 
 
-@query()
-def html_abstract_whole(spark, sf_dir):
-    return page_structure(spark, sf_dir).select("page_id", F.col("doc").isNotNull().alias("available"), "doc.abstract")
+@query("select doc_id, true as available, 'About ' || doc_id as abstract from documents")
+def html_abstract(spark, sf_dir):
+    return described(spark, sf_dir).select("doc_id", F.col("doc").isNotNull().alias("available"), "doc.abstract")
 
 
-@query()
+@query("select doc_id, '1Head ' || doc_id || repeat('word ', doc_id % 900 + 1) || '2Tail' || repeat('more ', doc_id % 70 + 1) || 'inout' as text from documents")
 def html_text(spark, sf_dir):
-    return sr.structure(spark.read.parquet(f"{sf_dir}/pages.parquet"), any_body=True).select("page_id", "doc.text")
+    return described(spark, sf_dir).select("doc_id", "doc.text")
 
 
-@query()
+@query("select doc_id, 0 as n, '#S1' as href, true as internal from documents union all select doc_id, 1, 'https://example.org/html/p' || doc_id || '.html', false from documents")
 def html_links(spark, sf_dir):
-    found = sr.structure(spark.read.parquet(f"{sf_dir}/pages.parquet"), any_body=True)
-    return found.select("page_id", F.posexplode("doc.links").alias("n", "l")).select("page_id", "n", "l.href", "l.internal")
+    return described(spark, sf_dir).select("doc_id", F.posexplode("doc.links").alias("n", "l")).select("doc_id", "n", "l.href", "l.internal")
 
 
-@query("select doc_id, 10 as start, substr(text, 11, 20) as exact, 10 + instr(substr(text, 11), substr(text, 11, 20)) - 1 >= 0 as found from documents where length(text) >= 62")
-def quote_anchors(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.length("text") >= 62)
-    rows = docs.select("doc_id", "text", sr.quote_anchor(F.col("text"), F.lit(10), F.lit(20)).alias("a"))
-    return rows.select("doc_id", F.lit(10).alias("start"), "a.exact", sr.locate(F.col("text"), F.col("a")).isNotNull().alias("found"))
+@query()
+def page_text(spark, sf_dir):
+    """The cleaned text of every page; where the paper's marker is absent, of its body."""
+    return sr.structure(spark.read.parquet(f"{sf_dir}/pages.parquet"), any_body=True).select("page_id", "doc.text")
 
 
-@query("select doc_id, 10 as start, substr(text, 11, 20) as exact, length(text) > 10 as found from documents")
-def quote_anchors_whole(spark, sf_dir):
-    """Texts too short for a whole quotation have a part of it, or none."""
+@query("""with a as (select doc_id, text, substr(text, 11, 20) as exact, substr(text, 1, 10) as prefix, substr(text, 31, 32) as suffix from documents)
+select doc_id, exact, prefix, suffix, case when exact <> '' then cast(instr(text, prefix || exact || suffix) + instr(prefix || exact || suffix, exact) - 2 as int) end as place from a""")
+def quote_anchors(spark, sf_dir):
+    """Each text's 20 characters from the tenth on, with what is around them, and where they are found again; short texts have a part, or none."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", sr.quote_anchor(F.col("text"), F.lit(10), F.lit(20)).alias("a"))
-    return rows.select("doc_id", F.lit(10).alias("start"), "a.exact", F.when(F.col("text").isNotNull(), sr.locate(F.col("text"), F.col("a")).isNotNull()).alias("found"))
+    return rows.select("doc_id", "a.exact", "a.prefix", "a.suffix", sr.locate(F.col("text"), F.col("a")).alias("place"))
 
 
 # Streams
@@ -568,16 +529,8 @@ def stream_merge(spark, sf_dir):
     return streams.run_merge(spark, log, name, f"{shared_dir(spark)}/{name}").select("paper_id", "seq", "deleted", "updated_at")
 
 
-@query("with m as (select event_type as set_name, max(cast(ts as date)) as day from events where event_id % 3 <> 0 group by 1) select event_id, event_type as set_name from events e left join m on e.event_type = m.set_name where cast(ts as date) >= coalesce(day, date '1970-01-01')")
+@query("with m as (select event_type as set_name, max(cast(ts as date)) as day from events group by 1) select event_id, event_type as set_name from events e left join m on e.event_type = m.set_name where cast(ts as date) >= coalesce(day, date '1970-01-01')")
 def stream_bookmark(spark, sf_dir):
     """What a harvest reads again: from the latest day of each set on, that day included."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("event_type").alias("set_name"), F.col("ts").cast("date").cast("string").alias("datestamp"))
-    marks = streams.bookmark(events.filter("event_id % 3 <> 0"), "set_name")
-    return streams.since_bookmark(events, marks, "1970-01-01", "set_name").select("event_id", "set_name")
-
-
-@query("with m as (select event_type as set_name, max(cast(ts as date)) as day from events group by 1) select event_id, event_type as set_name from events e left join m on e.event_type = m.set_name where cast(ts as date) >= coalesce(day, date '1970-01-01')")
-def stream_bookmark_whole(spark, sf_dir):
-    """The marks come from all events."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("event_type").alias("set_name"), F.col("ts").cast("date").cast("string").alias("datestamp"))
     return streams.since_bookmark(events, streams.bookmark(events, "set_name"), "1970-01-01", "set_name").select("event_id", "set_name")

@@ -1,4 +1,4 @@
-"""Queries over whole tables, where others of the catalogue read a part."""
+"""Queries read whole tables."""
 
 import duckdb
 
@@ -15,7 +15,7 @@ def rows_of(table, sql):
 
 def test_snapshot_reads_every_chunk(spark):
     """More than one chunk, and no document left out."""
-    got = catalogue.QUERIES["snapshot_round_trip_whole"](spark, MEDIUM).collect()
+    got = catalogue.QUERIES["snapshot_round_trip"](spark, MEDIUM).collect()
     want = rows_of("documents", f"with {duck.DOCS} select doc_id, id, title, abstract from docs")
     assert len({r.chunk for r in got}) > 1
     assert sorted((r.doc_id, r.id, r.title, r.abstract) for r in got) == sorted(want)
@@ -23,13 +23,11 @@ def test_snapshot_reads_every_chunk(spark):
 
 def test_notes_of_every_turn_are_searched(spark):
     """Turns after the first two give hits, and every turn that holds the query is one."""
-    got = {r.paper_id for r in catalogue.QUERIES["notes_search_whole"](spark, MEDIUM).collect()}
+    got = {r.paper_id for r in catalogue.QUERIES["notes_search"](spark, MEDIUM).collect()}
     want = rows_of("conversations", "select conv_id || '-' || turn from conversations where contains(lower(text), 'tion')")
     assert got == {x for x, in want} and any(int(x.split("-")[1]) > 1 for x in got)
 
 
-def test_short_texts_have_anchors_and_pages_have_structure(spark):
-    got = catalogue.QUERIES["quote_anchors_whole"](spark, MEDIUM)
-    assert got.count() == rows_of("documents", "select count(*) from documents")[0][0]
-    pages = {r.page_id for r in catalogue.QUERIES["html_abstract_whole"](spark, MEDIUM).collect()}
-    assert pages == {x for x, in rows_of("pages", "select page_id from pages")}
+def test_requests_are_debounced(spark):
+    got = catalogue.QUERIES["debounced_saves"](spark, MEDIUM).count()
+    assert 0 < got < 0.9 * rows_of("events", "select count(*) from events")[0][0]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..storage import cut, qualified, shared_dir, stored
 
-__all__ = ["Hashed", "cut", "let", "mix32", "mix64", "qualified", "released", "shared_dir", "slices", "stored"]
+__all__ = ["Hashed", "cut", "let", "mix32", "mix64", "qualified", "released", "shared_dir", "slices", "stored", "trim"]
 
 #: Bytes of values that an operator takes from an Arrow batch at a time. The batch itself is bounded by Spark
 #: (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB if nobody sets it), or is one row.
@@ -40,22 +40,25 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def trim() -> None:
+    """Give a Python worker's free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to trim
+
+
 @contextmanager
 def released() -> Iterator[None]:
-    """Give a Python worker's free memory back to the system at the end: idle workers outlive their task."""
+    """``trim`` at the end: idle workers outlive their task."""
     try:
         yield
     finally:
         import gc
 
-        import pyarrow
-
         gc.collect()
-        pyarrow.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass  # another C library: nothing to trim
+        trim()
 
 
 def mix32(x: np.ndarray) -> np.ndarray:
@@ -79,7 +82,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class Hashed(dict):
     """word -> 64-bit hash, remembered for up to ``most`` words; then it starts afresh."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 

@@ -23,12 +23,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, released, slices, stored
+from .common import mix64, released, slices, stored, trim
 
 UND = "und"
 #: Languages of one plane: the bits of a signed 64-bit word but its sign.
@@ -199,6 +198,7 @@ def detect(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
                 for part in slices(batch):
                     lang, score = zip(*[decide(x, f) for x in part.to_pylist()]) if len(part) else ((), ())
                     yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+                trim()
 
     # Not to be evaluated again by a filter on its result.
     found = docs.withColumn("_lang", decided.asNondeterministic()(F.col(text)))

@@ -37,12 +37,11 @@ from dataclasses import dataclass
 from itertools import chain, combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashed, cut, mix32, mix64, released, slices, stored
+from .common import Hashed, cut, mix32, mix64, released, slices, stored, trim
 from .graph import components
 from .joins import by_class, lookup, only
 
@@ -165,6 +164,7 @@ def described(docs: DataFrame, key: str, text: str, p: Params) -> DataFrame:
                         rows.append((len(found), digested(found), signature(found, p).tobytes() if len(found) else None))
                     n, digest, sig = zip(*rows) if rows else ((), (), ())
                     yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["n", "digest", "sig"])
+                trim()
             words.clear()
 
     return docs.select(F.col(key).cast("long").alias("id"), describe(F.col(text)).alias("d")).select("id", "d.*")
@@ -183,6 +183,7 @@ def full_sets(docs: DataFrame, members: DataFrame, key: str, text: str, p: Param
                     flat = np.concatenate(found) if found else np.zeros(0, np.int64)
                     offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
                     yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64())), pa.array([digested(x) for x in found], pa.binary())], ["s", "digest"])
+                trim()
             words.clear()
 
     texts = only(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("x")), ["id"], members)
@@ -196,15 +197,14 @@ def owned(sets: DataFrame, p: Params) -> DataFrame:
     """(id, n, own, bits): the size of each set, how many of its shingles no other set has, and a bitmap
     of ``p.cells`` bits with the cells that the rest fall in by their hash."""
 
-    @F.pandas_udf("array<long>")
-    def bitmap(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<long>")
+    def bitmap(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for each in parts:
-            out = []
-            for x in each:
-                cells = np.zeros(p.cells, np.uint8)
-                cells[np.asarray(x, np.int64) & (p.cells - 1)] = 1
-                out.append(np.packbits(cells).view(np.int64))
-            yield pd.Series(out, dtype=object)
+            out = np.zeros((len(each), p.cells), np.uint8)
+            for k, x in enumerate(each):
+                out[k, x.values.to_numpy() & (p.cells - 1)] = 1
+            offsets = pa.array(np.arange(len(each) + 1) * (p.cells // 64), pa.int32())
+            yield pa.ListArray.from_arrays(offsets, pa.array(np.packbits(out, axis=1).view(np.int64).ravel()))
 
     alone = sets.select("id", F.explode("s").alias("h")).groupBy("h").agg(F.count("id").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.collect_list("h").alias("alone"))
     both = sets.join(alone, "id", "left").withColumn("rest", F.when(F.col("alone").isNull(), F.col("s")).otherwise(F.array_except("s", "alone")))
@@ -346,6 +346,8 @@ def crossed(buckets: DataFrame, members: DataFrame, label: DataFrame, p: Params)
     rows = rows.withColumn("x", F.greatest("block", "other")).withColumn("y", F.least("block", "other"))
 
     def pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd  # here alone, as it takes much of a worker's memory
+
         held = None
         for part in chain(parts, [None]):
             if part is not None:

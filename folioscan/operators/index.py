@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import Window
 
 from ..config import Config
 from ..functions import text as tx
-from ..storage import cut
+from ..storage import stored
 from .papers import in_scope
 
 # Field bits and weights, BM25 parameters, the quantised range.
@@ -38,7 +39,10 @@ def weight_of(quantum: Column) -> Column:
 
 @dataclass
 class Index:
-    """A built index: documents by number, postings, terms with their document frequency, and the one-row manifest."""
+    """A built index: documents by number, postings by shard, terms with their document frequency, and the one-row manifest.
+
+    All but the manifest are Parquet tables, so a search reads the shards of its terms and the columns it shows.
+    """
 
     config: Config
     docs: DataFrame
@@ -51,9 +55,9 @@ def numbered(rows: DataFrame, *order: Column) -> DataFrame:
     """Dense numbers from 0 in a global order, without one task seeing all rows.
 
     Rows are range-partitioned and numbered within partitions; partition sizes, one number each, give
-    the offsets. The partitioning is cut, as a range's bounds may differ when it is computed again.
+    the offsets. The partitioning is stored, as a range's bounds may differ when it is computed again.
     """
-    placed = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    placed = stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
     sizes = {r[0]: r[1] for r in placed.groupBy("_part").count().collect()}
     offsets, at = [], 0
     for part in sorted(sizes):
@@ -113,13 +117,15 @@ def make_postings(docs: DataFrame, stats: dict, cutoff: str, config: Config) ->
 def build(papers: DataFrame, config: Config = Config()) -> Index:
     """Number, measure and index papers. The manifest's averages are rounded to two places."""
     spark = papers.sparkSession
-    docs = cut(document_numbers(papers, config))
+    docs = stored(document_numbers(papers, config), "docs")
     stats = corpus_stats(docs).first().asDict()
     cutoff = ""
     if config.abstract_window_months is not None and stats["newest"]:
         cutoff = spark.range(1).select(tx.months_before(F.lit(stats["newest"]), config.abstract_window_months)).first()[0]
-    postings = cut(make_postings(docs, stats, cutoff, config))
-    terms = cut(postings.groupBy("term").agg(F.count("doc_id").alias("df")))
+    # By ranges, so that a frequent term or shard spans several tasks and a shard has few files.
+    ordered = make_postings(docs, stats, cutoff, config).repartitionByRange("shard", "term", "doc_id").sortWithinPartitions("shard", "term", "doc_id")
+    postings = stored(ordered, "postings", "shard")
+    terms = stored(postings.groupBy("term").agg(F.count("doc_id").alias("df")), "terms")
     total = terms.agg(F.count("term"), F.sum("df")).first()
     row = {
         "schema": 1,
@@ -137,8 +143,9 @@ def build(papers: DataFrame, config: Config = Config()) -> Index:
         "avg_abstract": round(stats["avg_abstract"], 2),
         "term_count": total[0],
         "posting_count": total[1] or 0,
+        "built_at": int(time.time() * 1000),
     }
-    kinds = "schema int, doc_count long, docs_per_chunk int, chunk_count long, prefix_length int, categories array<string>, abstract_cutoff string, newest string, oldest string, avg_title double, avg_author double, avg_category double, avg_abstract double, term_count long, posting_count long"
+    kinds = "schema int, doc_count long, docs_per_chunk int, chunk_count long, prefix_length int, categories array<string>, abstract_cutoff string, newest string, oldest string, avg_title double, avg_author double, avg_category double, avg_abstract double, term_count long, posting_count long, built_at long"
     return Index(config, docs, postings, terms, spark.createDataFrame([tuple(row.values())], kinds))
 
 

@@ -51,6 +51,26 @@ def merge(local: DataFrame, remote: DataFrame, key: str, seq: str | None = None)
     return latest(sides, key, ("updated_at", "_l", "_s")).drop("_s", "_l")
 
 
+def put(rows: DataFrame, changes: DataFrame, key: str, seq: str | None = None) -> DataFrame:
+    """Rows with changes put over them by key, whatever their times; of repeats in the changes the last by ``seq`` stands."""
+    number = F.col(seq) if seq else F.lit(0)
+    sides = rows.withColumn("_s", F.lit(0).cast("long")).withColumn("_l", F.lit(0)).unionByName(changes.withColumn("_s", number.cast("long")).withColumn("_l", F.lit(1)), allowMissingColumns=True)
+    return latest(sides, key, ("_l", "_s")).drop("_s", "_l")
+
+
+def normalise(spark: SparkSession, document: dict | None, schemas: dict) -> dict:
+    """A state document with all seven tables: absent ones are empty, an absent time is 0, settings stay as they are."""
+    given = document or {}
+    tables = {n: given[n] if given.get(n) is not None else spark.createDataFrame([], schemas[n]) for n in TABLES}
+    return tables | {"schema": 1, "updated_at": given.get("updated_at") or 0, "settings": given.get("settings")}
+
+
+def import_document(spark: SparkSession, local: dict, incoming: dict | None, schemas: dict) -> dict:
+    """Local state with an incoming document put over it: nothing is cleared, and settings are not taken."""
+    mine, theirs = normalise(spark, local, schemas), normalise(spark, incoming, schemas)
+    return mine | {name: put(mine[name], theirs[name], key) for name, key in TABLES.items()}
+
+
 def merge_documents(local: dict, remote: dict) -> dict:
     """Merge whole state documents: seven tables by their keys; a missing table is empty."""
     out = {}
@@ -109,6 +129,22 @@ def toggle(entries: DataFrame, paper_ids: DataFrame, now_ms: int) -> DataFrame:
     return upsert(entries.join(alive, "paper_id", "left_anti"), fresh.select("*", *none), now_ms).unionByName(gone.select("paper_id", "status", "starred", "collection_ids", "tags", "added_at", "updated_at", "deleted"))
 
 
+def create_collection(collections: DataFrame, collection_id: str, name: str, color: str, now_ms: int) -> DataFrame:
+    """Collections with a new one, placed after those that live; a blank name becomes ``Untitled collection``."""
+    # One row: the count of what lives.
+    row = live(collections).agg(F.count("id").alias("order")).select(
+        F.lit(collection_id).alias("id"), named(F.lit(name), F.lit("Untitled collection")).alias("name"), F.lit(color).alias("color"), "order",
+        F.lit(now_ms).cast("long").alias("created_at"), F.lit(now_ms).cast("long").alias("updated_at"), F.lit(False).alias("deleted"),
+    )
+    return collections.unionByName(row, allowMissingColumns=True)
+
+
+def rename_collection(collections: DataFrame, collection_id: str, name: str, now_ms: int) -> DataFrame:
+    """Collections with one renamed; a blank name leaves it, an unknown one changes nothing."""
+    it = F.col("id") == collection_id
+    return collections.withColumn("name", F.when(it, named(F.lit(name), F.col("name"))).otherwise(F.col("name"))).withColumn("updated_at", F.when(it, F.lit(now_ms)).otherwise(F.col("updated_at")))
+
+
 def delete_collection(collections: DataFrame, entries: DataFrame, collection_id: str, now_ms: int) -> tuple[DataFrame, DataFrame]:
     """Collections with a tombstone for one, and entries without it."""
     it = F.col("id") == collection_id
@@ -129,6 +165,32 @@ def promoted(status: Column, percent: Column) -> Column:
     return F.when((percent > FINISHED) & (status != "finished"), "finished").otherwise(moved)
 
 
+def save_progress(progress: DataFrame, entries: DataFrame, moves: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """(progress, entries) after moves (paper_id, percent, total, seq): a paper's last one stands as its progress.
+
+    The furthest one moves the status of an entry that lives; papers without an entry get none.
+    """
+    last = moves.withColumn("updated_at", F.lit(now_ms).cast("long")).withColumn("deleted", F.lit(False))
+    furthest = moves.groupBy("paper_id").agg(F.max("percent").alias("_far"))
+    rows = entries.join(furthest, "paper_id", "left")
+    to = promoted(F.col("status"), F.col("_far"))
+    moved = F.col("_far").isNotNull() & ~F.coalesce("deleted", F.lit(False)) & (to != F.col("status"))
+    rows = rows.withColumn("updated_at", F.when(moved, F.lit(now_ms).cast("long")).otherwise(F.col("updated_at"))).withColumn("status", F.when(moved, to).otherwise(F.col("status")))
+    return put(progress, last, "paper_id", "seq").drop("seq"), rows.select(*entries.columns)
+
+
+def with_papers(rows: DataFrame, papers: DataFrame, *columns: str, cards: bool = False) -> DataFrame:
+    """Rows of state by ``paper_id`` with columns of their papers, null for unknown ones; ``cards`` leaves these out."""
+    known = papers.select(F.col("id").alias("paper_id"), *columns)
+    return rows.join(known, "paper_id", "inner" if cards else "left")
+
+
+def library_papers(entries: DataFrame, papers: DataFrame, progress: DataFrame, *columns: str, cards: bool = False) -> DataFrame:
+    """Live entries with columns of their papers and the live progress, ``percent``, newest first."""
+    read = live(progress).select("paper_id", "percent")
+    return with_papers(live(entries).join(read, "paper_id", "left"), papers, *columns, cards=cards).orderBy(F.desc("added_at"), "paper_id")
+
+
 def library(entries: DataFrame, status: str | None = None, starred: bool | None = None, collection: str | None = None, tag: str | None = None) -> DataFrame:
     """Live entries, newest first, that meet all conditions."""
     rows = live(entries)
@@ -179,6 +241,36 @@ def revisits(states: DataFrame, limit: int = 50) -> DataFrame:
     return live(states).filter(F.col("rating").isin("fuzzy", "lost")).orderBy(F.desc("updated_at"), "id").limit(limit)
 
 
+def revisit_papers(states: DataFrame, papers: DataFrame, limit: int = 12) -> DataFrame:
+    """The latest units to revisit with their papers' titles, null for unknown papers."""
+    return with_papers(revisits(states, limit), papers, "title").orderBy(F.desc("updated_at"), "id")
+
+
+def collections_listed(collections: DataFrame) -> DataFrame:
+    return live(collections).orderBy("order", "id")
+
+
+def highlights_listed(highlights: DataFrame, paper_id: str | None = None) -> DataFrame:
+    """One paper's highlights, the oldest first; or those of all papers, the newest first."""
+    if paper_id is not None:
+        return live(highlights).filter(F.col("paper_id") == paper_id).orderBy("created_at", "id")
+    return live(highlights).orderBy(F.desc("created_at"), "id")
+
+
+def searches_listed(searches: DataFrame) -> DataFrame:
+    return live(searches).orderBy(F.desc("created_at"), "id")
+
+
+def save_notes(notes: DataFrame, changes: DataFrame, now_ms: int) -> DataFrame:
+    """Notes after changes (paper_id, body), one a paper: a blank body makes an existing note a tombstone, else nothing."""
+    blank = F.trim(F.coalesce("body", F.lit(""))) == ""
+    known = notes.select("paper_id", F.lit(True).alias("_known"))
+    rows = changes.join(known, "paper_id", "left").filter(~blank | F.col("_known")).select(
+        "paper_id", F.when(blank, "").otherwise(F.col("body")).alias("body"), F.lit(now_ms).cast("long").alias("updated_at"), blank.alias("deleted")
+    )
+    return put(notes, rows, "paper_id")
+
+
 def search_notes(notes: DataFrame, highlights: DataFrame, query: str, papers: DataFrame | None = None) -> DataFrame:
     """(source, paper_id, body, title): notes, then highlights, whose text holds the query in any case."""
     needle = query.strip().lower()

@@ -14,13 +14,13 @@ from ..operators import search as se
 from ..operators import state as st
 from ..operators import structure as sr
 from ..sources import snapshots
-from ..storage import shared_dir
+from ..storage import shared_dir, stamp
 from ..streaming import streams
 from . import duck
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-_built: dict[tuple[str, str], ix.Index] = {}
+_built: dict[tuple[str, str], tuple[str, ix.Index]] = {}
 
 
 def query(sql: str | None = None):
@@ -34,11 +34,12 @@ def query(sql: str | None = None):
 
 
 def built(spark: SparkSession, sf_dir: str) -> ix.Index:
-    """The index of a folder, built once an application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _built:
-        _built[key] = ix.build(pp.papers(spark, sf_dir))
-    return _built[key]
+    """The index of a folder, built once an application and again when its documents have changed; a failed build leaves none."""
+    key, state = (spark.sparkContext.applicationId, sf_dir), stamp(spark, f"{sf_dir}/documents.parquet")
+    if _built.get(key, ("", None))[0] != state:
+        _built.pop(key, None)
+        _built[key] = state, ix.build(pp.papers(spark, sf_dir))
+    return _built[key][1]
 
 
 def literals(spark: SparkSession, *values: str) -> DataFrame:
@@ -248,10 +249,8 @@ def snapshot_round_trip(spark, sf_dir):
     path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
     snapshots.write_snapshot(built(spark, sf_dir), path)
     snapshots.read_manifest(spark, path)
-    docs = snapshots.read_docs(spark, path).withColumn("m", F.regexp_replace(F.substring("published", 1, 7), "-", ""))
-    meta = spark.read.option("basePath", f"{path}/meta").parquet(f"{path}/meta").withColumn("month", F.col("month").cast("string"))
-    found = docs.join(meta, (docs["id"] == meta["id"]) & (F.col("m") == F.col("month")), "left")
-    return found.select("doc_id", F.col("chunk").cast("long").alias("chunk"), docs["id"], "title", "authors", "categories", "published", "updated", "abstract", "comment", "doi", "journal_ref")
+    found = snapshots.details(spark, path, snapshots.read_docs(spark, path))
+    return found.select("doc_id", F.col("chunk").cast("long").alias("chunk"), "id", "title", "authors", "categories", "published", "updated", "abstract", "comment", "doi", "journal_ref")
 
 
 # Search
@@ -321,6 +320,15 @@ def search_hyphen(spark, sf_dir):
     return searched(spark, sf_dir, "tion-er")
 
 
+@query(f"""{P} select h.rank, h.id, regexp_replace(h.title, '(tion|er)', '<mark>\\1</mark>', 'gi') as marked,
+ regexp_replace(case when abstract = '' then '' when p = 0 then substr(abstract, 1, 260) else concat(case when p > 61 then '…' else '' end, substr(abstract, greatest(0, p - 61) + 1, 260), case when greatest(0, p - 61) + 260 < length(abstract) then '…' else '' end) end, '(tion|er)', '<mark>\\1</mark>', 'gi') as snippet
+ from ({duck.search([(0, 'tion', 0), (1, 'er', 0)])}) h join (select id, abstract, coalesce(least(nullif(instr(lower(abstract), 'tion'), 0), nullif(instr(lower(abstract), 'er'), 0)), 0) as p from papers) a on h.id = a.id""")
+def search_snippets(spark, sf_dir):
+    """A page of hits as it is shown."""
+    index = built(spark, sf_dir)
+    return se.shown(index, se.search(index, "tion er"), "tion er").select("rank", "id", "marked", "snippet")
+
+
 @query(f"with {duck.hits([(0, 'tion', 0)])} select (select count(*) from hits) as total, (select count(*) from scored) <= 4000 as total_known, (select count(*) from hits) > 25 as has_more")
 def search_totals(spark, sf_dir):
     return se.totals(built(spark, sf_dir), "tion")
@@ -454,6 +462,61 @@ def debounced_saves(spark, sf_dir):
     return st.save_times(events.select(F.col("user_id").alias("key"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000).cast("long").alias("at")))
 
 
+SIDES = f"{duck.LOG}, l as (select * from log where is_local qualify row_number() over (partition by paper_id order by updated_at desc, seq desc) = 1), r as (select * from log where not is_local qualify row_number() over (partition by paper_id order by updated_at desc, seq desc) = 1)"
+
+
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The latest records of the local side, and of the remote one."""
+    log = st.state_log(spark, sf_dir)
+    return st.latest(log.filter("is_local")), st.latest(log.filter("not is_local"))
+
+
+def known_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers under the identifiers that the state log has."""
+    return pp.papers(spark, sf_dir).select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("id"), "title")
+
+
+@query(f"with {duck.WON}, {duck.PAPERS} select w.paper_id, p.title, case when event_type = 'view' then round(least(value / 490, 1e0), 6) end as percent from won w left join papers p on w.paper_id = 'u' || p.source_id where not deleted")
+def library_papers(spark, sf_dir):
+    """Library entries with their papers' titles and what was read of them."""
+    won = st.latest(st.state_log(spark, sf_dir)).withColumn("added_at", F.col("updated_at"))
+    progress = won.filter("event_type = 'view'").withColumn("percent", F.round(F.least(F.col("value") / 490, F.lit(1.0)), 6))
+    return st.library_papers(won, known_papers(spark, sf_dir), progress, "title").select("paper_id", "title", "percent")
+
+
+@query(f"with {duck.WON}, {duck.PAPERS}, u as (select * from won where not deleted and event_type in ('view', 'click') order by updated_at desc, paper_id || '#intro' limit 12) select u.paper_id || '#intro' as id, p.title from u left join papers p on u.paper_id = 'u' || p.source_id")
+def revisit_papers(spark, sf_dir):
+    rows = st.latest(st.state_log(spark, sf_dir)).withColumn("id", F.concat("paper_id", F.lit("#intro")))
+    rated = rows.withColumn("rating", F.when(F.col("event_type") == "view", "fuzzy").when(F.col("event_type") == "click", "lost"))
+    return st.revisit_papers(rated, known_papers(spark, sf_dir)).select("id", "title")
+
+
+@query(f"""with {duck.WON}, far as (select paper_id, max(least(value / 490, 1e0)) as far, round(arg_max(least(value / 490, 1e0), seq), 6) as percent from log group by 1)
+select paper_id, case when deleted then 'unread' when far > 0.95 then 'finished' when far > 0.02 then 'reading' else 'unread' end as status, case when not deleted and far > 0.02 then 7 else updated_at end as updated_at, percent from won join far using (paper_id)""")
+def progress_write(spark, sf_dir):
+    """Every event moves its paper; entries that live are promoted, deleted ones stay."""
+    log = st.state_log(spark, sf_dir)
+    entries = st.latest(log).select("paper_id", F.lit("unread").alias("status"), "updated_at", "deleted")
+    moves = log.select("paper_id", F.least(F.col("value") / 490, F.lit(1.0)).alias("percent"), F.lit(None).cast("int").alias("total"), "seq")
+    none = spark.createDataFrame([], "paper_id string, percent double, total int, updated_at long, deleted boolean")
+    progress, promoted = st.save_progress(none, entries, moves, 7)
+    return promoted.join(progress.select("paper_id", F.round("percent", 6).alias("percent")), "paper_id").select("paper_id", "status", "updated_at", "percent")
+
+
+@query(f"with {SIDES} select coalesce(l.paper_id, r.paper_id) as paper_id, case when r.paper_id is null then l.event_type when r.deleted then '' else r.event_type end as body, case when r.paper_id is null then l.deleted else r.deleted end as deleted from l full join r on l.paper_id = r.paper_id where l.paper_id is not null or not r.deleted")
+def notes_save(spark, sf_dir):
+    """The local side's notes after the remote side's bodies were saved, blank where its record is deleted."""
+    local, remote = sides(spark, sf_dir)
+    changes = remote.select("paper_id", F.when(F.col("deleted"), "  ").otherwise(F.col("event_type")).alias("body"))
+    return st.save_notes(local.select("paper_id", F.col("event_type").alias("body"), "updated_at", "deleted"), changes, 7).select("paper_id", "body", "deleted")
+
+
+@query(f"with {SIDES} select paper_id, seq, deleted from r union all select paper_id, seq, deleted from l where paper_id not in (select paper_id from r)")
+def import_records(spark, sf_dir):
+    """The remote side put over the local one, older or not."""
+    return st.put(*sides(spark, sf_dir), "paper_id").select("paper_id", "seq", "deleted")
+
+
 # Structure
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

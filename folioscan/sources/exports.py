@@ -44,6 +44,7 @@ def is_stale(built_at_ms: Column, now_ms: Column) -> Column:
     return now_ms - built_at_ms > STALE_MS
 
 
-def has_moved(before: DataFrame, after: DataFrame, columns=("doc_count", "newest", "posting_count")) -> bool:
-    """Whether two manifests tell of different builds."""
-    return before.select(*columns).first() != after.select(*columns).first()
+def has_moved(before: DataFrame | None, after: DataFrame) -> bool:
+    """Whether two manifests tell of different builds; without a usable first one there is only to gain."""
+    row = before.select("built_at").first() if before is not None else None
+    return row is None or row["built_at"] is None or row["built_at"] != after.select("built_at").first()["built_at"]

@@ -53,6 +53,13 @@ def read_docs(spark: SparkSession, path: str, chunks: list[int] | None = None) -
     return docs if chunks is None else docs.filter(F.col("chunk").isin(*chunks))
 
 
+def details(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
+    """Display rows with the metadata of their months; where that is absent the abstract is empty, the rest null."""
+    meta = spark.read.schema("id string, abstract string, comment string, doi string, journal_ref string, month string").parquet(f"{path}/meta")
+    rows = docs.withColumn("month", F.regexp_replace(F.substring("published", 1, 7), "-", ""))
+    return rows.join(meta, ["month", "id"], "left").withColumn("abstract", F.coalesce("abstract", F.lit(""))).drop("month")
+
+
 def find_ids(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     """(id, doc_id) of identifiers, versions left off; unknown ones are null."""
     # With a schema, as shards such as 2402 would be read as numbers.

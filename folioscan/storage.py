@@ -36,6 +36,13 @@ def qualified(spark: SparkSession, path: str) -> str:
     return out.replace("file:/", "file:///", 1) if out.startswith("file:/") and not out.startswith("file://") else out
 
 
+def stamp(spark: SparkSession, path: str) -> str:
+    """What changes when a table's files do: names, lengths and times of a path, or of what lies in its folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)
+    return " ".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in found))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a small frame in the shared folder; larger ones are ``stored``."""
     shared_dir(df.sparkSession)

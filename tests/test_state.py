@@ -30,6 +30,42 @@ def test_documents_and_collections(spark):
     assert marked.first().deleted and {(r.paper_id, tuple(r.collection_ids), r.updated_at) for r in freed.collect()} == {("p", ("c2",), 9), ("q", ("c2",), 1)}
 
 
+def test_collections_made_renamed_and_listed(spark):
+    cols = spark.createDataFrame([("a", "x", 0, 1, 1, True), ("b", "y", 1, 1, 1, False)], "id string, name string, order long, created_at long, updated_at long, deleted boolean")
+    made = st.create_collection(cols, "c", "  ", "red", 9)
+    assert [(r.id, r.name, r.order, r.color) for r in st.collections_listed(made).collect()] == [("b", "y", 1, None), ("c", "Untitled collection", 1, "red")]
+    assert {r.id: (r.name, r.updated_at) for r in st.rename_collection(made, "b", " z ", 10).collect()} == {"a": ("x", 1), "b": ("z", 10), "c": ("Untitled collection", 9)}
+    assert {r.id: r.name for r in st.rename_collection(cols, "b", " ", 10).collect()}["b"] == "y"
+    marks = spark.createDataFrame([("1", "p", 5, None), ("2", "p", 3, False), ("3", "q", 4, False), ("4", "p", 9, True)], "id string, paper_id string, created_at long, deleted boolean")
+    assert [r.id for r in st.highlights_listed(marks).collect()] == ["1", "3", "2"]
+    assert [r.id for r in st.highlights_listed(marks, "p").collect()] == ["2", "1"]
+    assert [r.id for r in st.searches_listed(marks).collect()] == ["1", "3", "2"]
+
+
+def test_progress_notes_and_imports(spark):
+    entries = spark.createDataFrame([("p", "unread", 1, None), ("q", "unread", 1, True), ("r", "finished", 1, False)], "paper_id string, status string, updated_at long, deleted boolean")
+    moves = spark.createDataFrame([("p", 0.5, 3, 1), ("p", 0.1, 3, 2), ("q", 0.99, None, 3), ("r", 0.3, None, 4), ("new", 0.99, None, 5), ("r", None, None, 0)], "paper_id string, percent double, total int, seq long")
+    none = spark.createDataFrame([], "paper_id string, percent double, total int, updated_at long, deleted boolean")
+    progress, moved = st.save_progress(none, entries, moves, 7)
+    assert {r.paper_id: (r.status, r.updated_at) for r in moved.collect()} == {"p": ("reading", 7), "q": ("unread", 1), "r": ("finished", 1)}
+    assert {r.paper_id: r.percent for r in progress.collect()} == {"p": 0.1, "q": 0.99, "r": 0.3, "new": 0.99}
+    papers = spark.createDataFrame([("p", "P")], "id string, title string")
+    listed = st.library_papers(entries.withColumn("added_at", F.col("updated_at")), papers, progress, "title")
+    assert [(r.paper_id, r.title, r.percent) for r in listed.collect()] == [("p", "P", 0.1), ("r", None, 0.3)]
+    assert st.library_papers(entries.withColumn("added_at", F.col("updated_at")), papers, progress, "title", cards=True).count() == 1
+    notes = spark.createDataFrame([("p", "n", 1, False), ("q", "m", 1, True)], "paper_id string, body string, updated_at long, deleted boolean")
+    changes = spark.createDataFrame([("p", " \n"[:1]), ("q", "again"), ("r", None), ("s", "new")], "paper_id string, body string")
+    assert {r.paper_id: (r.body, r.deleted, r.updated_at) for r in st.save_notes(notes, changes, 9).collect()} == {"p": ("", True, 9), "q": ("again", False, 9), "s": ("new", False, 9)}
+    schemas = {name: f"{key} string, updated_at long" for name, key in st.TABLES.items()}
+    schemas["notes"] = notes.schema
+    older = spark.createDataFrame([("p", "old", 0, False)], notes.schema)
+    out = st.import_document(spark, {"notes": notes, "settings": {"a": 1}, "updated_at": 4}, {"notes": older, "settings": {"a": 2}}, schemas)
+    assert {r.paper_id: r.body for r in out["notes"].collect()} == {"p": "old", "q": "m"}
+    assert out["settings"] == {"a": 1} and out["updated_at"] == 4 and out["library"].count() == 0
+    empty = st.normalise(spark, None, schemas)
+    assert empty["updated_at"] == 0 and empty["settings"] is None and st.record_count(empty) == 0
+
+
 def test_units_done_and_rated(spark):
     kinds = "paper_id string, key string, label string, ordinal int, done boolean, rating string, completed_at long, updated_at long, deleted boolean, id string"
     states = spark.createDataFrame([("p", "a", "A", 0, True, None, 1, 1, False, "p#a"), ("p", "b", "B", 1, True, "lost", 1, 1, True, "p#b")], kinds)
@@ -111,3 +147,11 @@ def test_exports(spark, tmp_path):
     entries = spark.createDataFrame([("1", False), ("2", False)], "paper_id string, deleted boolean")
     assert exports.citations(entries, papers).first().entry.startswith("@misc{lee2024deep,")
     exports.write_citations(entries, papers, str(tmp_path / "bib"))
+    manifest = spark.createDataFrame([(5,)], "built_at long")
+    assert not exports.has_moved(manifest, manifest) and exports.has_moved(manifest, manifest.withColumn("built_at", F.lit(6))) and exports.has_moved(None, manifest)
+
+
+def test_addresses_that_run_code(spark):
+    page = "<div class='ltx_page_main'><a href=' java\tscript:x()'>a</a><a href='https://x.org/'>b</a></div>"
+    doc = sr.structure(spark.createDataFrame([(page, "https://y.org/")], "html string, url string")).first().doc
+    assert "script:" not in doc.html and [x.href for x in doc.links] == ["https://x.org/"]

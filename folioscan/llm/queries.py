@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontam, html, langid, neardup, secrets, toxicity, warc
+from . import ann, bpe, chat, decontam, html, langid, neardup, pieces, secrets, toxicity, warc
 from .oracles import ORACLES  # noqa: F401
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 FIXED_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
@@ -81,4 +82,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_index(warc.archive(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_chat, op4_nearest, op5_html_text, op6_decontamination, op7_secrets, op8_near_duplicates, op9_language, op10_warc)}
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(PIECES)
+    docs = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_chat, op4_nearest, op5_html_text, op6_decontamination, op7_secrets, op8_near_duplicates, op9_language, op10_warc, op13_sentencepiece)}

@@ -70,4 +70,37 @@ OP10 = """with p as (select page_id, encode(coalesce(html, '')) as h from pages)
 g as (select s, n, max(page_id) as first from d where n >= 1000 group by all)
 select page_id, n as payload_bytes, s as payload_digest, case when first <> page_id then 'revisit' else 'response' end as record_type, case when first <> page_id then first end as refers_to from d left join g using (s, n)"""
 
-ORACLES = {"op3_chat": OP3, "op6_decontamination": OP6, "op7_secrets": OP7, "op8_near_duplicates": OP8, "op10_warc": OP10}
+# Every group by every kept term, in 128-bit integers.
+SHARE = "1 + (1000000000::hugeint * ({0} + 2)) // ({1} + 2 * v)"
+OP11 = rf"""with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+t as (select r, lang, source, unnest(w) as term from d),
+k as (select lang, term, count(*) as ln from t group by all having count(distinct r) >= 10),
+l as (select lang, count(*) as v, sum(ln) as nl from k group by 1),
+c as (select lang, source, term, count(*) as n from t semi join k using (lang, term) group by all),
+g as (select lang, source, coalesce(any_value(v), 0) as v, coalesce(any_value(nl), 0) as nl, coalesce(sum(n), 0) as nn from (select distinct lang, source from d) left join l using (lang) left join c using (lang, source) group by all),
+p as (select lang, source, term, coalesce(n, 0) as n, {SHARE.format("coalesce(n, 0)", "nn")} as p, {SHARE.format("ln", "nl")} as q from g join k using (lang) left join c using (lang, source, term)),
+f as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+u as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+ union all select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from p where n > 0 and p > q)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from u) where part = 'pair' or rank <= 10"""
+
+# CRC-32 by its table, which comes from the polynomial; near words by what deletions at the same place, or at any, leave.
+STEP = "case when {0} & 1 = 1 then xor({0} >> 1, 3988292384) else {0} >> 1 end"
+OP12 = rf"""with recursive b as (select range as k, range as c, 0 as i from range(256) union all select k, {STEP.format("c")}, i + 1 from b where i < 8),
+tab as (select list(c order by k) as t from b where i = 8),
+x as (select doc_id, unnest(regexp_extract_all({LOWERED}, '[a-z\x{{00C0}}-\x{{00FF}}]+')) as run from documents),
+y as (select doc_id, run, count(*) as c from x where length(run) >= 6 group by all),
+z as (select run, c, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(doc_id || ':' || run)), '..'), lambda s: cast('0x' || s as bigint))),
+ lambda a, s: xor(a >> 8, t[(xor(a, s) & 255) + 1])), 4294967295) as h from y, tab),
+r as (select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, c from z),
+w as (select word, cast(sum(c) as bigint) as n from r where length(word) >= 6 group by 1 having sum(c) >= 5),
+del as (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as less from (select *, unnest(range(length(word))) as i from w)),
+near as (select distinct a.word, a.n, b.word as near, b.n as m from del a join del b on a.less = b.less and a.i = b.i and a.word <> b.word and length(a.word) = length(b.word)
+ union select distinct a.word, a.n, b.word, b.n from del a join w b on a.less = b.word union select distinct b.word, b.n, a.word, a.n from del a join w b on a.less = b.word),
+best as (select word, any_value(n) as n, count(*) as n_near, arg_min(near, (-m, near)) as form, max(m) as m from near group by 1),
+form as (select word, form, m from best where m >= 5 * n),
+path as (select word, word as root from w union all select path.word, form.form from path join form on path.root = form.word),
+root as (select word, root from path where root not in (select word from form))
+select w.word, form.form, root, n, coalesce((select n_near from best where best.word = w.word), 0) as n_near, form.m as form_n from w join root using (word) left join form using (word)"""
+
+ORACLES = {"op3_chat": OP3, "op6_decontamination": OP6, "op7_secrets": OP7, "op8_near_duplicates": OP8, "op10_warc": OP10, "op11_divergence": OP11, "op12_variants": OP12}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontam, html, langid, neardup, pieces, secrets, toxicity, warc
+from . import ann, bpe, chat, decontam, divergence, html, langid, neardup, pieces, secrets, toxicity, variants, warc
 from .oracles import ORACLES  # noqa: F401
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -82,6 +82,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_index(warc.archive(table(spark, sf_dir, "pages")))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"), variants.Params(drop=199))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(PIECES)
     docs = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
@@ -89,4 +97,4 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_chat, op4_nearest, op5_html_text, op6_decontamination, op7_secrets, op8_near_duplicates, op9_language, op10_warc, op13_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_chat, op4_nearest, op5_html_text, op6_decontamination, op7_secrets, op8_near_duplicates, op9_language, op10_warc, op11_divergence, op12_variants, op13_sentencepiece)}

@@ -36,8 +36,8 @@ from .bpe import send
 from .common import SLICE_BYTES, slices
 
 BLANK = "▁"
-#: Entries of the table that are no piece: not known yet, and an unknown character.
-NONE, UNKNOWN = -2, -1
+#: The table's entry of the empty prefix, and of those not reached yet; unknown characters are above it, below 0.
+START, IDS = -(1 << 22), 1 << 22
 #: Words, and pairs of tokens, that a worker remembers before it starts afresh.
 WORDS, PAIRS = 400_000, 1_000_000
 NORMAL, UNK, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces in a model file
@@ -64,6 +64,24 @@ class Model:
         self.shown = [proto.trainer_spec.unk_surface if k == UNK else "" if k == CONTROL else p for k, p in zip(kinds, self.pieces)]
 
 
+def pattern(pieces) -> str:
+    """What finds the parts of a text between edges that no piece lies across, as far as the vocabulary has them.
+
+    White space that is in no piece is an edge on both sides, and so is the front of blanks that only begin
+    pieces. If no piece mixes letters with other characters, but for blanks before them, their runs are parts.
+    """
+    letters = "[A-Za-zÀ-ÖØ-öø-ɏ]"
+    edges = "".join(c for c in "\n\r\t" if not any(c in p for p in pieces))
+    alone = f"[{edges}]|" if edges else ""
+    if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in pieces):
+        return f"{alone}[^{edges}]+" if edges else ".+"
+    body = f"[^{edges}{BLANK}]"
+    if any(re.search(f"{letters}(?!{letters}).|(?!{letters})[^{BLANK}]{letters}", p, re.S) for p in pieces):
+        return f"{alone}{BLANK}+{body}*|{body}+"
+    other = f"(?:(?!{letters}){body})"
+    return f"{alone}{BLANK}*{letters}+|{BLANK}+{other}*|{other}+"
+
+
 class Codec:
     """Encodes and decodes with one model; remembers the ids of frequent words."""
 
@@ -81,12 +99,8 @@ class Codec:
         self.is_byte = np.zeros(len(model.pieces), bool)
         self.is_byte[list(model.byte)] = True
         self.text = [p.replace(BLANK, " ") for p in model.shown]
-        self.apart: dict[tuple, bool] = {}
-        # White space that is in no piece is an edge on both sides; so is the front of blanks, if they only begin pieces.
-        edges = "".join(c for c in "\n\r\t" if not any(c in p for p in model.ids))
-        begin = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in model.ids)
-        body = f"[^{edges}{BLANK}]" if begin else f"[^{edges}]" if edges else "."
-        self.split = re.compile((f"[{edges}]|" if edges else "") + (f"{BLANK}+{body}*|{body}+" if begin else f"{body}+"), re.S).findall
+        self.apart: dict[int, bool] = {}
+        self.split = re.compile(pattern(model.ids), re.S).findall
         codec = self
 
         class Words(dict):
@@ -112,35 +126,35 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, before: int | str | None, token: int) -> bool:
-        """Whether ``token`` is the last one after ``before``: a token, an unknown character, or None at the start."""
-        key = before, token
-        ok = self.apart.get(key)
-        if ok is None:
-            if len(self.apart) >= PAIRS:
-                self.apart.clear()
-            first = [] if before is None else [before if isinstance(before, str) else self.model.pieces[before]]
-            both = [*first, self.model.pieces[token]]
-            ok = self.apart[key] = self.merged("".join(both)) == both
+    def fits(self, before: int, token: int) -> bool:
+        """Whether ``token`` stays apart from what is before it: a token, an unknown character (``~code``), or nothing (``START``)."""
+        if len(self.apart) >= PAIRS:
+            self.apart.clear()
+        first = [] if before == START else [self.model.pieces[before] if before >= 0 else chr(~before)]
+        both = [*first, self.model.pieces[token]]
+        ok = self.apart[before * IDS + token] = self.merged("".join(both)) == both
         return ok
 
-    def last_tokens(self, text: str) -> array:
-        """The last token of every prefix, by its length; ``UNKNOWN`` for a character by itself."""
-        last, known = array("i", [NONE]) * (len(text) + 1), 0
+    def last_tokens(self, text: str) -> list[int] | array:
+        """The last token of every prefix, by its length; ``~code`` for an unknown character by itself."""
+        last = [START] * (len(text) + 1) if len(text) < 1000 else array("i", [START]) * (len(text) + 1)
+        size, apart, fits, at = self.size, self.apart, self.fits, 0
         for end, token in self.automaton.iter(text):
-            while known < end:  # no piece fitted these ends
-                known += 1
-                if last[known] == NONE:
-                    last[known] = UNKNOWN
-            if last[end + 1] != NONE:
+            if end >= at:  # the first piece that ends here; what ended before and fitted nothing is unknown
+                while at <= end:
+                    if last[at] == START and at:
+                        last[at] = ~ord(text[at - 1])
+                    at += 1
+            elif last[at] != START:
                 continue
-            start = end + 1 - self.size[token]
-            before = None if not start else last[start] if last[start] >= 0 else text[start - 1]
-            if self.fits(before, token):
-                last[end + 1] = token
-        for k in range(known, len(text) + 1):
-            if last[k] == NONE:
-                last[k] = UNKNOWN
+            before = last[at - size[token]]
+            ok = apart.get(before * IDS + token)
+            if ok or ok is None and fits(before, token):
+                last[at] = token
+        while at <= len(text):
+            if last[at] == START and at:
+                last[at] = ~ord(text[at - 1])
+            at += 1
         return last
 
     def table(self, text: str) -> tuple[int, ...]:

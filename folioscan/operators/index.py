@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -37,19 +40,34 @@ def weight_of(quantum: Column) -> Column:
     return quantum / STEPS * CEILING
 
 
+#: A block's posting: document's distance from the block's first, field bits, weight.
+WEIGHT_BITS, MASK_BITS = 8, 4
+FIELDS = ("title", "author", "category", "abstract")
+COUNTED = f"doc_id long, published string, {', '.join(f'{f}_length int' for f in FIELDS)}, terms array<struct<term: string, {', '.join(f'{f}: int' for f in FIELDS)}, tf: int, at: int>>"
+BLOCKS = "shard string, term string, zone int, first long, last long, n int, largest int, masks int, packed array<bigint>"
+
+
 @dataclass
 class Index:
-    """A built index: documents by number, postings by shard, terms with their document frequency, and the one-row manifest.
+    """A built index: documents by number and chunk, what each chunk has, counted terms by document, blocks of postings
+    by shard, terms with their document frequency, and the one-row manifest.
 
-    All but the manifest are Parquet tables, so a search reads the shards of its terms and the columns it shows.
+    All but the manifest are Parquet tables, so a search reads the shards of its terms, the chunks of its hits
+    and the columns it shows.
     """
 
     config: Config
     docs: DataFrame
-    postings: DataFrame
+    chunks: DataFrame
+    counted: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     manifest: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        return unpacked(self.blocks)
+
 
 def numbered(rows: DataFrame, *order: Column) -> DataFrame:
     """Dense numbers from 0 in a global order, without one task seeing all rows.
@@ -79,53 +97,120 @@ def document_numbers(papers: DataFrame, config: Config = Config()) -> DataFrame:
     return numbered(rows, F.desc("published"), F.desc("id")).withColumnRenamed("number", "doc_id").withColumn("chunk", F.floor(F.col("doc_id") / config.docs_per_chunk).cast("int"))
 
 
-def field_terms(docs: DataFrame, cutoff: str = "") -> DataFrame:
-    """(doc_id, field, term, tf, length): term counts of each field; abstracts older than ``cutoff`` aren't indexed."""
-    fields = F.array(
-        F.struct(F.lit(TITLE).alias("field"), tx.terms(F.col("title")).alias("t")),
-        F.struct(F.lit(AUTHOR).alias("field"), tx.terms(F.array_join("authors", " ")).alias("t")),
-        F.struct(F.lit(CATEGORY).alias("field"), F.transform("categories", F.lower).alias("t")),
-        F.struct(F.lit(ABSTRACT).alias("field"), F.when(F.col("published") >= cutoff, tx.terms(F.col("abstract"), tx.STOPWORDS)).alias("t")),
-    )
-    each = docs.select("doc_id", F.explode(fields).alias("f")).filter(F.size("f.t") > 0).select("doc_id", "f.field", F.size("f.t").alias("length"), F.explode("f.t").alias("term"))
-    return each.groupBy("doc_id", "field", "term").agg(F.count("term").alias("tf"), F.first("length").alias("length"))
+def count_terms(docs: DataFrame, cutoff: str = "") -> DataFrame:
+    """A row for each document: field lengths, and its terms with their count in each field, within the row.
 
+    Abstracts older than ``cutoff`` aren't indexed, but have a length; an empty abstract has none. ``tf`` and ``at`` are a
+    term's count and first place in title and abstract together, stopwords included.
+    """
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stop = frozenset(tx.STOPWORDS)
+        for batch in batches:
+            columns = batch.to_pydict()
+            names, values, sizes, lengths = [], [], [0], []
+            for title, authors, categories, abstract, published in zip(*[columns[c] for c in ("title", "authors", "categories", "abstract", "published")]):
+                head, body = tx.term_list(title or ""), tx.term_list(abstract or "")
+                text = [t for t in body if t not in stop]
+                fields = head, tx.term_list(" ".join(a for a in authors or () if a is not None)), [c.lower() for c in categories or () if c is not None], text
+                lengths.append((len(fields[0]), len(fields[1]), len(fields[2]), len(text) if abstract else None))
+                found: dict[str, list[int]] = {}
+                for k, terms in enumerate(fields if (published or "") >= cutoff else fields[:3]):
+                    for t in terms:
+                        found.setdefault(t, [0] * 6)[k] += 1
+                for at, t in enumerate(head + body):
+                    row = found.setdefault(t, [0] * 6)
+                    if not row[4]:
+                        row[5] = at
+                    row[4] += 1
+                names.extend(found)
+                values.extend(found.values())
+                sizes.append(len(names))
+            table = np.array(values, np.int32).reshape(-1, 6)
+            inner = pa.StructArray.from_arrays([pa.array(names, pa.string()), *[pa.array(table[:, k]) for k in range(6)]], ["term", *FIELDS, "tf", "at"])
+            per_field = [pa.array([n[k] for n in lengths], pa.int32()) for k in range(4)]
+            terms = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), inner)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("published"), *per_field, terms], ["doc_id", "published", *[f"{f}_length" for f in FIELDS], "terms"])
+
+    return docs.select("doc_id", "title", "authors", "categories", "abstract", "published").mapInArrow(counts, COUNTED)
+
+
+def corpus_stats(counted: DataFrame) -> DataFrame:
     """One row of counts, average field lengths and the date range; averages of nothing are 1."""
-    sized = docs.select(
-        "published",
-        F.size(tx.terms(F.col("title"))).alias("title"),
-        F.size(tx.terms(F.array_join("authors", " "))).alias("author"),
-        F.size("categories").alias("category"),
-        F.when(F.col("abstract") != "", F.size(tx.terms(F.col("abstract"), tx.STOPWORDS))).alias("abstract"),
-    )
-    mean = lambda c: F.coalesce(F.nullif(F.avg(c), F.lit(0.0)), F.lit(1.0)).alias(f"avg_{c}")
-    return sized.agg(F.count("published").alias("doc_count"), F.count("abstract").alias("abstract_docs"), mean("title"), mean("author"), mean("category"), mean("abstract"), F.coalesce(F.max("published"), F.lit("")).alias("newest"), F.coalesce(F.min("published"), F.lit("9999-99-99")).alias("oldest"))
-
-
-def make_postings(docs: DataFrame, stats: dict, cutoff: str, config: Config) -> DataFrame:
-    """(term, doc_id, mask, weight, shard): fields merged, weights quantised."""
-    counts = field_terms(docs, cutoff)
-    by_field = lambda values: F.create_map(*[F.lit(v) for pair in values.items() for v in pair])[F.col("field")]
-    averages = {TITLE: stats["avg_title"], AUTHOR: stats["avg_author"], CATEGORY: stats["avg_category"], ABSTRACT: stats["avg_abstract"]}
-    weighed = counts.withColumn("w", by_field(FIELD_WEIGHT) * bm25(F.col("tf"), F.col("length"), by_field(averages)))
-    merged = weighed.groupBy("term", "doc_id").agg(F.bit_or("field").alias("mask"), F.sum("w").alias("w"))
-    return merged.select("term", "doc_id", "mask", quantised(F.col("w")).alias("weight"), tx.shard_key(F.col("term"), config.prefix_length).alias("shard"))
+    mean = lambda c: F.coalesce(F.nullif(F.avg(f"{c}_length"), F.lit(0.0)), F.lit(1.0)).alias(f"avg_{c}")
+    return counted.agg(F.count("published").alias("doc_count"), F.count("abstract_length").alias("abstract_docs"), *map(mean, FIELDS), F.coalesce(F.max("published"), F.lit("")).alias("newest"), F.coalesce(F.min("published"), F.lit("9999-99-99")).alias("oldest"))
+
+
+def make_postings(counted: DataFrame, stats: dict, config: Config) -> DataFrame:
+    """(shard, term, doc_id, mask, weight): fields merged, weights quantised, without a shuffle."""
+    each = counted.select("doc_id", *[f"{f}_length" for f in FIELDS], F.explode("terms").alias("t"))
+    weight, mask = F.lit(0.0), F.lit(0)
+    for f, bit in zip(FIELDS, FIELD_WEIGHT):
+        tf = F.col(f"t.{f}")
+        weight = weight + FIELD_WEIGHT[bit] * bm25(tf, F.col(f"{f}_length"), F.lit(float(stats[f"avg_{f}"])))
+        mask = mask + F.when(tf > 0, bit).otherwise(0)
+    rows = each.select(F.col("t.term").alias("term"), "doc_id", mask.alias("mask"), weight.alias("w")).filter("mask > 0")
+    return rows.select(tx.shard_key(F.col("term"), config.prefix_length).alias("shard"), "term", "doc_id", "mask", quantised(F.col("w")).alias("weight"))
+
+
+def packed(postings: DataFrame, config: Config) -> DataFrame:
+    """Blocks of up to ``config.block`` postings of one term and one zone of documents, by shard, term and document.
+
+    Ranges deal them, so that a frequent term or shard spans several tasks and a shard has few files. A block tells its
+    documents' range, its fields and its largest weight without its postings.
+    """
+    zone, most = config.docs_per_zone, config.block
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, mask, weight = (batch.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "mask", "weight"))
+            term = batch.column("term").dictionary_encode().indices.to_numpy()
+            new = np.ones(len(doc), bool)
+            new[1:] = (term[1:] != term[:-1]) | (doc[1:] // zone != doc[:-1] // zone)
+            at = np.arange(len(doc))
+            new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % most == 0
+            start = np.flatnonzero(new)
+            size = np.diff(np.append(start, len(doc)))
+            first = doc[start]
+            bits = (doc - np.repeat(first, size)) << (WEIGHT_BITS + MASK_BITS) | mask << WEIGHT_BITS | weight
+            columns = [
+                *[batch.column(c).take(pa.array(start)) for c in ("shard", "term")],
+                *[pa.array(x, t) for x, t in ((first // zone, pa.int32()), (first, pa.int64()), (doc[start + size - 1], pa.int64()), (size, pa.int32()))],
+                *[pa.array(f.reduceat(x, start), pa.int32()) for f, x in ((np.maximum, weight), (np.bitwise_or, mask))],
+                pa.ListArray.from_arrays(pa.array(np.append(start, len(doc)), pa.int32()), pa.array(bits)),
+            ]
+            yield pa.record_batch(columns, ["shard", "term", "zone", "first", "last", "n", "largest", "masks", "packed"])
+
+    ordered = postings.repartitionByRange("shard", "term", "doc_id").sortWithinPartitions("shard", "term", "doc_id")
+    return ordered.select("shard", "term", "doc_id", "mask", "weight").mapInArrow(pack, BLOCKS)
+
+
+def unpacked(blocks: DataFrame) -> DataFrame:
+    """(shard, term, zone, doc_id, mask, weight) of blocks; conditions on shards, terms and zones choose blocks first."""
+    rows = blocks.select("shard", "term", "zone", "first", F.explode("packed").alias("x"))
+    mask = F.shiftright("x", WEIGHT_BITS).bitwiseAND(F.lit((1 << MASK_BITS) - 1)).cast("int")
+    return rows.select("shard", "term", "zone", (F.col("first") + F.shiftright("x", WEIGHT_BITS + MASK_BITS)).alias("doc_id"), mask.alias("mask"), F.col("x").bitwiseAND(F.lit((1 << WEIGHT_BITS) - 1)).cast("int").alias("weight"))
+
+
+def chunk_facts(docs: DataFrame) -> DataFrame:
+    """(chunk, categories, n, dated, oldest, newest): how many documents of a chunk have which categories, how many a date, and their dates' range."""
+    return docs.groupBy("chunk", "categories").agg(F.count("doc_id").alias("n"), F.count("published").alias("dated"), F.min("published").alias("oldest"), F.max("published").alias("newest"))
 
 
 def build(papers: DataFrame, config: Config = Config()) -> Index:
     """Number, measure and index papers. The manifest's averages are rounded to two places."""
     spark = papers.sparkSession
-    docs = stored(document_numbers(papers, config), "docs")
-    stats = corpus_stats(docs).first().asDict()
+    docs = stored(document_numbers(papers, config), "docs", "chunk")
+    chunks = stored(chunk_facts(docs), "chunks")
     cutoff = ""
-    if config.abstract_window_months is not None and stats["newest"]:
-        cutoff = spark.range(1).select(tx.months_before(F.lit(stats["newest"]), config.abstract_window_months)).first()[0]
-    # By ranges, so that a frequent term or shard spans several tasks and a shard has few files.
-    ordered = make_postings(docs, stats, cutoff, config).repartitionByRange("shard", "term", "doc_id").sortWithinPartitions("shard", "term", "doc_id")
-    postings = stored(ordered, "postings", "shard")
-    terms = stored(postings.groupBy("term").agg(F.count("doc_id").alias("df")), "terms")
+    if config.abstract_window_months is not None and (newest := chunks.agg(F.max("newest")).first()[0]):
+        cutoff = spark.range(1).select(tx.months_before(F.lit(newest), config.abstract_window_months)).first()[0]
+    counted = stored(count_terms(docs, cutoff), "counted")
+    stats = corpus_stats(counted).first().asDict()
+    blocks = stored(packed(make_postings(counted, stats, config), config), "blocks", "shard")
+    terms = stored(blocks.groupBy("term").agg(F.sum("n").alias("df")), "terms")
     total = terms.agg(F.count("term"), F.sum("df")).first()
     row = {
         "schema": 1,
@@ -146,7 +231,7 @@ def build(papers: DataFrame, config: Config = Config()) -> Index:
         "built_at": int(time.time() * 1000),
     }
     kinds = "schema int, doc_count long, docs_per_chunk int, chunk_count long, prefix_length int, categories array<string>, abstract_cutoff string, newest string, oldest string, avg_title double, avg_author double, avg_category double, avg_abstract double, term_count long, posting_count long, built_at long"
-    return Index(config, docs, postings, terms, spark.createDataFrame([tuple(row.values())], kinds))
+    return Index(config, docs, chunks, counted, blocks, terms, spark.createDataFrame([tuple(row.values())], kinds))
 
 
 def delta_coded(postings: DataFrame) -> DataFrame:

@@ -184,7 +184,7 @@ def doc_numbering(spark, sf_dir):
 
 @query(f"with {duck.DOCS}, {duck.STATS} select n as doc_count, abstract_docs, round(a1, 4) as avg_title, round(a2, 4) as avg_author, round(a4, 4) as avg_category, round(a8, 4) as avg_abstract, newest, oldest from stats")
 def corpus_stats(spark, sf_dir):
-    stats = ix.corpus_stats(built(spark, sf_dir).docs)
+    stats = ix.corpus_stats(built(spark, sf_dir).counted)
     return stats.select("doc_count", "abstract_docs", *[F.round(c, 4).alias(c) for c in ("avg_title", "avg_author", "avg_category", "avg_abstract")], "newest", "oldest")
 
 

@@ -187,11 +187,11 @@ def packed(postings: DataFrame, config: Config) -> DataFrame:
     return ordered.select("shard", "term", "doc_id", "mask", "weight").mapInArrow(pack, BLOCKS)
 
 
-def unpacked(blocks: DataFrame) -> DataFrame:
-    """(shard, term, zone, doc_id, mask, weight) of blocks; conditions on shards, terms and zones choose blocks first."""
-    rows = blocks.select("shard", "term", "zone", "first", F.explode("packed").alias("x"))
+def unpacked(blocks: DataFrame, *others: str) -> DataFrame:
+    """(shard, term, zone, doc_id, mask, weight) of blocks, and ``others``; conditions on shards, terms and zones choose blocks first."""
+    rows = blocks.select("shard", "term", "zone", *others, "first", F.explode("packed").alias("x"))
     mask = F.shiftright("x", WEIGHT_BITS).bitwiseAND(F.lit((1 << MASK_BITS) - 1)).cast("int")
-    return rows.select("shard", "term", "zone", (F.col("first") + F.shiftright("x", WEIGHT_BITS + MASK_BITS)).alias("doc_id"), mask.alias("mask"), F.col("x").bitwiseAND(F.lit((1 << WEIGHT_BITS) - 1)).cast("int").alias("weight"))
+    return rows.select("shard", "term", "zone", *others, (F.col("first") + F.shiftright("x", WEIGHT_BITS + MASK_BITS)).alias("doc_id"), mask.alias("mask"), F.col("x").bitwiseAND(F.lit((1 << WEIGHT_BITS) - 1)).cast("int").alias("weight"))
 
 
 def chunk_facts(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import batch as bt
 from ..operators import index as ix
 from ..operators import papers as pp
 from ..operators import search as se
@@ -376,6 +377,50 @@ def related_papers(spark, sf_dir):
     return se.related(index, seed_text(index), 5)
 
 
+LIMIT = 10
+
+
+def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of queries made of ``benchmark``: each whole text, and each two neighbouring words in one of six forms."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
+    pairs = items.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1)))).alias("k")).filter(F.col("k") < F.size("w"))
+    a, b = F.expr("element_at(w, k)"), F.expr("element_at(w, k + 1)")
+    form = (F.col("item_id") + F.col("k")) % 6
+    texts = [("", a, " ", b, ""), ("", a, " -", b, ""), ("ti:", a, " ", b, ""), ('"', a, " ", b, '"'), ('title:"', a, " ", b, '"'), ("cat:cs.LG ", a, "", F.lit(""), "")]
+    text = F.coalesce(*[F.when(form == k, F.concat(F.lit(p), x, F.lit(m), y, F.lit(q))) for k, (p, x, m, y, q) in enumerate(texts)])
+    return pairs.select((F.col("item_id") * 100_000 + F.col("k")).alias("query_id"), text.alias("text")).unionByName(items.select((F.col("item_id") * 100_000).alias("query_id"), "text"))
+
+
+@query(f"with {duck.LOG_HITS} select query_id, rank, doc_id, id, title, published, score, matched_fields from page")
+def search_log(spark, sf_dir):
+    """Every query of a log in one pass over the index."""
+    return bt.search_log(built(spark, sf_dir), query_log(spark, sf_dir), limit=LIMIT)
+
+
+@query(f"with {duck.LOG_HITS} select query_id, coalesce(total, 0) as total, coalesce(n_scored, 0) <= 4000 as total_known, coalesce(total, 0) > 10 as has_more from k left join (select query_id, count(*) as total from hits group by 1) using (query_id) left join (select query_id, count(*) as n_scored from scored group by 1) using (query_id)")
+def search_log_totals(spark, sf_dir):
+    return bt.log_totals(built(spark, sf_dir), query_log(spark, sf_dir), limit=LIMIT)
+
+
+SEEDS = f"""{duck.POSTINGS}, st as (select seed, term, count(*) as tf, min(i) as place from (select doc_id as seed, unnest({duck.terms("title || ' ' || abstract")}) as term, generate_subscripts({duck.terms("title || ' ' || abstract")}, 1) as i from docs) where length(term) >= 4 group by 1, 2),
+rt as (select seed, term, round((1 + ln(tf)) * {duck.IDF}, 9) as weight, place from st join df using (term), stats where df >= greatest(5, cast(floor(n * 0.0001 + 0.5) as int)) and df <= n * 0.03),
+ranked as (select * from (select *, row_number() over (partition by seed order by weight desc, place) as rank from rt) where rank <= 20)"""
+
+
+@query(f"with {SEEDS} select seed, rank, term, round(weight, 6) as weight from ranked")
+def related_terms_all(spark, sf_dir):
+    marked = bt.marked_terms(built(spark, sf_dir))
+    return marked.select("seed", F.col("rank").cast("long").alias("rank"), "term", F.round("term_weight", 6).alias("weight"))
+
+
+@query(f"""with {SEEDS}, sc as (select seed, p.doc_id, round(sum(r.weight * (p.weight / 255e0 * 24)), 9) as score, min(rank) as first from post p join ranked r using (term) where p.doc_id <> seed group by 1, 2
+ qualify row_number() over (partition by seed order by first, p.doc_id) <= 4000), top as (select *, row_number() over (partition by seed order by score desc, first, doc_id) as rank from sc)
+ select seed, rank, doc_id, id, title, round(score, 6) as score from top join docs using (doc_id) where rank <= 6""")
+def related_papers_all(spark, sf_dir):
+    """Six related papers for every paper."""
+    return bt.related_all(built(spark, sf_dir))
+
+
 # State
 
 

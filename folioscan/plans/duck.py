@@ -78,5 +78,25 @@ hits as (select b.doc_id, id, title, published, raw, mask, round(raw * case when
  from best b join docs using (doc_id), stats where {where})"""
 
 
+# A log of queries over the benchmark's neighbouring words, its slots written down as each form means them.
+LOG_HITS = f"""{POSTINGS}, b as (select item_id, text, regexp_extract_all(text, '[A-Za-z]+') as w from benchmark),
+ql as (select item_id * 100000 + k as query_id, (item_id + k) % 6 as kind, lower(w[k]) as a, lower(w[k + 1]) as c, w[k] || ' ' || w[k + 1] as neighbours from (select item_id, w, unnest(range(1, len(w))) as k from b)),
+slots as (select query_id, 0 as slot, a as term, case when kind in (2, 4) then 1 else 0 end as fields from ql where length(a) between 2 and 32
+ union all select query_id, 1, c, case when kind = 4 then 1 else 0 end from ql where kind not in (1, 5) and length(c) between 2 and 32
+ union all select item_id * 100000, i, term, 0 from (select item_id, unnest({terms('text')}) as term, generate_subscripts({terms('text')}, 1) as i from b)),
+k as (select query_id, count(*) as k from slots group by 1),
+scored as (select query_id, doc_id, round(sum({IDF} * (weight / 255e0 * 24)), 9) as raw, bit_or(mask) as mask from post join slots using (term) join df using (term) join k using (query_id), stats
+ where (fields = 0 or mask & fields <> 0) and not exists (select 1 from ql join post p on p.term = ql.c where ql.query_id = slots.query_id and kind = 1 and length(c) between 2 and 32 and p.doc_id = post.doc_id)
+ group by query_id, doc_id, k having count(distinct slot) = k),
+best as (select * from scored qualify row_number() over (partition by query_id order by raw desc, doc_id) <= 4000),
+hits as (select b.query_id, b.doc_id, id, title, published, raw, mask, round(raw * case when date_diff('day', cast(published as date), cast(newest as date)) >= 0
+ then 1 + 0.35e0 * exp(-(date_diff('day', cast(published as date), cast(newest as date)) / 365.25e0) / 6) else 1 end, 9) as score
+ from best b join docs using (doc_id) left join ql using (query_id), stats
+ where (kind is null or kind <> 5 or list_contains(categories, 'cs.LG')) and (kind is null or kind <> 4 or length(a) < 2 or length(c) < 2 or contains(lower(strip_accents(title)), lower(neighbours)))),
+idle as (select query_id, kind = 5 as narrow from ql where query_id not in (select query_id from k) union all select item_id * 100000, false from b where item_id * 100000 not in (select query_id from k)),
+shelf as (select doc_id, id, title, published, list_contains(categories, 'cs.LG') as lg, row_number() over (order by doc_id) as r, row_number() over (partition by list_contains(categories, 'cs.LG') order by doc_id) as rl from docs),
+page as (select query_id, rank, doc_id, id, title, published, round(score, 6) as score, mask as matched_fields from (select *, row_number() over (partition by query_id order by score desc, raw desc, doc_id) as rank from hits) where rank <= 10
+ union all select query_id, case when narrow then rl else r end, doc_id, id, title, published, 0e0, 0 from idle join shelf on case when narrow then lg and rl <= 10 else r <= 10 end)"""
+
 LOG = """log as (select 'u' || user_id as paper_id, event_id as seq, event_id % 2 = 0 as is_local, event_type = 'error' as deleted, epoch_us(ts) // 1000 as updated_at, event_type, value from events)"""
 WON = f"{LOG}, won as (select * from log qualify row_number() over (partition by paper_id order by updated_at desc, is_local desc, seq desc) = 1)"

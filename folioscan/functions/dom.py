@@ -62,8 +62,13 @@ class Element:
                 stack.pop()
         return "".join(out)
 
-    def remove(self) -> None:
-        self.parent.children.remove(self)
+    def drop(self, unwanted) -> None:
+        """Take the elements below that are unwanted out, with all that is in them."""
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            node.children = [c for c in node.children if isinstance(c, str) or not unwanted(c)]
+            stack.extend(c for c in node.children if not isinstance(c, str))
 
     def html(self) -> str:
         """The markup of what is below."""

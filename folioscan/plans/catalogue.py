@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -611,6 +611,57 @@ def html_links(spark, sf_dir):
     return described(spark, sf_dir).select("doc_id", F.posexplode("doc.links").alias("n", "l")).select("doc_id", "n", "l.href", "l.internal")
 
 
+def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rendered paper of every document's text: a section, one with sections of equal names and sometimes prose of its own, and appendices."""
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    even, third = F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0
+    opened = lambda at, head, kind="section": F.lit(f"<section id='{at}' class='ltx_{kind}'>" + (f"<h2 class='ltx_title'>{head}</h2>" if head else "") + "<p>")
+    closed, none = F.lit("</p></section>"), F.lit("")
+    parts = [
+        F.lit("<div class='ltx_page_main'>"), opened("S1", "Intro"), text, closed, opened("S2", "Body"), F.when(even, text).otherwise(none),
+        opened("S3", "Data"), text, closed, opened("S4", "Data"), text, F.lit(" "), text, closed, F.lit("</section>"),
+        *[F.when(third, x).otherwise(none) for x in (opened("A1", "", "appendix"), text, closed, opened("A2", "", "appendix"), text, closed)], F.lit("</div>"),
+    ]
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit("https://example.org/").alias("url"), F.concat(*parts).alias("html"))
+
+
+COUNT = r"len(list_filter(regexp_split_to_array({0}, '[\s\x1c-\x1f\x{{0085}}\x{{00a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+'), lambda x: x <> ''))"
+SECTION_UNITS = f"""with n as (select doc_id, {COUNT.format("'x' || coalesce(text, '')")} as n, {COUNT.format("'x' || coalesce(text, '') || ' ' || coalesce(text, '')")} as twice, {COUNT.format("coalesce(text, '')")} as m from documents),
+p as (select *, doc_id % 2 = 0 and n >= 80 as intro from n),
+u as (select doc_id, 1 as place, 'intro' as key, 'S1' as element_id, case when intro and n < 350 then 'S3' else 'S1' end as end_element_id, 'Intro' as label, 1 as level, case when intro and n < 350 then 2 * n else n end as words, false as appendix, case when intro and n < 350 then 1 else 0 end as merged from p
+ union all select doc_id, 2, 'body', 'S2', 'S3', 'Body', 1, n, false, 0 from p where intro and n >= 350
+ union all select doc_id, 3, 'data', 'S3', case when n < 350 then 'S4' else 'S3' end, 'Data', 2, case when n < 350 then n + twice else n end, false, case when n < 350 then 1 else 0 end from p
+ union all select doc_id, 4, 'data-', 'S4', 'S4', 'Data', 2, twice, false, 0 from p where n >= 350
+ union all select doc_id, 5, 'appendices', 'A1', 'A2', 'Appendices', 1, 2 * m, true, 0 from p where doc_id % 3 = 0)
+select doc_id, case when place = 4 then key || rank else key end as key, element_id, end_element_id, label, level, cast(words as int) as words, cast(greatest(1, floor(words / 180 + 0.5)) as int) as minutes, appendix, merged, cast(rank - 1 as int) as ordinal
+from (select *, row_number() over (partition by doc_id order by place) as rank from u)"""
+
+
+@query(SECTION_UNITS)
+def section_units(spark, sf_dir):
+    """The reading units of every document's text as a page of sections."""
+    return sr.structure(text_pages(spark, sf_dir)).select("doc_id", F.explode("doc.units").alias("u")).select("doc_id", "u.*")
+
+
+@query("""with d as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+p as (select doc_id, length(text) as last, generate_subscripts(lines, 1) - 1 as ordinal, unnest(lines) as line from d),
+s as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by ordinal rows between unbounded preceding and 1 preceding), 0) as start from p),
+u as (select *, coalesce(lead(start) over (partition by doc_id order by ordinal), last) as stop from s),
+e as (select event_id, user_id as doc_id, cast(floor(least(value / 490, 1e0) * (length(text) + 1)) as bigint) as position from events join d on user_id = d.doc_id)
+select e.event_id, e.doc_id, max(ordinal) filter (where start <= least(position, last - 1) and stop > start) as current, cast(count(*) filter (where stop <= position) as bigint) as done, count(*) as total from e join u using (doc_id) group by 1, 2""")
+def unit_positions(spark, sf_dir):
+    """Where each event's reader is among the paragraphs of the document of their number."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "line"))
+    before = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))
+    starts = lines.select(F.col("doc_id").alias("paper"), "ordinal", F.col("ordinal").cast("string").alias("key"), F.coalesce(before, F.lit(0)).cast("long").alias("start"))
+    ends = docs.select(F.col("doc_id").alias("paper"), F.length("text").cast("long").alias("end"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").alias("paper"), F.least(F.col("value") / 490, F.lit(1.0)).alias("p"))
+    at = events.join(ends, "paper").select("event_id", "paper", F.floor(F.col("p") * (F.col("end") + 1)).alias("position"))
+    found = sr.reached(at, starts, ends)
+    return found.select("event_id", F.col("paper").alias("doc_id"), F.col("current").cast("long").alias("current"), "done", "total")
+
+
 @query()
 def page_text(spark, sf_dir):
     """The cleaned text of every page; where the paper's marker is absent, of its body."""

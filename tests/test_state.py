@@ -114,12 +114,6 @@ def test_anchors(spark):
     assert at == [14, 4, None]
 
 
-def test_reading_line_and_pages(spark):
-    starts = spark.createDataFrame([("p", 0, "a", 0.0), ("p", 1, "b", 5.0), ("p", 2, "c", 9.0)], "paper string, ordinal int, key string, start double")
-    r = sr.reached(starts, 6.0).first()
-    assert r.done == ["a"] and r.current == "b"
-
-
 def test_streamed_sync_and_debounce(spark, tmp_path):
     state = str(tmp_path / "state")
     sink = streams.sync(state, now_ms=10)

@@ -5,9 +5,9 @@ queries meet the index once: blocks of the terms that any query has are decoded
 is a candidate of the queries whose rarest term it has, and the other terms are looked up within its own row. So
 frequent terms, which most documents have, multiply nothing.
 
-Related papers of every paper: a paper's marked terms join the postings of these terms. A term's first
-``CANDIDATES`` documents alone can admit a document, so nothing more of a frequent term is joined for admission;
-what a frequent term adds to documents that others admitted is looked up by term and document.
+Related papers of every paper: a paper's rarest marked terms join their postings, and bounds tell which further
+terms can matter, and to which candidates. A term's first ``CANDIDATES`` documents alone can admit a document, so
+nothing more of a frequent term is joined.
 
 Defined results: a null query is an empty one; queries without a positive term browse by their categories, empty ones
 all papers; rows that repeat an identifier are queries of their own only if their texts are the same, so identifiers should
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..storage import stored
-from .index import TITLE, Index, idf, unpacked, weight_of
+from .index import TITLE, Index, idf, numbered, unpacked, weight_of
 from .search import CANDIDATES, FIELDS, RELATED_FLOOR, RELATED_LEAST, RELATED_LENGTH, RELATED_MOST, RELATED_TERMS, Filters, at_chunks, passes, recency
 
 WHITE = r"\s\x1c-\x1f\u0085   -     　"
@@ -55,56 +55,54 @@ def parsed(query: Column) -> Column:
 
 
 def asked_terms(index: Index, queries: DataFrame, doc_count: int) -> tuple[DataFrame, DataFrame]:
-    """The ranked queries' (query_id, pivot, slots, banned, categories, phrases), and (term, pivot) of all terms that they have.
+    """The ranked queries' (query_id, pivot, slots, banned), and (term, number, pivot) of all terms that they have; slots name terms by number.
 
     ``pivot`` is a query's rarest positive term; a query of which some positive term is in no document has no hits and goes.
     """
     each = queries.select("query_id", F.posexplode("q.terms").alias("slot", "t")).select("query_id", "slot", "t.*")
-    known = each.join(index.terms, "term", "left")
+    numbers = stored(numbered(each.select("term").distinct().join(index.terms, "term"), F.asc("term")), "asked")
+    known = each.join(numbers, "term", "left")
     gathered = known.groupBy("query_id").agg(
         F.min(F.when(~F.col("negated"), F.coalesce("df", F.lit(0)))).alias("least"),
-        F.min_by("term", F.when(~F.col("negated"), F.struct("df", "slot"))).alias("pivot"),
-        F.array_sort(F.collect_list(F.when(~F.col("negated"), F.struct("slot", "term", "fields", idf(F.col("df"), F.lit(doc_count)).alias("idf"))))).alias("slots"),
-        F.collect_set(F.when(F.col("negated"), F.col("term"))).alias("banned"),
+        F.min_by("number", F.when(~F.col("negated"), F.struct("df", "slot"))).alias("pivot"),
+        F.array_sort(F.collect_list(F.when(~F.col("negated"), F.struct("slot", "number", "fields", idf(F.col("df"), F.lit(doc_count)).alias("idf"))))).alias("slots"),
+        F.collect_set(F.when(F.col("negated"), F.col("number"))).alias("banned"),
     )
-    ranked = stored(gathered.filter("least > 0").drop("least").join(queries.select("query_id", "q.categories", "q.phrases"), "query_id"), "queries")
-    terms = ranked.select("pivot", F.explode(F.array_union(F.transform("slots", lambda s: s["term"]), "banned")).alias("term"))
-    return ranked, terms.groupBy("term").agg(F.max(F.col("term") == F.col("pivot")).alias("pivot"))
+    ranked = stored(gathered.filter("least > 0").drop("least"), "queries")
+    wanted = ranked.select("pivot", F.explode(F.array_union(F.transform("slots", lambda s: s["number"]), "banned")).alias("number"))
+    wanted = wanted.groupBy("number").agg(F.max(F.col("number") == F.col("pivot")).alias("pivot"))
+    return ranked, numbers.select("term", "number").join(wanted, "number")
 
 
 def candidates(index: Index, ranked: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score, mask, categories, phrases) of all hits of all ranked queries, from one scan of the blocks."""
+    """(query_id, doc_id, score, mask) of all hits of all ranked queries, from one scan of the blocks."""
     asked = terms.withColumn("shard", tx.shard_key(F.col("term"), index.config.prefix_length))
-    held = unpacked(index.blocks.join(asked, ["shard", "term"]), "pivot").groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", F.struct("mask", "weight")))).alias("held"), F.collect_list(F.when(F.col("pivot"), F.col("term"))).alias("pivots")
+    value = F.col("mask") * (1 << 8) + F.col("weight")
+    held = unpacked(index.blocks.join(asked, ["shard", "term"]), "number", "pivot").groupBy("doc_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("number", value))).alias("held"), F.collect_list(F.when(F.col("pivot"), F.col("number"))).alias("pivots")
     )
     met = held.withColumn("pivot", F.explode("pivots")).drop("pivots").join(ranked, "pivot")
-    of = lambda s: F.try_element_at(F.col("held"), s["term"])
-    ok = lambda s: F.coalesce((s["fields"] == 0) & of(s).isNotNull() | (of(s)["mask"].bitwiseAND(s["fields"]) != 0), F.lit(False))
-    full = met.filter(F.forall("slots", ok) & ~F.exists("banned", lambda t: F.map_contains_key("held", t)))
-    score = F.aggregate("slots", F.lit(0.0), lambda a, s: a + s["idf"] * weight_of(of(s)["weight"]))
-    mask = F.aggregate("slots", F.lit(0), lambda a, s: a.bitwiseOR(of(s)["mask"]))
-    return full.select("query_id", "doc_id", F.round(score, 9).alias("score"), mask.alias("mask"), "categories", "phrases")
-
-
-def log_hits(index: Index, queries: DataFrame, filters: Filters) -> tuple[DataFrame, DataFrame]:
-    """Ranked queries' resolved hits, and (query_id, scored): how many documents each scored before its best were cut."""
-    facts = index.manifest.first()
-    ranked, terms = asked_terms(index, queries, facts["doc_count"])
-    scored = candidates(index, ranked, terms)
-    if facts["doc_count"] > CANDIDATES:
-        scored = stored(scored, "scored")
+    # What the document has of each slot: field bits and weight, null where it lacks the term.
+    has = F.transform("slots", lambda s: F.struct(F.try_element_at("held", s["number"]).alias("v"), s["fields"].alias("fields"), s["idf"].alias("idf")))
+    met = met.filter(~F.exists("banned", lambda t: F.map_contains_key("held", t))).select("query_id", "doc_id", has.alias("has"))
+    mask = lambda h: F.shiftright(h["v"], 8)
+    full = met.filter(F.forall("has", lambda h: F.coalesce((h["v"].isNotNull() & (h["fields"] == 0)) | (mask(h).bitwiseAND(h["fields"]) != 0), F.lit(False))))
+    score = F.aggregate("has", F.lit(0.0), lambda a, h: a + h["idf"] * weight_of(h["v"].bitwiseAND(F.lit(255))))
+    return full.select("query_id", "doc_id", F.round(score, 9).alias("score"), F.aggregate("has", F.lit(0), lambda a, h: a.bitwiseOR(mask(h))).alias("mask"))
+
+
+def resolved(index: Index, scored: DataFrame, queries: DataFrame, filters: Filters) -> DataFrame:
+    """The hits among the best scored documents of each query, with what is shown of them."""
+    newest = index.manifest.first()["newest"]
     best = scored.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("k") <= CANDIDATES).drop("k")
-    best = at_chunks(index, best).withColumnRenamed("categories", "wanted")
-    ui = F.array(*[F.lit(c.lower()) for c in filters.categories]).cast("array<string>")
-    wanted = F.concat("wanted", ui)
+    asked = queries.select("query_id", F.col("q.categories").alias("wanted"), "q.phrases")
     docs = index.docs.select("chunk", "doc_id", "id", "title", "published", "categories")
-    hits = docs.join(best, ["chunk", "doc_id"]).filter(passes(Filters(since=filters.since, until=filters.until), ()))
-    hits = hits.filter((F.size(wanted) == 0) | F.arrays_overlap(F.transform("categories", F.lower), wanted))
+    hits = docs.join(at_chunks(index, best.join(asked, "query_id")), ["chunk", "doc_id"]).filter(passes(Filters(since=filters.since, until=filters.until), ()))
+    wanted = F.concat("wanted", F.array(*[F.lit(c.lower()) for c in filters.categories]).cast("array<string>"))
     title = tx.fold(F.col("title"))
-    hits = hits.filter(F.forall("phrases", lambda p: F.contains(title, tx.fold(p))))
-    boosted = F.round(F.col("score") * recency(F.col("published"), F.lit(facts["newest"])), 9)
-    return hits.select("query_id", "doc_id", "id", "title", "published", boosted.alias("score"), F.col("score").alias("raw_score"), F.col("mask").alias("matched_fields")), scored
+    hits = hits.filter((F.size(wanted) == 0) | F.arrays_overlap(F.transform("categories", F.lower), wanted)).filter(F.forall("phrases", lambda p: F.contains(title, tx.fold(p))))
+    boosted = F.round(F.col("score") * recency(F.col("published"), F.lit(newest)), 9)
+    return hits.select("query_id", "doc_id", "id", "title", "published", boosted.alias("score"), F.col("score").alias("raw_score"), F.col("mask").alias("matched_fields"))
 
 
 def browsed(index: Index, queries: DataFrame, filters: Filters, limit: int) -> DataFrame:
@@ -138,7 +136,9 @@ def has_positive() -> Column:
 def search_log(index: Index, queries: DataFrame, filters: Filters = Filters(), limit: int = 25) -> DataFrame:
     """The first page of every query of a table (query_id, text): (query_id, rank, doc_id, id, title, published, score, matched_fields)."""
     log = read_log(queries)
-    hits, _ = log_hits(index, log.filter(has_positive()), filters)
+    asked = log.filter(has_positive())
+    scored = candidates(index, *asked_terms(index, asked, index.manifest.first()["doc_count"]))
+    hits = resolved(index, scored, asked, filters)
     dates = {"newest": [F.desc("published")], "oldest": [F.asc("published")]}.get(filters.sort, [])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*dates, F.desc("score"), F.desc("raw_score"), "doc_id")).cast("long")
     page = hits.withColumn("rank", rank).filter(F.col("rank") <= limit)
@@ -149,8 +149,8 @@ def search_log(index: Index, queries: DataFrame, filters: Filters = Filters(), l
 def log_totals(index: Index, queries: DataFrame, filters: Filters = Filters(), limit: int = 25) -> DataFrame:
     """(query_id, total, total_known, has_more) of every query with a positive term; ``total_known`` is false beyond the candidates."""
     log = read_log(queries).filter(has_positive())
-    hits, scored = log_hits(index, log, filters)
-    counts = hits.groupBy("query_id").agg(F.count("doc_id").alias("total"))
+    scored = stored(candidates(index, *asked_terms(index, log, index.manifest.first()["doc_count"])), "scored")
+    counts = resolved(index, scored, log, filters).groupBy("query_id").agg(F.count("doc_id").alias("total"))
     sizes = scored.groupBy("query_id").agg(F.count("doc_id").alias("scored"))
     rows = log.select("query_id").join(counts, "query_id", "left").join(sizes, "query_id", "left")
     total = F.coalesce("total", F.lit(0)).cast("long")
@@ -159,12 +159,12 @@ def log_totals(index: Index, queries: DataFrame, filters: Filters = Filters(), l
 
 # Related papers of all papers
 
-#: Documents of a term that a task joins with the papers it marks; more of them are dealt to several.
-SPLIT = 2048
+#: Documents of a term that a task joins with the papers it marks, more of them are dealt to several; terms of a paper that are joined first.
+SPLIT, FIRST = 2048, 6
 
 
 def marked_terms(index: Index) -> DataFrame:
-    """(seed, rank, term, term_weight, df): up to 20 terms that mark each paper, as ``search.related_terms`` chooses them."""
+    """(seed, rank, term, term_weight, df, largest): up to 20 terms that mark each paper, as ``search.related_terms`` chooses them."""
     n = index.manifest.first()["doc_count"]
     least = max(RELATED_FLOOR, int(n * RELATED_LEAST + 0.5))
     useful = index.terms.filter((F.length("term") >= RELATED_LENGTH) & (F.col("df") >= least) & (F.col("df") <= n * RELATED_MOST))
@@ -172,7 +172,7 @@ def marked_terms(index: Index) -> DataFrame:
     known = each.filter((F.col("tf") > 0) & (F.length("term") >= RELATED_LENGTH)).join(useful, "term")
     weighed = known.withColumn("term_weight", F.round((1 + F.log("tf")) * idf(F.col("df"), F.lit(n)), 9))
     rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("term_weight"), "at"))
-    return weighed.withColumn("rank", rank).filter(F.col("rank") <= RELATED_TERMS).select("seed", "rank", "term", "term_weight", "df")
+    return weighed.withColumn("rank", rank).filter(F.col("rank") <= RELATED_TERMS).select("seed", "rank", "term", "term_weight", "df", "largest")
 
 
 def head_postings(index: Index, terms: DataFrame, most: int) -> DataFrame:
@@ -184,42 +184,63 @@ def head_postings(index: Index, terms: DataFrame, most: int) -> DataFrame:
     return unpacked(heads, "df").select("term", "df", "doc_id", "weight")
 
 
-def related_all(index: Index, limit: int = 6, most: int = CANDIDATES) -> DataFrame:
-    """(seed, rank, doc_id, id, title, score): for every paper what ``search.related`` gives for it alone."""
+def admitted(pairs: DataFrame, most: int) -> DataFrame:
+    """Of seeds with more than ``most`` candidates, the first by the terms' ranks, then by number."""
+    large = stored(pairs.groupBy("seed").agg(F.count("doc_id").alias("c")).filter(F.col("c") > most).select("seed"), "large")
+    if large.isEmpty():
+        return pairs
+    place = F.row_number().over(Window.partitionBy("seed").orderBy("first", "doc_id"))
+    kept = pairs.join(large, "seed", "left_semi").withColumn("place", place).filter(F.col("place") <= most).drop("place")
+    return pairs.join(large, "seed", "left_anti").unionByName(kept)
+
+
+def related_all(index: Index, limit: int = 6, most: int = CANDIDATES, first: int = FIRST) -> DataFrame:
+    """(seed, rank, doc_id, id, title, score): for every paper what ``search.related`` gives for it alone.
+
+    The rarest terms come first: their postings give candidates with a part of their score. The ``limit``-th best
+    part is a bound; further terms are joined only while all that remain could lift a new document to it. What
+    remains of the terms is then looked up, by term and document, for candidates that can reach the bound.
+    """
     n = index.manifest.first()["doc_count"]
-    marked = stored(marked_terms(index), "marked")
+    long = F.col("df") > most + 1  # terms of which only the first documents are joined: all that they add is looked up
+    top = F.col("term_weight") * weight_of(F.col("largest"))
+    of_seed = Window.partitionBy("seed")
+    closed = F.sum(F.when(long, 0.0).otherwise(top)).over(of_seed.orderBy("rank"))
+    marked = stored(marked_terms(index).withColumn("open", F.sum(top).over(of_seed) - closed).withColumn("ranks", F.max("rank").over(of_seed)), "marked")
     terms = stored(marked.select("term", "df").distinct(), "useful")
     parts = F.ceil(F.col("df") / SPLIT).cast("int")
-    seeds = marked.withColumn("part", F.pmod(F.xxhash64("seed"), parts).cast("int")).drop("df")
     posts = head_postings(index, terms, most).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("df")
-    value = F.col("term_weight") * weight_of(F.col("weight"))
-    pairs = seeds.join(posts, ["term", "part"]).filter(F.col("doc_id") != F.col("seed")).groupBy("seed", "doc_id").agg(F.sum(value).alias("score"), F.min("rank").alias("first"))
+
+    def found(seeds: DataFrame) -> DataFrame:
+        seeds = seeds.withColumn("part", F.pmod(F.xxhash64("seed"), parts).cast("int")).withColumn("counts", F.when(long, 0.0).otherwise(F.col("term_weight")))
+        each = seeds.select("seed", "rank", "term", "part", "counts").join(posts, ["term", "part"]).filter(F.col("doc_id") != F.col("seed"))
+        return each.select("seed", "doc_id", (F.col("counts") * weight_of(F.col("weight"))).alias("part_score"), F.col("rank").alias("first"))
+
+    def added(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("seed", "doc_id").agg(F.sum("part_score").alias("part_score"), F.min("first").alias("first"))
+
+    def bounds(pairs: DataFrame) -> DataFrame:
+        """(seed, bound): the ``limit``-th best part of a score, of seeds with so many candidates."""
+        k = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("part_score")))
+        return pairs.select("seed", "part_score").withColumn("k", k).filter(F.col("k") <= limit).groupBy("seed").agg(F.min("part_score").alias("bound"), F.count("k").alias("c")).filter(F.col("c") == limit).select("seed", (F.col("bound") - 1e-6).alias("bound"))
+
+    pairs = stored(added(found(marked.filter(F.col("rank") <= first))), "pairs")
+    # The last rank that each seed needs: where the open terms no longer reach the bound.
+    reach = marked.select("seed", "rank", "ranks", "open").join(bounds(admitted(pairs, most)), "seed", "left")
+    enough = F.min(F.when((F.col("rank") >= first) & (F.col("open") < F.col("bound")), F.col("rank")))
+    needs = stored(reach.groupBy("seed").agg(F.coalesce(enough, F.max("ranks")).alias("need")), "needs")
+    told = marked.join(needs, "seed")
+    further = told.filter((F.col("rank") > first) & (F.col("rank") <= F.col("need")))
+    pairs = stored(admitted(added(pairs.unionByName(found(further))), most), "pairs")
+    left = told.filter(F.col("rank") == F.least("need", "ranks")).select("seed", "open")
+    alive = pairs.join(left, "seed").join(bounds(pairs), "seed", "left").filter(F.col("bound").isNull() | (F.col("part_score") + F.col("open") >= F.col("bound")))
+    alive = stored(alive.select("seed", "doc_id", "part_score", "first"), "alive")
+    rest = told.filter((F.col("rank") > F.col("need")) | long).select("seed", "term", "term_weight")
+    asked = alive.select("seed", "doc_id").join(rest, "seed")
+    every = unpacked(index.blocks.join(stored(rest.select("term").distinct(), "rest"), "term")).select("term", "doc_id", "weight")
+    more = asked.join(every, ["term", "doc_id"]).select("seed", "doc_id", (F.col("term_weight") * weight_of(F.col("weight"))).alias("part_score"))
+    scores = alive.unionByName(more.withColumn("first", F.lit(None).cast("int"))).groupBy("seed", "doc_id").agg(F.round(F.sum("part_score"), 9).alias("score"), F.min("first").alias("first"))
     order = [F.desc("score"), F.asc("first"), F.asc("doc_id")]
-    if n > most:
-        # Seeds with more candidates admit the first by term, then by number; what frequent terms add to those follows.
-        pairs = stored(pairs, "pairs")
-        large = stored(pairs.groupBy("seed").agg(F.count("doc_id").alias("c")).filter(F.col("c") > most).select("seed"), "large")
-        if not large.isEmpty():
-            place = F.row_number().over(Window.partitionBy("seed").orderBy("first", "doc_id"))
-            kept = pairs.join(large, "seed", "left_semi").withColumn("place", place).filter(F.col("place") <= most).drop("place")
-            pairs = pairs.join(large, "seed", "left_anti").unionByName(kept)
-        if n * RELATED_MOST > most:
-            pairs = with_tails(index, pairs, marked, most)
-    pairs = pairs.withColumn("score", F.round("score", 9))
-    top = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(*order)).cast("long")).filter(F.col("rank") <= limit)
-    shown = index.docs.select("chunk", "doc_id", "id", "title").join(at_chunks(index, top), ["chunk", "doc_id"])
+    best = scores.withColumn("rank", F.row_number().over(of_seed.orderBy(*order)).cast("long")).filter(F.col("rank") <= limit)
+    shown = index.docs.select("chunk", "doc_id", "id", "title").join(at_chunks(index, best), ["chunk", "doc_id"])
     return shown.select("seed", "rank", "doc_id", "id", "title", F.round("score", 6).alias("score"))
-
-
-def with_tails(index: Index, pairs: DataFrame, marked: DataFrame, most: int) -> DataFrame:
-    """Pairs with what terms of more than ``most`` documents add to them beyond those."""
-    long = marked.filter(F.col("df") > most + 1)
-    terms = stored(long.select("term", "df").distinct(), "long")
-    if terms.isEmpty():
-        return pairs
-    every = unpacked(index.blocks.join(terms, "term")).select("term", "doc_id", "weight")
-    heads = head_postings(index, terms, most).select("term", "doc_id")
-    asked = pairs.select("seed", "doc_id").join(long.select("seed", "term", "term_weight"), "seed")
-    more = asked.join(every, ["term", "doc_id"]).join(heads, ["term", "doc_id"], "left_anti")
-    added = more.groupBy("seed", "doc_id").agg(F.sum(F.col("term_weight") * weight_of(F.col("weight"))).alias("more"))
-    return pairs.join(added, ["seed", "doc_id"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))).drop("more")

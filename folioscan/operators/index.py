@@ -210,7 +210,7 @@ def build(papers: DataFrame, config: Config = Config()) -> Index:
     counted = stored(count_terms(docs, cutoff), "counted")
     stats = corpus_stats(counted).first().asDict()
     blocks = stored(packed(make_postings(counted, stats, config), config), "blocks", "shard")
-    terms = stored(blocks.groupBy("term").agg(F.sum("n").alias("df")), "terms")
+    terms = stored(blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("largest").alias("largest")), "terms")
     total = terms.agg(F.count("term"), F.sum("df")).first()
     row = {
         "schema": 1,

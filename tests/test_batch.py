@@ -111,12 +111,12 @@ def brute(index, most, limit=6):
     return out
 
 
-@pytest.mark.parametrize("most, share", [(4000, 0.03), (4000, 0.3), (9, 0.3), (30, 0.3), (2, 0.2)])
-def test_related_papers_of_all(many, monkeypatch, most, share):
+@pytest.mark.parametrize("most, share, first", [(4000, 0.03, 6), (4000, 0.3, 2), (9, 0.3, 1), (30, 0.3, 3), (2, 0.2, 20)])
+def test_related_papers_of_all(many, monkeypatch, most, share, first):
     """Few admitted, frequent terms and several parts of a term included."""
     monkeypatch.setattr(bt, "RELATED_MOST", share)
     monkeypatch.setattr(bt, "SPLIT", 10)
-    got = sorted((r.seed, r.rank, r.doc_id, r.score) for r in bt.related_all(many, most=most).collect())
+    got = sorted((r.seed, r.rank, r.doc_id, r.score) for r in bt.related_all(many, most=most, first=first).collect())
     want = sorted(brute(many, most))
     assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=2e-6)
     if share > 0.1:

@@ -14,7 +14,7 @@ from pyspark.sql import Window
 
 from ..config import Config
 from ..functions import text as tx
-from ..storage import stored
+from ..storage import discard, stored
 from .papers import in_scope
 
 # Field bits and weights, BM25 parameters, the quantised range.
@@ -49,8 +49,8 @@ BLOCKS = "shard string, term string, zone int, first long, last long, n int, lar
 
 @dataclass
 class Index:
-    """A built index: documents by number and chunk, what each chunk has, counted terms by document, blocks of postings
-    by shard, terms with their document frequency, and the one-row manifest.
+    """A built index: documents by number and chunk, what each chunk has, identifiers by shard, counted terms by document,
+    blocks of postings by shard, terms with their document frequency, and the one-row manifest.
 
     All but the manifest are Parquet tables, so a search reads the shards of its terms, the chunks of its hits
     and the columns it shows.
@@ -59,6 +59,7 @@ class Index:
     config: Config
     docs: DataFrame
     chunks: DataFrame
+    ids: DataFrame
     counted: DataFrame
     blocks: DataFrame
     terms: DataFrame
@@ -70,20 +71,20 @@ class Index:
 
 
 def numbered(rows: DataFrame, *order: Column) -> DataFrame:
-    """Dense numbers from 0 in a global order, without one task seeing all rows.
+    """Dense numbers from 0 in a global order, without one task seeing all rows, and with one shuffle of them.
 
-    Rows are range-partitioned and numbered within partitions; partition sizes, one number each, give
-    the offsets. The partitioning is stored, as a range's bounds may differ when it is computed again.
+    Rows are range-partitioned and sorted; a row's place in its partition comes with its identifier, and partition sizes,
+    one number each, give the offsets. The table is stored, as a range's bounds may differ when it is computed again.
     """
-    placed = stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
-    sizes = {r[0]: r[1] for r in placed.groupBy("_part").count().collect()}
+    placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("_id", 33).cast("int"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r[0]: r[1] for r in placed.groupBy(part).count().collect()}
     offsets, at = [], 0
-    for part in sorted(sizes):
-        offsets += [F.lit(part), F.lit(at)]
-        at += sizes[part]
-    base = F.create_map(*offsets)[F.col("_part")] if offsets else F.lit(0)
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return placed.withColumn("number", (base + within).cast("long")).drop("_part")
+    for k in sorted(sizes):
+        offsets += [F.lit(k), F.lit(at)]
+        at += sizes[k]
+    base = F.create_map(*offsets)[part] if offsets else F.lit(0)
+    return placed.withColumn("number", (base + place).cast("long")).drop("_id")
 
 
 def document_numbers(papers: DataFrame, config: Config = Config()) -> DataFrame:
@@ -199,11 +200,24 @@ def chunk_facts(docs: DataFrame) -> DataFrame:
     return docs.groupBy("chunk", "categories").agg(F.count("doc_id").alias("n"), F.count("published").alias("dated"), F.min("published").alias("oldest"), F.max("published").alias("newest"))
 
 
+#: Bloom filters of the identifiers in each file, so that a lookup skips files and row groups without them.
+ID_FILTERS = {"parquet.bloom.filter.enabled#id": "true"}
+
+
+def id_shards(docs: DataFrame) -> DataFrame:
+    """(id, doc_id, id_shard) in the order of shards and identifiers, by ranges: a shard has few files."""
+    rows = docs.select("id", "doc_id", tx.id_shard_key(F.col("id")).alias("id_shard"))
+    return rows.repartitionByRange("id_shard", "id").sortWithinPartitions("id_shard", "id")
+
+
 def build(papers: DataFrame, config: Config = Config()) -> Index:
     """Number, measure and index papers. The manifest's averages are rounded to two places."""
     spark = papers.sparkSession
-    docs = stored(document_numbers(papers, config), "docs", "chunk")
+    rows = document_numbers(papers, config)
+    docs = stored(rows, "docs", "chunk")
+    discard(rows)
     chunks = stored(chunk_facts(docs), "chunks")
+    ids = stored(id_shards(docs), "ids", "id_shard", options=ID_FILTERS)
     cutoff = ""
     if config.abstract_window_months is not None and (newest := chunks.agg(F.max("newest")).first()[0]):
         cutoff = spark.range(1).select(tx.months_before(F.lit(newest), config.abstract_window_months)).first()[0]
@@ -231,7 +245,7 @@ def build(papers: DataFrame, config: Config = Config()) -> Index:
         "built_at": int(time.time() * 1000),
     }
     kinds = "schema int, doc_count long, docs_per_chunk int, chunk_count long, prefix_length int, categories array<string>, abstract_cutoff string, newest string, oldest string, avg_title double, avg_author double, avg_category double, avg_abstract double, term_count long, posting_count long, built_at long"
-    return Index(config, docs, chunks, counted, blocks, terms, spark.createDataFrame([tuple(row.values())], kinds))
+    return Index(config, docs, chunks, ids, counted, blocks, terms, spark.createDataFrame([tuple(row.values())], kinds))
 
 
 def delta_coded(postings: DataFrame) -> DataFrame:

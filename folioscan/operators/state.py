@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from ..storage import stored
 
 TABLES = {"progress": "paper_id", "library": "paper_id", "collections": "id", "highlights": "id", "notes": "paper_id", "saved_searches": "id", "reading_units": "id"}
 TOMBSTONE_MS = 90 * 24 * 60 * 60 * 1000
@@ -306,21 +307,35 @@ def fill_gaps(base: DataFrame, *others: DataFrame, key: str = "id") -> DataFrame
 def save_times(events: DataFrame, key: str = "key", at: str = "at", quiet: int = 900, most: int = 1200) -> DataFrame:
     """(key, saved_at): when a trailing debounce with a longest wait saves, of requests in milliseconds.
 
-    Requests that follow within the quiet period belong to one burst; a burst saves ``quiet`` after its
-    last request, and whenever ``most`` has passed since the first unsaved one. Sequential by key: a
-    window finds bursts, and a fold within a burst finds its saves.
+    A save takes the requests from a first one on, until none follows within the quiet period or ``most`` has passed.
+    What a request would take, were it a first one, depends on the next ``2 * most`` milliseconds alone, so each stretch of
+    time is a group of its own, of as many rows as it has different milliseconds. First ones are those after a quiet
+    period, and those that follow a first one's requests: they are found by steps that double along these
+    links. No task has all requests of a key, and none sorts them. Null keys or times request nothing.
     """
-    rows = events.select(F.col(key).alias("key"), F.col(at).cast("long").alias("at"))
-    gap = F.col("at") - F.lag("at").over(Window.partitionBy("key").orderBy("at"))
-    bursts = rows.withColumn("burst", F.sum(F.when(gap < quiet, 0).otherwise(1)).over(Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
-    grouped = bursts.groupBy("key", "burst").agg(F.array_sort(F.collect_list("at")).alias("ats"))
-
-    def step(acc: Column, t: Column) -> Column:
-        due = F.least(acc["last"] + quiet, acc["first"] + most)
-        fired = acc["first"].isNotNull() & (due <= t)
-        out = F.when(fired, F.concat(acc["out"], F.array(due))).otherwise(acc["out"])
-        return F.struct(F.when(fired | acc["first"].isNull(), t).otherwise(acc["first"]).alias("first"), t.alias("last"), out.alias("out"))
-
-    start = F.struct(F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.expr("cast(array() as array<bigint>)").alias("out"))
-    saves = F.aggregate("ats", start, step, lambda acc: F.concat(acc["out"], F.array(F.least(acc["last"] + quiet, acc["first"] + most))))
-    return grouped.select("key", F.explode(saves).alias("saved_at"))
+    rows = events.select(F.col(key).alias("key"), F.col(at).cast("long").alias("at")).dropna().distinct()
+    stretch = F.floor(F.col("at") / most)
+    near = rows.select("key", "at", F.explode(F.sequence(stretch - 2, stretch + 1)).alias("stretch")).groupBy("key", "stretch").agg(F.array_sort(F.collect_list("at")).alias("ats"))
+
+    def taken(t: Column) -> Column:
+        """(at, opens, last, link): whether ``t`` follows a quiet period, its last request, and the next one if that comes soon after."""
+        of = lambda low, high: F.filter("ats", lambda x: (x > low) & (x < high))
+        last = F.aggregate(of(t, t + most), F.struct(t.alias("e"), F.lit(False).alias("done")), lambda a, x: F.when(a["done"] | (x - a["e"] >= quiet), F.struct(a["e"], F.lit(True).alias("done"))).otherwise(F.struct(x.alias("e"), F.lit(False).alias("done"))))
+        return F.struct(t.alias("at"), (F.size(of(t - quiet, t)) == 0).alias("opens"), last["e"].alias("last"))
+
+    own = F.filter("ats", lambda t: F.floor(t / most) == F.col("stretch"))
+    each = near.select("key", "ats", F.explode(F.transform(own, taken)).alias("r")).select("key", "ats", "r.*")
+    link = F.array_min(F.filter("ats", lambda x: (x > F.col("last")) & (x < F.col("last") + quiet)))
+    nodes = stored(each.select("key", "at", "opens", "last", link.alias("link")), "requests")
+    firsts, links = nodes.filter("opens").select("key", "at"), nodes.filter("link is not null").select("key", "at", "link")
+    while True:
+        # Firsts hold all that fewer steps reach than a link now has; those a link away are added.
+        reached = links.join(firsts, ["key", "at"], "left_semi").select("key", F.col("link").alias("at")).distinct()
+        new = stored(reached.join(firsts, ["key", "at"], "left_anti"), "reached")
+        if new.isEmpty():
+            break
+        firsts = stored(firsts.unionByName(new), "firsts")
+        onward = links.select("key", F.col("at").alias("link"), F.col("link").alias("further"))
+        links = stored(links.join(onward, ["key", "link"]).select("key", "at", F.col("further").alias("link")), "links")
+    saved = F.least(F.col("last") + quiet, F.col("at") + most)
+    return nodes.join(firsts, ["key", "at"], "left_semi").select("key", saved.alias("saved_at"))

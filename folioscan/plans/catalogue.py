@@ -14,7 +14,7 @@ from ..operators import papers as pp
 from ..operators import search as se
 from ..operators import state as st
 from ..operators import structure as sr
-from ..sources import snapshots
+from ..sources import commits, snapshots
 from ..storage import shared_dir, stamp
 from ..streaming import streams
 from . import duck
@@ -234,9 +234,7 @@ def docs_by_month(spark, sf_dir):
 @query(f"with {duck.DOCS}, asked as (select id || 'v2' as id, id as bare from papers) select a.id, d.doc_id from asked a left join docs d on a.bare = d.id")
 def id_lookup(spark, sf_dir):
     """Identifiers with versions to document numbers; those out of scope have none."""
-    known = built(spark, sf_dir).docs.select(F.col("id").alias("known"), "doc_id")
-    asked = pp.papers(spark, sf_dir).select(F.concat("id", F.lit("v2")).alias("id"))
-    return asked.join(known, tx.strip_version(F.col("id")) == F.col("known"), "left").select("id", "doc_id")
+    return snapshots.look_up(built(spark, sf_dir).ids, pp.papers(spark, sf_dir).select(F.concat("id", F.lit("v2")).alias("id")))
 
 
 @query(f"with {duck.LOG}, last as (select * from log qualify row_number() over (partition by paper_id order by seq desc) = 1) select paper_id, seq, event_type from last where not deleted")
@@ -679,13 +677,43 @@ def quote_anchors(spark, sf_dir):
 # Streams
 
 
-@query(f"with {duck.WON} select paper_id, seq, deleted, updated_at from won")
-def stream_merge(spark, sf_dir):
+def streamed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state log as a stream of the ``events`` table."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    log = events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("paper_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 2 == 0).alias("is_local"), (F.col("event_type") == "error").alias("deleted"), F.unix_millis(F.col("ts").cast("timestamp")).alias("updated_at"))
-    name = f"merge_{uuid.uuid4().hex}"
-    return streams.run_merge(spark, log, name, f"{shared_dir(spark)}/{name}").select("paper_id", "seq", "deleted", "updated_at")
+    return events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("paper_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 2 == 0).alias("is_local"), (F.col("event_type") == "error").alias("deleted"), F.unix_millis(F.col("ts").cast("timestamp")).alias("updated_at"), "event_type")
+
+
+def new_state(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+
+
+@query(f"with {duck.WON} select paper_id, seq, deleted, updated_at from won")
+def stream_merge(spark, sf_dir):
+    """A streamed log merged into a state by commits."""
+    path = new_state(spark)
+    streams.run_commits(streamed_log(spark, sf_dir), path, f"{path}-checkpoint")
+    return commits.read(spark, path).select("paper_id", "seq", "deleted", "updated_at")
+
+
+@query(f"with {duck.WON} select event_type as value, count(*) as n from won where not deleted group by 1")
+def stream_tags(spark, sf_dir):
+    """How many live records have which type: a view that follows the stream's commits."""
+    path = new_state(spark)
+    streams.run_commits(streamed_log(spark, sf_dir), path, f"{path}-checkpoint", views={"types": F.array("event_type")})
+    return commits.read_view(spark, path, "types")
+
+
+@query(f"with {duck.WON} select paper_id, seq, is_local, deleted from won where not deleted or (select max(updated_at) from log) - updated_at < 86400000")
+def state_commits(spark, sf_dir):
+    """Both sides of the state log committed, one after the other; old tombstones go."""
+    path, (local, remote) = new_state(spark), sides(spark, sf_dir)
+    now = st.state_log(spark, sf_dir).agg(F.max("updated_at")).first()[0] or 0
+    commits.commit(spark, path, remote)
+    merge = lambda new, old: st.prune(st.merge(new, old, "paper_id", "seq"), now, 86_400_000)
+    commits.commit(spark, path, local, merge=merge)
+    # The buckets that the second side didn't touch are pruned as well.
+    return st.prune(commits.read(spark, path, local.schema), now, 86_400_000).select("paper_id", "seq", "is_local", "deleted")
 
 
 @query("with m as (select event_type as set_name, max(cast(ts as date)) as day from events group by 1) select event_id, event_type as set_name from events e left join m on e.event_type = m.set_name where cast(ts as date) >= coalesce(day, date '1970-01-01')")

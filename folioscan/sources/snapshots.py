@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators.index import Index
+from ..operators.index import ID_FILTERS, Index, id_shards
 
 
 def write_snapshot(index: Index, path: str) -> None:
@@ -19,7 +19,7 @@ def write_snapshot(index: Index, path: str) -> None:
     light.repartition("chunk").sortWithinPartitions("chunk", "doc_id").write.partitionBy("chunk").parquet(f"{path}/docs")
     meta = docs.select(F.regexp_replace(F.substring("published", 1, 7), "-", "").alias("month"), "id", "abstract", "comment", "doi", "journal_ref")
     meta.repartition("month").write.partitionBy("month").parquet(f"{path}/meta")
-    docs.select("id", "doc_id", tx.id_shard_key(F.col("id")).alias("id_shard")).repartition("id_shard").write.partitionBy("id_shard").parquet(f"{path}/ids")
+    id_shards(docs).write.options(**ID_FILTERS).partitionBy("id_shard").parquet(f"{path}/ids")
     recent(index).coalesce(1).write.parquet(f"{path}/recent")
     index.postings.repartition("shard").sortWithinPartitions("shard", "term", "doc_id").write.partitionBy("shard").parquet(f"{path}/postings")
     index.terms.write.parquet(f"{path}/terms")
@@ -63,6 +63,14 @@ def details(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
 def find_ids(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     """(id, doc_id) of identifiers, versions left off; unknown ones are null."""
     # With a schema, as shards such as 2402 would be read as numbers.
-    known = spark.read.schema("id string, doc_id long, id_shard string").parquet(f"{path}/ids").select("id_shard", F.col("id").alias("known"), "doc_id")
+    return look_up(spark.read.schema("id string, doc_id long, id_shard string").parquet(f"{path}/ids"), ids)
+
+
+def look_up(known: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, doc_id) of identifiers in a table by ``id_shard``: shards that none is in aren't read; unknown and blank ones are null."""
     asked = ids.select("id", tx.strip_version(F.col("id")).alias("bare")).withColumn("s", tx.id_shard_key(F.col("bare")))
-    return asked.join(known, (F.col("s") == F.col("id_shard")) & (F.col("bare") == F.col("known")), "left").select("id", "doc_id")
+    there = known.select("id_shard", F.col("id").alias("known"), "doc_id")
+    # The condition on what is asked lets Spark prune the other side's partitions by it.
+    named = F.length("bare") > 0
+    found = asked.filter(named).join(there, (F.col("s") == F.col("id_shard")) & (F.col("bare") == F.col("known")), "left").select("id", "doc_id")
+    return found.unionByName(asked.filter(~F.coalesce(named, F.lit(False))).select("id", F.lit(None).cast("long").alias("doc_id")))

@@ -49,9 +49,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str, *parts: str) -> DataFrame:
+def stored(df: DataFrame, name: str, *parts: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write a frame as a Parquet table in the shared folder, by columns ``parts`` if given, and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*parts) if parts else df.write
+    writer = (df.write.partitionBy(*parts) if parts else df.write).options(**options or {})
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the stored tables that a frame reads, once nothing will read them again."""
+    spark = df.sparkSession
+    ours = qualified(spark, shared_dir(spark))
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if qualified(spark, folder).startswith(f"{ours}/"):
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

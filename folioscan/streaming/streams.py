@@ -1,45 +1,39 @@
-"""Structured Streaming: merging state, resuming a harvest, debounced saves."""
+"""Structured Streaming: state and views by commits, resuming a harvest, debounced saves."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import state
+from ..sources import commits
 
 
-def merged_state(log: DataFrame, key: str = "paper_id") -> DataFrame:
-    """The running winner of each key of a streamed state log, for the ``complete`` or ``update`` mode."""
-    return log.groupBy(key).agg(F.max_by(F.struct("*"), F.struct("updated_at", "is_local", "seq")).alias("r")).select("r.*")
+def committed(path: str, key: str = "paper_id", now_ms: int | None = None, views: dict[str, Column] | None = None):
+    """A ``foreachBatch`` sink: each batch is a commit to the state at ``path``, with its views.
 
-
-def run_merge(spark: SparkSession, log: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Drive a streamed log through ``merged_state`` to its end, into an in-memory table."""
-    query = merged_state(log).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
-
-
-def sync(batch_state: str, key: str = "paper_id", now_ms: int | None = None):
-    """A ``foreachBatch`` sink: each batch merges into a state table, old tombstones go, one writer at a time.
-
-    States are numbered folders; a batch writes the next one whole, so a repeated batch writes the same again.
+    A batch reads and writes the buckets that it touches. A repeated batch does nothing: the state knows the query, by
+    the name that its checkpoint has, and its last batch.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        both = batch if epoch == 0 else batch.unionByName(spark.read.parquet(f"{batch_state}/state={epoch - 1}"))
-        winners = state.latest(both, key)
-        if now_ms is not None:
-            winners = state.prune(winners, now_ms)
-        winners.write.mode("overwrite").parquet(f"{batch_state}/state={epoch}")
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+        merge = lambda new, old: state.latest(new.unionByName(old), key)
+        commits.commit(spark, path, batch, key, None, now_ms, merge, views, query, epoch)
 
     return write
 
 
+def run_commits(log: DataFrame, path: str, checkpoint: str, key: str = "paper_id", views: dict[str, Column] | None = None) -> None:
+    """Drive a streamed log into the state at ``path`` to its end, a commit a micro-batch."""
+    query = log.writeStream.foreachBatch(committed(path, key, None, views)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def bookmark(log: DataFrame, group: str = "set", stamp: str = "datestamp") -> DataFrame:
     """Where each set's harvest resumes: its latest day, which is read again, as more may have come that day."""
     return log.groupBy(group).agg(F.max(stamp).alias("resume_from"))
@@ -63,21 +57,28 @@ def sessions(events: DataFrame, gap: str = "15 minutes", late: str = "1 hour") -
 
 
 def debounced(requests: DataFrame, quiet: int = 900, most: int = 1200) -> DataFrame:
-    """(key, saved_at) of streamed requests (key, at timestamp): a trailing debounce with a longest wait.
+    """(key, saved_at) of streamed requests (key, at timestamp, and perhaps flush boolean): a trailing debounce with a longest wait.
 
     State for a key is its first and last unsaved request. A timer in event time fires once the watermark has
-    passed the time that is due.
+    passed the time that is due. A flush saves what is unsaved at its own time, and requests nothing itself.
     """
+    if "flush" not in requests.columns:
+        requests = requests.withColumn("flush", F.lit(False))
 
     def step(key, parts: Iterator[pd.DataFrame], kept) -> Iterator[pd.DataFrame]:
         first, last = kept.get if kept.exists else (None, None)
         saves = []
-        times = sorted(int(t.timestamp() * 1000) for part in parts for t in part["at"]) if not kept.hasTimedOut else []
-        for t in times:
+        times = [] if kept.hasTimedOut else sorted((int(t.timestamp() * 1000), bool(f)) for part in parts for t, f in zip(part["at"], part["flush"]))
+        for t, flush in times:
             if first is not None and min(last + quiet, first + most) <= t:
                 saves.append(min(last + quiet, first + most))
                 first = None
-            first, last = t if first is None else first, t
+            if flush:
+                if first is not None:
+                    saves.append(t)
+                first = None
+            else:
+                first, last = t if first is None else first, t
         if kept.hasTimedOut and first is not None:
             saves.append(min(last + quiet, first + most))
             first = None

@@ -1,5 +1,7 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioscan.operators import papers as pp
@@ -114,20 +116,37 @@ def test_anchors(spark):
     assert at == [14, 4, None]
 
 
-def test_streamed_sync_and_debounce(spark, tmp_path):
-    state = str(tmp_path / "state")
-    sink = streams.sync(state, now_ms=10)
-    kinds = "paper_id string, updated_at long, is_local boolean, seq long, deleted boolean"
-    sink(spark.createDataFrame([("p", 1, True, 1, False), ("q", 2, True, 2, False)], kinds), 0)
-    sink(spark.createDataFrame([("p", 1, False, 3, True), ("q", 3, False, 4, False)], kinds), 1)
-    assert {r.paper_id: r.seq for r in spark.read.parquet(f"{state}/state=1").collect()} == {"p": 1, "q": 4}
-    src = tmp_path / "in"
-    spark.createDataFrame([("k", 0.0), ("k", 0.5), ("k", 100.0), ("z", 500.0)], "key string, s double").select("key", F.timestamp_millis((F.col("s") * 1000).cast("long")).alias("at")).coalesce(1).write.parquet(str(src))
-    stream = spark.readStream.schema("key string, at timestamp").parquet(str(src))
-    q = streams.debounced(stream).writeStream.format("memory").queryName("saves").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {(r.key, r.saved_at) for r in spark.table("saves").collect()}
-    assert ("k", 1400) in got
+def test_streamed_debounce(spark, tmp_path):
+    """Timers save what is due; a flush saves at once, and nothing where nothing is unsaved."""
+    src, rows = tmp_path / "in", [("k", 1000, False), ("k", 1500, False), ("k", 100_000, False), ("f", 1000, False), ("f", 1300, True), ("f", 1400, True), ("z", 500_000, False)]
+    spark.createDataFrame(rows, "key string, ms long, flush boolean").select("key", F.timestamp_millis("ms").alias("at"), "flush").coalesce(1).write.parquet(str(src))
+    for kind in ("key string, at timestamp", "key string, at timestamp, flush boolean"):
+        name = f"saves{len(kind)}"
+        stream = spark.readStream.schema(kind).parquet(str(src))
+        q = streams.debounced(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination()
+        got = {(r.key, r.saved_at) for r in spark.table(name).collect()}
+        assert ("k", 2200) in got
+        assert (("f", 1300) in got) == ("flush" in kind) and ("f", 1400) not in got
+
+
+@pytest.mark.parametrize("quiet, most", [(900, 1200), (5, 20), (10, 10), (30, 20)])
+def test_saves_are_those_of_a_fold(spark, quiet, most):
+    """One key has nearly all requests, in bursts much longer than the longest wait."""
+    r = random.Random(quiet)
+    rows = [("hot", r.randrange(4000) * (1 + quiet // 8)) for _ in range(1500)] + [("a", 5), ("a", 5), ("b", 7), (None, 3), ("c", None)] + [(f"k{k % 20}", r.randrange(3000)) for k in range(200)]
+    want = set()
+    for key in {k for k, t in rows if k is not None}:
+        first = last = None
+        for t in sorted(t for k, t in rows if k == key and t is not None):
+            if first is not None and min(last + quiet, first + most) <= t:
+                want.add((key, min(last + quiet, first + most)))
+                first = None
+            first, last = t if first is None else first, t
+        if first is not None:
+            want.add((key, min(last + quiet, first + most)))
+    got = [tuple(x) for x in st.save_times(spark.createDataFrame(rows, "key string, at long"), quiet=quiet, most=most).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_exports(spark, tmp_path):

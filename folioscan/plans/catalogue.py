@@ -43,10 +43,6 @@ def built(spark: SparkSession, sf_dir: str) -> ix.Index:
     return _built[key][1]
 
 
-def literals(spark: SparkSession, *values: str) -> DataFrame:
-    return spark.createDataFrame([(k, v) for k, v in enumerate(values)], "n int, x string")
-
-
 def values(*rows: tuple, names: str) -> str:
     """SQL of literal rows, for results that were worked out by hand."""
     show = lambda v: "null" if v is None else str(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'"
@@ -56,6 +52,15 @@ def values(*rows: tuple, names: str) -> str:
 # Text
 
 P = f"with {duck.PAPERS} "
+#: Four words of every document, other than ``and``.
+W = "with w as (select doc_id, coalesce(w[1], 'none') as w1, coalesce(w[2], 'none') as w2, coalesce(w[3], 'none') as w3, coalesce(w[4], 'none') as w4 from (select doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-z]{2,}'), lambda x: lower(x) <> 'and') as w from documents))"
+X = "w1 || '-' || w2 || ' C++ f# ' || w3 || '—' || w4 || ' 1999 1800 123 a --' || w1 || '--' || repeat(w2, 9)"
+
+
+def four_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.filter(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{2,}"), F.lit(0)), lambda w: F.lower(w) != "and")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", found.alias("w"))
+    return rows.select("doc_id", *[F.coalesce(F.get("w", F.lit(k)), F.lit("none")).alias(f"w{k + 1}") for k in range(4)])
 
 
 @query(f"{P} select id, len({duck.terms('title')}) as title_terms, len({duck.terms('abstract', True)}) as abstract_terms, len(list_distinct({duck.terms('abstract', True)})) as distinct_terms from papers")
@@ -69,10 +74,12 @@ def folded_titles(spark, sf_dir):
     return pp.papers(spark, sf_dir).select("id", tx.fold(F.col("title")).alias("folded"))
 
 
-@query(values((0, "finetuning fine tuning"), (1, "c++ f#"), (2, "1999 year"), (3, "schon name"), (4, "ab"), (5, "uberalles uber alles"), (6, ""), names="n, terms"))
+@query(f"{W} select doc_id, array_to_string({duck.terms(X)}, ' ') as terms from w")
 def term_cases(spark, sf_dir):
-    rows = literals(spark, "fine-tuning", "C++ f#", "123 1999 1800 year", "Schön  na​me".replace("​", ""), "--ab-- x", "Über—alles", "a " + "y" * 33)
-    return rows.select("n", F.array_join(tx.terms(F.col("x")), " ").alias("terms"))
+    """Terms of hyphenated and dashed words, marks, years and bare numbers around every document's words."""
+    a, b, c, d = (F.col(f"w{k}") for k in range(1, 5))
+    x = F.concat(a, F.lit("-"), b, F.lit(" C++ f# "), c, F.lit("—"), d, F.lit(" 1999 1800 123 a --"), a, F.lit("--"), F.repeat(b, 9))
+    return four_words(spark, sf_dir).select("doc_id", F.array_join(tx.terms(x), " ").alias("terms"))
 
 
 @query(f"{P} select regexp_replace(substr(term, 1, 2), '[^a-z0-9]', '_', 'g') as shard, count(*) as n from (select distinct unnest({duck.terms('title')}) as term from papers) group by 1")
@@ -86,10 +93,13 @@ def id_shards(spark, sf_dir):
     return pp.papers(spark, sf_dir).groupBy(tx.id_shard_key(F.col("id")).alias("id_shard")).agg(F.count("id").alias("n"))
 
 
-@query(values((0, "2608.07460"), (1, "1706.03762"), (2, "math.GT/0309136"), (3, "2101.00001"), (4, None), (5, "cs/0112017"), names="n, id"))
+@query(f"{P} select source_id, case source_id % 6 when 4 then 'math.GT/' || lpad(cast(source_id as varchar), 7, '0') when 3 then null when 5 then null else id end as id from papers")
 def identifiers(spark, sf_dir):
-    rows = literals(spark, " 2608.07460v2 ", "https://arxiv.org/abs/1706.03762v7", "math.GT/0309136", "arXiv: 2101.00001", "deep learning", "http://arxiv.org/pdf/cs/0112017")
-    return rows.select("n", tx.extract_id(F.col("x")).alias("id"))
+    """Every paper's identifier out of an address, a bare, a prefixed and a legacy form; texts without one."""
+    rows, own, number = pp.papers(spark, sf_dir), F.col("id"), F.col("doc_id")
+    forms = [F.concat(F.lit(" "), own, F.lit("v2 ")), F.concat(F.lit("https://arxiv.org/abs/"), own, F.lit("v7")), F.concat(F.lit("arXiv: "), own), F.col("title"), F.concat(F.lit("http://arxiv.org/pdf/math.GT/"), F.lpad(number.cast("string"), 7, "0")), F.concat(F.lit("see "), own)]
+    x = F.coalesce(*[F.when(number % 6 == k, f) for k, f in enumerate(forms)])
+    return rows.select(number.alias("source_id"), tx.extract_id(x).alias("id"))
 
 
 @query(f"{P} select id, case when len(authors) <= 1 then authors[1] else authors[1] || ' and ' || cast(len(authors) - 1 as varchar) || ' more' end as label, list_transform(categories, lambda c: case c when 'cs.AI' then 'Artificial Intelligence' when 'cs.LG' then 'Machine Learning' when 'cs.CL' then 'Computation and Language' when 'cs.CV' then 'Computer Vision' when 'cs.NE' then 'Neural and Evolutionary Computing' when 'stat.ML' then 'Machine Learning (Statistics)' when 'cs.RO' then 'Robotics' else 'Information Retrieval' end)[1] as category from papers")
@@ -116,10 +126,13 @@ def emphasis(spark, sf_dir):
     return pp.papers(spark, sf_dir).select("id", tx.emphasise(F.col("title"), ["tion", "the", "x"]).alias("marked"))
 
 
-@query(values((0, "A bold claim"), (1, "x + y is fine"), (2, 'He said "so" – and — then'), (3, "inner text"), (4, "a b\\"), (5, ""), names="n, clean"))
+@query(f"""{W} select doc_id, case doc_id % 5 when 0 then w1 || ' ' || w2 when 1 then w1 || ' + y is ' || w2 when 2 then 'He said "' || w1 || '" – and — ' || w2 when 3 then w1 || ' ' || w2 else w1 || ' ' || w2 || chr(92) end as clean from w""")
 def latex(spark, sf_dir):
-    rows = literals(spark, r"A \emph{\textbf{bold}} claim", r"$x + y$ is \noindent fine", "He said ``so'' -- and --- then", r"{\it inner} \mycmd{text}", "a~b\\\\c", "")
-    return rows.select("n", tx.clean_latex(F.col("x")).alias("clean"))
+    """Every document's words in nested and bare commands, maths, quotes, dashes and groups."""
+    a, b, c = (F.col(f"w{k}") for k in range(1, 4))
+    forms = [(r"\emph{\textbf{", a, "}} ", b, ""), ("$", a, r" + y$ is \noindent ", b, ""), ("He said ``", a, "'' -- and --- ", b, ""), (r"{\it ", a, r"} \mycmd{", b, "}"), ("", a, "~", b, "\\\\")]
+    texts = [F.concat(F.lit(p), x, F.lit(m), y, F.lit(q), *([c] if k == 4 else [])) for k, (p, x, m, y, q) in enumerate(forms)]
+    return four_words(spark, sf_dir).select("doc_id", tx.clean_latex(F.coalesce(*[F.when(F.col("doc_id") % 5 == k, t) for k, t in enumerate(texts)])).alias("clean"))
 
 
 @query(f"{P} select id, substr(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) as slug, len(list_filter(regexp_split_to_array(abstract, '[\\s ]+'), lambda w: w <> '')) as words, greatest(1, cast(floor(len(list_filter(regexp_split_to_array(abstract, '[\\s ]+'), lambda w: w <> '')) / 180 + 0.5) as int)) as minutes from papers")
@@ -128,17 +141,25 @@ def reading_sizes(spark, sf_dir):
     return pp.papers(spark, sf_dir).select("id", tx.slug(F.col("title")).alias("slug"), words.cast("long").alias("words"), tx.minutes_for(words).alias("minutes"))
 
 
-@query(values((0, "0%", "40 min left"), (1, "50%", "20 min left"), (2, "100%", "less than a minute left"), (3, "100%", "less than a minute left"), names="n, percent, left_over"))
+@query("""with e as (select event_id, value / 490 as p, greatest(0, (case when event_id % 40 > 0 then event_id % 40 else 12 end) * 600 / 180 * (1 - value / 490)) as l from events)
+select event_id, cast(least(100, greatest(0, floor(p * 100 + 0.5))) as bigint) || '%' as percent, case when l < 1 then 'less than a minute left' when l < 60 then cast(floor(l + 0.5) as bigint) || ' min left' else regexp_replace(cast(floor(l / 60 * 10 + 0.5) / 10 as varchar), '[.]0$', '') || ' h left' end as left_over from e""")
 def progress_labels(spark, sf_dir):
-    rows = literals(spark, "0.0", "0.495", "1.0", "1.7").withColumn("p", F.col("x").cast("double"))
-    shown = F.when(F.col("n") == 1, F.lit(0.5)).otherwise(F.col("p"))
-    return rows.select("n", tx.percent_label(F.col("p")).alias("percent"), tx.reading_time(shown, F.lit(None).cast("int")).alias("left_over"))
+    """Each event's progress as it is shown, of papers with up to 39 pages or an unknown number."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("value") / 490).alias("p"), F.nullif(F.col("event_id") % 40, F.lit(0)).alias("pages"))
+    return rows.select("event_id", tx.percent_label(F.col("p")).alias("percent"), tx.reading_time(F.col("p"), F.col("pages")).alias("left_over"))
 
 
-@query(values((0, "3 days ago"), (1, "yesterday"), (2, "in 2 hours"), (3, "last week"), (4, "30 seconds ago"), (5, "2 years ago"), names="n, label"))
+@query("""with b as (select max(epoch_us(ts) // 1000) as last, min(epoch_us(ts) // 1000) as first from events),
+s as (select event_id, floor((epoch_us(ts) // 1000 - case when event_id % 2 = 0 then last else first end) / 1000 + 0.5) as s from events, b),
+u as (select event_id, s, case when abs(s) >= 31536000 then 'year' when abs(s) >= 2592000 then 'month' when abs(s) >= 604800 then 'week' when abs(s) >= 86400 then 'day' when abs(s) >= 3600 then 'hour' when abs(s) >= 60 then 'minute' else 'second' end as u from s),
+n as (select *, cast(floor(s / case u when 'year' then 31536000 when 'month' then 2592000 when 'week' then 604800 when 'day' then 86400 when 'hour' then 3600 when 'minute' then 60 else 1 end + 0.5) as bigint) as n from u)
+select event_id, case when s = 0 then 'now' when abs(n) = 1 and u = 'day' then case when n < 0 then 'yesterday' else 'tomorrow' end when abs(n) = 1 and u in ('week', 'month', 'year') then case when n < 0 then 'last ' else 'next ' end || u
+ when n < 0 then -n || ' ' || u || case when n = -1 then '' else 's' end || ' ago' else 'in ' || n || ' ' || u || case when n = 1 then '' else 's' end end as label from n""")
 def relative_dates(spark, sf_dir):
-    rows = spark.createDataFrame([(0, -3 * 86400), (1, -86400), (2, 7200), (3, -7 * 86400), (4, -30), (5, -2 * 31536000)], "n int, s long")
-    return rows.select("n", tx.relative_label(F.col("s") * 1000, F.lit(0)).alias("label"))
+    """Every event's time as seen from the last one, or from the first."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    ends = events.agg(F.max("at").alias("last"), F.min("at").alias("first"))
+    return events.join(F.broadcast(ends), F.lit(True)).select("event_id", tx.relative_label(F.col("at"), F.when(F.col("event_id") % 2 == 0, F.col("last")).otherwise(F.col("first"))).alias("label"))
 
 
 @query("select doc_id as n, cast(date '2020-01-01' + cast(doc_id % 900 as int) as varchar) as iso, strftime(date_trunc('month', date_trunc('month', date '2020-01-01' + cast(doc_id % 900 as int)) - interval 3 month + to_days(cast(day(date '2020-01-01' + cast(doc_id % 900 as int)) - 1 as int))), '%Y-%m-%d') as cutoff from documents")
@@ -147,16 +168,21 @@ def month_cutoffs(spark, sf_dir):
     return rows.select("n", "iso", tx.months_before(F.col("iso"), 3).alias("cutoff"))
 
 
-@query(values((0, "a < b & c"), (1, "&lt;"), (2, "é–A"), (3, "say \"it's\""), names="n, decoded"))
+@query("select doc_id, coalesce(text, '') as decoded from documents")
 def entities(spark, sf_dir):
-    rows = literals(spark, "a &lt; b &amp; c", "&amp;lt;", "&#233;&#x2013;&#65;", "say &quot;it&apos;s&quot;")
-    return rows.select("n", tx.decode_entities(F.col("x")).alias("decoded"))
+    """Every document's text out of its escaped form, named entities and numeric ones of both kinds."""
+    x = F.coalesce("text", F.lit(""))
+    for ch, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"), ("e", "&#101;"), ("é", "&#xE9;")):
+        x = F.replace(x, F.lit(ch), F.lit(name))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tx.decode_entities(x).alias("decoded"))
 
 
-@query(values((0, "Ada Lovelace|Alan Turing"), (1, "Ann Lee|Bo Li|Cy Young"), names="n, names"))
+@query(f"{W} select doc_id, array_to_string(list_filter(case when w1 || ' ' || w2 = w3 || ' ' || w4 then [w1 || ' ' || w2] else [w1 || ' ' || w2, w3 || ' ' || w4] end, lambda x: length(x) between 2 and 79), '|') as names from w")
 def author_blocks(spark, sf_dir):
-    rows = literals(spark, "\nAda Lovelace1\nSome Lab\nada@lab.org &Alan Turing footnotemark: 2", "Ann Lee, Bo Li and Cy Young*")
-    return rows.select("n", F.array_join(tx.author_names(F.col("x")), "|").alias("names"))
+    """Names made of every document's words, with marks, an affiliation and an address around them."""
+    a, b, c, d = (F.col(f"w{k}") for k in range(1, 5))
+    block = F.concat(F.lit("\n"), a, F.lit(" "), b, F.lit("1\nSome Lab\n"), c, F.lit("@lab.org &"), c, F.lit(" "), d, F.lit(" footnotemark: 2"))
+    return four_words(spark, sf_dir).select("doc_id", F.array_join(tx.author_names(block), "|").alias("names"))
 
 
 @query(f"{P} select id, contains(lower(strip_accents(title)), 'of the') as found from papers")
@@ -164,10 +190,11 @@ def title_phrases(spark, sf_dir):
     return pp.papers(spark, sf_dir).select("id", tx.contains_phrase(F.col("title"), "Of The").alias("found"))
 
 
-@query(values((0, "cs:cs:AI", "Jan 5, 2024"), (1, "stat:stat:ML", "later"), names="n, set_name, label"))
+@query(f"{P} select id, category, string_split(category, '.')[1] || ':' || replace(category, '.', ':') as set_name, strftime(cast(published as date), '%b %-d, %Y') as label from (select id, published, unnest(categories) as category from papers)")
 def feed_sets(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "cs.AI", "2024-01-05"), (1, "stat.ML", "later")], "n int, c string, d string")
-    return rows.select("n", tx.set_name(F.col("c")).alias("set_name"), tx.date_label(F.col("d")).alias("label"))
+    """The feed's set of every category of every paper, and its date as it is shown."""
+    rows = pp.papers(spark, sf_dir).select("id", "published", F.explode("categories").alias("category"))
+    return rows.select("id", "category", tx.set_name(F.col("category")).alias("set_name"), tx.date_label(F.col("published")).alias("label"))
 
 
 # Corpus and index
@@ -716,6 +743,17 @@ def state_commits(spark, sf_dir):
     return st.prune(commits.read(spark, path, local.schema), now, 86_400_000).select("paper_id", "seq", "is_local", "deleted")
 
 
+@query("select event_type as set_name, cast(max(cast(ts as date)) as varchar) as resume_from, count(*) as n from events group by 1")
+def stream_harvest(spark, sf_dir):
+    """Events harvested as a feed with their type as the set: the log's rows by set, and the marks where each set resumes."""
+    path, schema = new_state(spark), spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    feed = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    rows = feed.select("event_id", F.col("event_type").alias("set_name"), F.col("ts").cast("date").cast("string").alias("datestamp"))
+    streams.run_harvest(rows, f"{path}-log", path, f"{path}-checkpoint", "set_name")
+    counts = spark.read.parquet(f"{path}-log").groupBy("set_name").agg(F.count("event_id").alias("n"))
+    return commits.read(spark, path).join(counts, "set_name")
+
+
 @query("with m as (select event_type as set_name, max(cast(ts as date)) as day from events group by 1) select event_id, event_type as set_name from events e left join m on e.event_type = m.set_name where cast(ts as date) >= coalesce(day, date '1970-01-01')")
 def stream_bookmark(spark, sf_dir):
     """What a harvest reads again: from the latest day of each set on, that day included."""

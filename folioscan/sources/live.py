@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from .feeds import FEED, records
 
@@ -56,27 +56,68 @@ def pages(base: str, params: dict[str, str], get: Callable[[str], str] = fetch)
 
 
 class SetPartition(InputPartition):
-    def __init__(self, name: str):
-        self.name = name
+    def __init__(self, name: str, since: str, until: str):
+        self.name, self.since, self.until = name, since, until
 
 
-class FeedReader(DataSourceReader):
+class _Sets:
+    """What both readers share: a partition is one set and a range of days."""
+
     def __init__(self, options):
         self.options = dict(options)
+        self.sets = [s for s in self.options["sets"].split(",") if s]
 
-    def partitions(self):
-        return [SetPartition(s) for s in self.options["sets"].split(",") if s]
+    def pages(self, name: str, since: str, until: str) -> Iterator[str]:
+        pause = float(self.options.get("pause", "1"))
+        params = {"metadataPrefix": self.options.get("format", "arXiv"), "set": name, "from": since, "until": until}
+        return pages(self.options["url"], {k: v for k, v in params.items() if v}, lambda url: fetch(url, lambda s: time.sleep(s * pause)))
 
     def read(self, partition):
-        pause = float(self.options.get("pause", "1"))
-        get = lambda url: fetch(url, lambda s: time.sleep(s * pause))
-        params = {"metadataPrefix": self.options.get("format", "arXiv"), "set": partition.name}
-        params |= {k: self.options[k] for k in ("from", "until") if self.options.get(k)}
-        for page in pages(self.options["url"], params, get):
+        for page in self.pages(partition.name, partition.since, partition.until):
             for record in re.findall(r"<record>.*?</record>", page, re.S):
                 yield (partition.name, record)
 
 
+class FeedReader(_Sets, DataSourceReader):
+    def partitions(self):
+        return [SetPartition(s, self.options.get("from", ""), self.options.get("until", "")) for s in self.sets]
+
+
+class FeedStream(_Sets, DataSourceStreamReader):
+    """An offset has a mark for each set: the day up to which it was harvested.
+
+    A set's next range begins with its mark's day, that day included, as more may have come on it. A set that gives
+    no first page keeps its mark, and the others go on; it is asked again at the next trigger. A set that fails
+    later, within a task, fails the batch, which Spark does again from the same marks. One that fails at a restart has the
+    first day as its mark again: records come twice then, and none is lost.
+    """
+
+    def initialOffset(self):
+        return dict.fromkeys(self.sets, self.options.get("from", ""))
+
+    def latestOffset(self):
+        until = self.options.get("until") or time.strftime("%Y-%m-%d", time.gmtime())
+        self.marks = getattr(self, "marks", None) or self.initialOffset()
+        for name in self.sets:
+            if self.marks[name] != until:
+                try:
+                    next(self.pages(name, self.marks[name], until))
+                except (RuntimeError, Refused):
+                    continue
+                self.marks[name] = until
+        return dict(self.marks)
+
+    def partitions(self, start, end):
+        self.marks = dict(end)
+        return [SetPartition(s, start.get(s, ""), end[s]) for s in self.sets if end[s] > start.get(s, "")] or [SetPartition("", "", "")]
+
+    def read(self, partition):
+        return super().read(partition) if partition.name else iter(())
+
+    def commit(self, end):
+        pass
+
+
 class FeedSource(DataSource):
     @classmethod
     def name(cls):
@@ -88,9 +129,26 @@ class FeedSource(DataSource):
     def reader(self, schema):
         return FeedReader(self.options)
 
+    def streamReader(self, schema):
+        return FeedStream(self.options)
+
+
+def options(url: str, sets: list[str], since: str, until: str, pause: float) -> dict[str, str]:
+    return {"url": url, "sets": ",".join(sets), "from": since, "until": until, "pause": str(pause)}
+
+
+def stream_live(spark: SparkSession, url: str, sets: list[str], since: str = "", until: str = "", pause: float = 1) -> DataFrame:
+    """A live feed's sets as a stream of (set, record), each set with a mark of its own; ``harvested`` reads the records."""
+    spark.dataSource.register(FeedSource)
+    return spark.readStream.format("paged_feed").options(**options(url, sets, since, until, pause)).load()
+
+
+def harvested(raw: DataFrame) -> DataFrame:
+    """Records of (set, record), as ``read_feed`` gives them."""
+    return records(raw.select(F.from_xml("record", FEED).alias("r")).select("r.*"))
+
 
 def read_live(spark: SparkSession, url: str, sets: list[str], since: str = "", until: str = "", pause: float = 1) -> DataFrame:
     """Records of a live feed's sets, as ``read_feed`` gives them; every set is a partition that Spark retries by itself."""
     spark.dataSource.register(FeedSource)
-    raw = spark.read.format("paged_feed").options(**{"url": url, "sets": ",".join(sets), "from": since, "until": until, "pause": str(pause)}).load()
-    return records(raw.select(F.from_xml("record", FEED).alias("r")).select("r.*"))
+    return harvested(spark.read.format("paged_feed").options(**options(url, sets, since, until, pause)).load())

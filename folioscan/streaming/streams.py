@@ -51,6 +51,22 @@ def harvest(log: DataFrame, out: str, checkpoint: str):
     return log.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def run_harvest(feed: DataFrame, out: str, marks: str, checkpoint: str, group: str = "set", stamp: str = "datestamp") -> None:
+    """Drive a streamed feed to its end: rows go to the log at ``out``, then their sets' marks to the state at ``marks``.
+
+    A batch has a folder of its own in the log, so one that is done again replaces its rows; a mark never goes back.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+        seen = bookmark(spark.read.parquet(f"{out}/batch={epoch}"), group, stamp)
+        latest = lambda new, old: new.unionByName(old).groupBy(group).agg(F.max("resume_from").alias("resume_from"))
+        commits.commit(spark, marks, seen, group, None, None, latest, None, spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "", epoch)
+
+    feed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def sessions(events: DataFrame, gap: str = "15 minutes", late: str = "1 hour") -> DataFrame:
     """Reading sessions of a streamed event table with a TIMESTAMP ``ts``; late events are dropped past a watermark."""
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")

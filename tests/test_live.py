@@ -9,6 +9,10 @@ from folioscan.sources import live
 RECORD = "<record><header><identifier>oai:x:{0}</identifier><datestamp>2024-01-01</datestamp></header><metadata><arXiv><id>{0}</id><created>2023-01-01</created><title>Paper {0}</title><categories>cs.AI</categories></arXiv></metadata></record>"
 
 
+asked: list[tuple[str, str, str]] = []
+down: set[str] = set()
+
+
 @pytest.fixture(scope="module")
 def feed():
     busy = {"left": 1}
@@ -16,6 +20,11 @@ def feed():
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
             q = parse_qs(urlparse(self.path).query)
+            asked.append((q.get("set", [""])[0], q.get("from", [""])[0], q.get("until", [""])[0]))
+            if q.get("set", [""])[0] in down:
+                self.send_response(500)
+                self.end_headers()
+                return
             if q.get("set") == ["bad"]:
                 self.send_response(400)
                 self.end_headers()
@@ -56,3 +65,26 @@ def test_waits():
 def test_refusal(feed):
     with pytest.raises(live.Refused):
         live.fetch(f"{feed}?set=bad", lambda s: None)
+
+
+def test_a_streamed_feed_keeps_a_mark_for_each_set(spark, feed, tmp_path):
+    """Two runs over one checkpoint: the set that fails in the first is harvested from its old mark in the second."""
+
+    def run(until):
+        asked.clear()
+        stream = live.stream_live(spark, feed, ["cs:cs:AI", "stat"], "2024-01-01", until, 0)
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        ranges = {a for a in asked if a[0]}
+        return ranges, sorted((r["set"], r.n) for r in spark.read.parquet(str(tmp_path / "out")).groupBy("set").count().withColumnRenamed("count", "n").collect())
+
+    down.add("stat")
+    ranges, rows = run("2024-02-01")
+    assert ("cs:cs:AI", "2024-01-01", "2024-02-01") in ranges and rows == [("cs:cs:AI", 2)]
+    down.clear()
+    ranges, rows = run("2024-03-01")
+    assert ranges == {("cs:cs:AI", "2024-02-01", "2024-03-01"), ("stat", "2024-01-01", "2024-03-01")}
+    assert rows == [("cs:cs:AI", 4), ("stat", 2)]
+    assert run("2024-03-01")[1] == rows
+    got = live.harvested(spark.read.parquet(str(tmp_path / "out")))
+    assert {r.id for r in got.collect()} == {"1", "2"}

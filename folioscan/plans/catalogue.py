@@ -759,3 +759,6 @@ def stream_bookmark(spark, sf_dir):
     """What a harvest reads again: from the latest day of each set on, that day included."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("event_type").alias("set_name"), F.col("ts").cast("date").cast("string").alias("datestamp"))
     return streams.since_bookmark(events, streams.bookmark(events, "set_name"), "1970-01-01", "set_name").select("event_id", "set_name")
+
+
+from . import library  # noqa: E402, F401  (registers its queries)

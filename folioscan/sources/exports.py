@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators.state import TABLES, live
+from ..storage import folders
 
 STALE_MS = 12 * 60 * 60 * 1000
 
@@ -25,7 +26,7 @@ def read_state(spark, path: str, schemas: dict) -> dict:
     about = spark.read.schema("schema int, updated_at long").json(f"{path}/document").first()
     if about is None or about["schema"] != 1:
         raise ValueError(f"{path} is no state of schema 1")
-    present = {r[0].rstrip("/").rsplit("/", 2)[-2] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").collect()}
+    present = folders(spark, path)
     return {n: spark.read.schema(s).json(f"{path}/{n}") for n, s in schemas.items() if n in present} | {"updated_at": about["updated_at"]}
 
 

@@ -43,6 +43,12 @@ def stamp(spark: SparkSession, path: str) -> str:
     return " ".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in found))
 
 
+def folders(spark: SparkSession, path: str) -> set[str]:
+    """The names of what lies in a folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return {f.getPath().getName() for f in hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a small frame in the shared folder; larger ones are ``stored``."""
     shared_dir(df.sparkSession)

@@ -3,10 +3,10 @@
 A tokenizer feeds a tree builder that knows void elements, raw-text elements, comments and implied
 tags (a new paragraph, list item, row or cell closes the open one; a block closes an open
 paragraph; what may not stand in an open head closes it; a tag of HTML closes open SVG or MathML).
-Subtrees that are not rendered are dropped: head matter, scripts, styles, templates, closed dialogs,
-``hidden`` and ``display:none`` or ``visibility:hidden`` elements, ``input type=hidden``, annotations
+Subtrees that are not rendered are dropped: head matter, scripts, styles, templates, closed dialogs, all but the
+summary of closed details, ``hidden`` and ``display:none`` elements, ``input type=hidden``, annotations
 of MathML, and of SVG all but ``text`` and ``foreignObject`` (what ``use`` refers to is not copied).
-The rest is laid out as text: inline runs collapse their white space, blocks stand on lines of their own with a
+Text below ``visibility:hidden`` isn't shown, but what is ``visible`` again within it is. The rest is laid out as text: inline runs collapse their white space, blocks stand on lines of their own with a
 blank line around paragraphs, headings, lists and tables, list items get bullets or numbers and
 indentation, ``pre`` keeps the spacing of all text below it, ``br`` breaks, and the cells of a table are padded to the
 width of their columns, of which a cell may span several, as it may rows.
@@ -36,7 +36,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes plainte
 UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas datalist param source track link meta base area".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl table blockquote pre figure fieldset hr".split())
-ENDS_P = BLOCK - frozenset("body html li dd dt td th tr tbody thead tfoot caption legend option optgroup summary".split())
+ENDS_P = BLOCK - frozenset("body html li dd dt td th tr tbody thead tfoot caption legend option optgroup".split())
 #: What may stand in a head: any other tag, or text, closes it.
 IN_HEAD = frozenset("html head title base basefont bgsound link meta noframes noscript script style template".split())
 #: Elements of SVG and MathML that aren't rendered, and those whose children are HTML again.
@@ -67,23 +67,25 @@ TOKEN = re.compile(_MARKED + r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>
 #: What a tag's end is no part of: for what comes after the last ``>``.
 LAST = re.compile(_MARKED + r"(?P<end>)(?P<name>(?!))?(?P<attrs>)", re.S)
 SPAN = re.compile(r"(?:^|[\s/])(col|row)span\s*=\s*[\"']?\s*(\d{1,5})", re.I)
-NOT_SHOWN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|type\s*=\s*[\"']?hidden", re.I)
+NOT_SHOWN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|type\s*=\s*[\"']?hidden", re.I)
+VISIBILITY = re.compile(r"(?:^|[\s;\"'])visibility\s*:\s*(hidden|collapse|visible)", re.I)
 QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 STYLE = re.compile(r"\bstyle\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 START = re.compile(r"\bstart\s*=\s*[\"']?(-?\d{1,9})", re.I)
 OPEN = re.compile(r"(?:^|[\s/])open(?=[\s=/]|$)", re.I)
-OFF = re.compile(r"(?:^|\s)(?:display\s*=\s*[\"']?\s*none|visibility\s*=\s*[\"']?\s*(?:hidden|collapse))", re.I)
+OFF = re.compile(r"(?:^|\s)display\s*=\s*[\"']?\s*none", re.I)
+VISIBLE_SVG = re.compile(r"(?:^|\s)visibility\s*=\s*[\"']?\s*(hidden|collapse|visible)", re.I)
 AS_HTML = re.compile(r"\bencoding\s*=\s*[\"']?\s*(?:text/html|application/xhtml\+xml)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 DEEPEST = 40
 
 
 class Node:
-    __slots__ = ("name", "attrs", "children", "space", "drawn")
+    __slots__ = ("name", "attrs", "children", "space", "drawn", "visible")
 
-    def __init__(self, name: str, attrs: str = "", space: str = "", drawn: bool = True):
-        """``space``: svg, math, or none for HTML; ``drawn``: whether text directly below is."""
-        self.name, self.attrs, self.children, self.space, self.drawn = name, attrs, [], space, drawn
+    def __init__(self, name: str, attrs: str = "", space: str = "", drawn: bool = True, visible: bool = True):
+        """``space``: svg, math, or none for HTML; ``drawn``: whether text directly below is; ``visible``: by the nearest rule of visibility."""
+        self.name, self.attrs, self.children, self.space, self.drawn, self.visible = name, attrs, [], space, drawn, visible
 
     @property
     def within(self) -> str:
@@ -97,7 +99,7 @@ def shown(name: str, attrs: str, space: str = "") -> bool:
     """The visibility rules for an element of its own."""
     if name in UNSEEN_WITHIN[space] or OFF.search(attrs) if space else name in UNSEEN:
         return False
-    if name == "dialog" and not space and not OPEN.search(QUOTED.sub('""', attrs)):
+    if name == "dialog" and not space and not opened(attrs):
         return False
     if not attrs or not NOT_SHOWN.search(attrs):
         return True
@@ -105,7 +107,20 @@ def shown(name: str, attrs: str, space: str = "") -> bool:
     if re.search(r"(?:^|\s)hidden(?=[\s=/]|$)", bare, re.I) or name == "input" and re.search(r"type\s*=\s*[\"']?hidden", attrs, re.I):
         return False
     style = STYLE.search(attrs)
-    return not (style and re.search(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", style[1], re.I))
+    return not (style and re.search(r"display\s*:\s*none", style[1], re.I))
+
+
+def visibility(attrs: str, space: str, inherited: bool) -> bool:
+    """The visibility that an element states, or else has from around it."""
+    if not attrs or "visibility" not in attrs.lower():
+        return inherited
+    style = STYLE.search(attrs)
+    stated = style and VISIBILITY.search(style[1]) or space and VISIBLE_SVG.search(attrs)
+    return stated[1].lower() == "visible" if stated else inherited
+
+
+def opened(attrs: str) -> bool:
+    return bool(OPEN.search(QUOTED.sub('""', attrs)))
 
 
 def build(markup: str) -> Node:
@@ -120,7 +135,7 @@ def build(markup: str) -> Node:
         raw = entities(raw) if "&" in raw else raw
         if stack[-1].name == "head" and raw.strip(" \t\n\r\f"):
             pop(len(stack) - 1)
-        if not unseen and stack[-1].drawn:
+        if not unseen and stack[-1].drawn and stack[-1].visible:
             stack[-1].children.append(raw)
 
     def innermost(names) -> int:
@@ -178,10 +193,16 @@ def build(markup: str) -> Node:
             close(*IMPLIED[name])
         elif name in ENDS_P:
             close({"p"}, {"table", "td", "th", "li", "dd", "dt", "caption", "button", "object", "body", "template"})
+        above = stack[-1]
         # Of SVG, text is drawn in `text` and in what is HTML again.
         drawn = space != "svg" or name in ("text", "foreignobject") or name != "svg" and above.space == "svg" and above.drawn
-        node = Node(name, attrs, space, drawn)
-        visible = shown(name, attrs, space)
+        if name == "details" and not space and not opened(attrs):
+            drawn = False
+        node = Node(name, attrs, space, drawn, visibility(attrs, space, above.visible))
+        visible = shown(name, attrs, space) and (node.visible or name not in ("input", "textarea", "xmp", "plaintext"))
+        if above.name == "details" and not above.space and not above.drawn:
+            # Of closed details only the first summary is rendered.
+            visible = visible and name == "summary" and not any(isinstance(x, Node) and x.name == "summary" for x in above.children or ())
         if above.space == "math" and above.name in ("semantics", "maction") and above.children and any(isinstance(x, Node) for x in above.children):
             visible = False  # only the first child is rendered
         if visible and not unseen:
@@ -380,7 +401,8 @@ def render(markup: str | None) -> str:
             outer = todo[-1][2]
             if name == "li":
                 mark = marked(lists)
-                outer.whole(out.lines, mark, " " * len(mark))
+                if out.lines or node.visible:
+                    outer.whole(out.lines, mark, " " * len(mark))
             elif name == "dd":
                 outer.whole(out.lines, "    ", "    ")
             elif name == "blockquote":

@@ -16,7 +16,11 @@ FEED = f"header struct<_status: string, identifier: string, datestamp: string>,
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Harvested records with their place in the log: (file, offset) orders repeated ids. Torn and blank lines are skipped."""
+    """Harvested records with their place in the log: (file, block, line) orders repeated ids. Torn and blank lines are skipped.
+
+    ``line`` orders lines within a partition, so the order within a block holds as long as Spark gives a block to one
+    partition, as its file sources do; ``block`` is where a file's block begins.
+    """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
     parsed = lines.withColumn("r", F.from_json("value", RECORD + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
     return parsed.filter(F.col("r._corrupt").isNull() & F.col("r.id").isNotNull()).select("file", "block", "line", "r.*").drop("_corrupt")

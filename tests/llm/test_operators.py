@@ -777,3 +777,16 @@ def test_joins_are_exact(spark):
         got = joins.by_class(rows, "k", known, "at").collect()
         assert collections.Counter((r.k, r.at, r.w) for r in got) == collections.Counter((k, at, w if k is not None else None) for k, at, w in want.elements())
     joins.HOT = 50_000
+
+
+@settings(max_examples=800, deadline=None)
+@given(st.text(st.characters(max_codepoint=127), max_size=60))
+def test_parts_of_ascii_texts(text):
+    """The faster module finds the same parts."""
+    import regex
+
+    c = bpe.Codec({bytes([k]): k for k in range(256)}, public_tokenizers.PATTERN)
+    assert c.plain is not c.findall
+    assert c.plain(text) == regex.findall(public_tokenizers.PATTERN, text)
+    assert bpe.of_ascii(r"\p{Lu}+|\p{N}") is None and bpe.of_ascii(r"\P{L}") is None
+    assert bpe.of_ascii(r"\\p[\p{L}\]]\p{N}") == r"\\p[A-Za-z\]][0-9]"

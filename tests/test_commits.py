@@ -30,7 +30,11 @@ def tags_of(df):
     return dict(collections.Counter(t for r in st.live(df).collect() for t in r.tags))
 
 
-def test_only_one_writer_makes_a_version(spark, tmp_path):
+@pytest.mark.parametrize("scheme", ["file", "hdfs"])
+def test_only_one_writer_makes_a_version(spark, tmp_path, monkeypatch, scheme):
+    """By a link on a local disk; elsewhere by a rename that doesn't replace."""
+    if scheme != "file":
+        monkeypatch.setattr(commits, "urlparse", lambda x: type("Url", (), {"scheme": scheme}))
     path = str(tmp_path / "v" / "1.json")
     assert [commits.create_once(spark, path, x) for x in ("one", "two")] == [True, False]
     assert (tmp_path / "v" / "1.json").read_text() == "one"

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..storage import stored
-from .index import TITLE, Index, idf, numbered, unpacked, weight_of
+from .index import ABSTRACT, TITLE, Index, idf, numbered, unpacked, weight_of
 from .search import CANDIDATES, FIELDS, RELATED_FLOOR, RELATED_LEAST, RELATED_LENGTH, RELATED_MOST, RELATED_TERMS, Filters, at_chunks, passes, recency
 
 WHITE = r"\s\x1c-\x1f\u0085   -     　"
@@ -157,6 +157,13 @@ def log_totals(index: Index, queries: DataFrame, filters: Filters = Filters(), l
     return rows.select("query_id", total.alias("total"), (F.coalesce("scored", F.lit(0)) <= CANDIDATES).alias("total_known"), (total > limit).alias("has_more"))
 
 
+def notices(queries: DataFrame, cutoff: str, oldest: str) -> DataFrame:
+    """(query_id, month): for each query of a table ``search.notice`` of an index whose abstracts begin at ``cutoff``, null for none."""
+    reaches = F.exists("q.terms", lambda t: ~t["negated"] & ((t["fields"] == 0) | (t["fields"].bitwiseAND(F.lit(ABSTRACT)) != 0)))
+    windowed = F.lit(bool(cutoff) and cutoff > oldest)
+    return read_log(queries).select("query_id", F.when(windowed & reaches, cutoff[:7]).alias("month"))
+
+
 # Related papers of all papers
 
 #: Documents of a term that a task joins with the papers it marks, more of them are dealt to several; terms of a paper that are joined first.

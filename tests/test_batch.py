@@ -79,6 +79,20 @@ def test_one_scan_of_the_blocks(spark, many):
     assert len([x for x in final.splitlines() if "FileScan parquet" in x and "packed#" in x]) == 1
 
 
+def test_notices_are_those_of_each_query(spark, many):
+    class Windowed:
+        class manifest:
+            @staticmethod
+            def first():
+                return {"abstract_cutoff": "2014-03-01", "oldest": "2010-01-01"}
+
+    asked = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, text string")
+    got = {r.query_id: r.month for r in bt.notices(asked, "2014-03-01", "2010-01-01").collect()}
+    assert got == {k: se.notice(Windowed, q or "") for k, q in enumerate(QUERIES)} and set(got.values()) == {None, "2014-03"}
+    for cutoff, oldest in (("", "2010-01-01"), ("2010-01-01", "2010-01-01")):
+        assert {r.month for r in bt.notices(asked, cutoff, oldest).collect()} == {None}
+
+
 def test_empty_logs(spark, many):
     none = spark.createDataFrame([], "query_id int, text string")
     assert bt.search_log(many, none).count() == 0 and bt.log_totals(many, none).count() == 0

@@ -217,7 +217,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
         for batch in parts:
             made, size = [], 0
             for x in batch:
-                made.append(c.decode(x.values.to_pylist()) if x.is_valid else b"")
+                made.append(c.decode(x.values.drop_null().to_numpy(zero_copy_only=False).tolist()) if x.is_valid else b"")
                 size += len(made[-1]) + 16
                 if size > SLICE_BYTES:
                     yield pa.array(made, pa.binary())

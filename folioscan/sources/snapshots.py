@@ -17,7 +17,7 @@ def write_snapshot(index: Index, path: str) -> None:
     docs = index.docs
     light = docs.select("chunk", "doc_id", "id", "title", "authors", "categories", "published", "updated")
     light.repartition("chunk").sortWithinPartitions("chunk", "doc_id").write.partitionBy("chunk").parquet(f"{path}/docs")
-    meta = docs.select(F.regexp_replace(F.substring("published", 1, 7), "-", "").alias("month"), "id", "abstract", "comment", "doi", "journal_ref")
+    meta = docs.select(F.regexp_replace(F.substring("published", 1, 7), "-", "").alias("month"), "doc_id", "id", "abstract", "comment", "doi", "journal_ref")
     meta.repartition("month").write.partitionBy("month").parquet(f"{path}/meta")
     id_shards(docs).write.options(**ID_FILTERS).partitionBy("id_shard").parquet(f"{path}/ids")
     recent(index).coalesce(1).write.parquet(f"{path}/recent")
@@ -54,10 +54,13 @@ def read_docs(spark: SparkSession, path: str, chunks: list[int] | None = None) -
 
 
 def details(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
-    """Display rows with the metadata of their months; where that is absent the abstract is empty, the rest null."""
-    meta = spark.read.schema("id string, abstract string, comment string, doi string, journal_ref string, month string").parquet(f"{path}/meta")
+    """Display rows with the metadata of their months; where that is absent the abstract is empty, the rest null.
+
+    They meet by number, as papers may share an identifier.
+    """
+    meta = spark.read.schema("doc_id long, abstract string, comment string, doi string, journal_ref string, month string").parquet(f"{path}/meta")
     rows = docs.withColumn("month", F.regexp_replace(F.substring("published", 1, 7), "-", ""))
-    return rows.join(meta, ["month", "id"], "left").withColumn("abstract", F.coalesce("abstract", F.lit(""))).drop("month")
+    return rows.join(meta, ["month", "doc_id"], "left").withColumn("abstract", F.coalesce("abstract", F.lit(""))).drop("month")
 
 
 def find_ids(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:

@@ -145,3 +145,32 @@ def test_one_seed_is_as_in_all(many, monkeypatch):
         d = many.docs.filter(f"doc_id = {seed}").first()
         one = {tuple(r) for r in se.related(many, f"{d.title} {d.abstract}", seed).collect()}
         assert {tuple(r)[1:] for r in every if r.seed == seed} == one
+
+
+def test_related_papers_in_waves(many, monkeypatch, tmp_path):
+    """The same result from seeds in many waves, of which only the found papers' table stays."""
+    monkeypatch.setattr(bt, "RELATED_MOST", 0.3)
+    want = sorted(map(tuple, bt.related_all(many, most=30, first=3).collect()))
+    seen, write = [], bt.stored
+    monkeypatch.setattr(bt, "stored", lambda df, name, *parts: seen.append((name, write(df, name, *parts))) or seen[-1][1])
+    monkeypatch.setattr(bt, "PAIRS", 0)
+    monkeypatch.setattr(bt, "PAIRS_LEAST", 5_000)
+    assert sorted(map(tuple, bt.related_all(many, most=30, first=3).collect())) == want
+    made = [df for name, df in seen if name in ("pairs", "alive")]
+    assert len(made) >= 6 and not any(df.inputFiles() and exists(df.inputFiles()[0]) for df in made)
+
+
+def exists(file):
+    from pathlib import Path
+    from urllib.parse import unquote, urlparse
+
+    return Path(unquote(urlparse(file).path)).exists()
+
+
+def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
+    from folioscan import storage
+
+    seen, before = [], spark.conf.get(storage.CLEANUP)
+    with storage.shuffles_removed(spark):
+        seen.append(spark.conf.get(storage.CLEANUP))
+    assert seen == ["true"] and spark.conf.get(storage.CLEANUP) == before

@@ -1,6 +1,6 @@
 """Language identification by language-bitmask n-gram filters.
 
-Training counts the distinct character n-grams of sampled texts per language and keeps, for each
+Training counts the distinct character n-grams of all texts per language and keeps, for each
 language, those whose rate there is at least ``share`` of their highest rate in any language. A rate of n
 texts among t is ``n / (t + 1)``, so that a language of few texts counts for less. The
 kept n-grams, all of them, enter Bloom filters that are stored bit-sliced: slot ``s`` holds one bit per language,
@@ -38,12 +38,9 @@ LETTER = np.array([chr(c).isalpha() for c in range(0x20000)] + [True])
 
 @dataclass(frozen=True)
 class Params:
-    """``sample`` bounds the texts that train, per language."""
-
     sizes: tuple[int, ...] = (1, 3)
     slots: int = 20
     probes: int = 2
-    sample: int = 1_500
     share: float = 0.25
     clean: float = 0.001
     slack: float = 0.8
@@ -127,12 +124,9 @@ def decide(text: str | None, filters: Filters) -> tuple[str, float]:
     return filters.langs[k], float(share[k])
 
 
-def sampled(docs: DataFrame, text: str, lang: str, key: str, p: Params) -> DataFrame:
-    """(lang, x): about ``p.sample`` rows of each language, chosen by a hash of ``key``."""
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(key).alias("k"), F.col(text).alias("x"))
-    limit = rows.groupBy("lang").agg((F.least(F.lit(1.0), F.lit(p.sample) / F.count("lang")) * (1 << 32)).cast("long").alias("limit"))  # a row for each language
-    part = F.coalesce(F.pmod(F.xxhash64(F.lit(29), "k"), F.lit(1 << 32)), F.lit(0))
-    return rows.join(F.broadcast(limit), "lang").filter(part < F.col("limit")).select("lang", "x")
+def trained(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """(lang, x): the rows that train, all that have a language and a text."""
+    return docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("x"))
 
 
 def slot_words(counted: DataFrame, p: Params) -> DataFrame:
@@ -145,12 +139,12 @@ def slot_words(counted: DataFrame, p: Params) -> DataFrame:
     return masks.select("plane", "word", slot.alias("slot")).groupBy("plane", "slot").agg(F.bit_or("word").alias("word")).select("plane", "slot", "word")
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", p: Params = Params()) -> Filters:
-    """Learn filters from about ``p.sample`` rows of each language, chosen by a hash of ``key``.
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", p: Params = Params()) -> Filters:
+    """Learn filters from every row of each language.
 
     Counting and filling the slots are distributed aggregates; the driver gets the filled slots.
     """
-    rows = sampled(docs, text, lang, key, p)
+    rows = trained(docs, text, lang)
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[str, list[np.ndarray]] = {}
@@ -205,10 +199,10 @@ def detect(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
     return found.withColumn("lang_pred", F.col("_lang.lang_pred")).withColumn("score", F.col("_lang.score")).drop("_lang")
 
 
-def floors(docs: DataFrame, filters: Filters, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, float]:
+def floors(docs: DataFrame, filters: Filters, text: str = "text", lang: str = "lang") -> dict[str, float]:
     """The least score of a text in each language, learned from the texts that trained and were recognised."""
     p = filters.p
-    rows = sampled(docs, text, lang, key, p)
+    rows = trained(docs, text, lang)
     right = detect(rows, filters, "x").filter(F.col("lang_pred") == F.col("lang"))
     return {r[0]: p.slack * r[1] for r in right.groupBy("lang").agg(F.percentile("score", F.lit(p.clean))).collect()}
 

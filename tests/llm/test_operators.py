@@ -790,3 +790,12 @@ def test_parts_of_ascii_texts(text):
     assert c.plain(text) == regex.findall(public_tokenizers.PATTERN, text)
     assert bpe.of_ascii(r"\p{Lu}+|\p{N}") is None and bpe.of_ascii(r"\P{L}") is None
     assert bpe.of_ascii(r"\\p[\p{L}\]]\p{N}") == r"\\p[A-Za-z\]][0-9]"
+
+
+def test_languages_are_learned_from_every_row(spark):
+    """Each text has a word of its own, and the filters hold them all, however many texts a language has."""
+    word = lambda k: "".join(chr(0x4E00 + k // 90**j % 90) for j in range(2)) + "z"
+    rows = spark.createDataFrame([(k, word(k), "xx") for k in range(4000)], "doc_id long, text string, lang string")
+    filters = langid.fit(rows)
+    missed = [k for k in range(4000) if (g := langid.ngrams(word(k), filters.p)) is None or filters.hits(g)[0] < len(g)]
+    assert missed == []

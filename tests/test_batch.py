@@ -71,6 +71,22 @@ def test_a_log_beyond_the_candidates(spark, many, monkeypatch):
         assert [r.total_known for r in totals if r.query_id == k] == [False]
 
 
+def test_hits_that_cannot_compete_are_not_made(spark, many, monkeypatch):
+    texts = ["alpha", "beta", "alpha beta", "ti:gamma", "own3"]
+    log = bt.read_log(spark.createDataFrame(list(enumerate(texts)), "query_id int, text string"))
+
+    def found():
+        rows = bt.candidates(many, *bt.asked_terms(many, log, many.manifest.first().doc_count)).collect()
+        return {k: sorted((-r.score, r.doc_id, r.mask) for r in rows if r.query_id == k) for k in range(len(texts))}
+
+    every = found()
+    for name, value in (("CANDIDATES", 7), ("GROUP", 2), ("SPAN", 1)):
+        monkeypatch.setattr(bt, name, value)
+    few = found()
+    assert all(few[k][:7] == every[k][:7] and min(8, len(every[k])) <= len(few[k]) for k in every)
+    assert sum(map(len, few.values())) < sum(map(len, every.values())) / 2
+
+
 def test_one_scan_of_the_blocks(spark, many):
     asked = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "query_id int, text string")
     found = bt.search_log(many, asked)

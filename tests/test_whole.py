@@ -31,3 +31,19 @@ def test_notes_of_every_turn_are_searched(spark):
 def test_requests_are_debounced(spark):
     got = catalogue.QUERIES["debounced_saves"](spark, MEDIUM).count()
     assert 0 < got < 0.9 * rows_of("events", "select count(*) from events")[0][0]
+
+
+def test_identifiers_that_repeat_beyond_five_digits(spark, tmp_path):
+    """Queries on numbers differ from their SQL only in what its order leaves open: with that order whole they are equal."""
+    order, path = "order by published desc, id desc", tmp_path / "documents.parquet"
+    numbers = [k for x in range(10000, 30000) for d in range(10) if (9 * x + d) % 3500 == 0 for k in (x, 10 * x + d)]
+    con = duckdb.connect()
+    con.execute(f"copy (select {numbers}[doc_id + 1] as doc_id, * exclude doc_id from '{MEDIUM}/documents.parquet' where doc_id < {len(numbers)}) to '{path}' (format parquet)")
+    con.execute(f"create view documents as select * from '{path}'")
+    groups = con.execute(f"with {duck.DOCS} select published, id, count(*) from docs group by all having count(*) > 1").fetchall()
+    assert len(groups) > 30
+    for name in ("doc_numbering", "browse_oldest", "postings", "postings_delta", "postings_decoded"):
+        sql = catalogue.ORACLES[name]
+        assert sql.count(order) == 1
+        want = con.execute(sql.replace(order, f"{order}, source_id desc")).fetchall()
+        assert sorted(map(tuple, catalogue.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(want), name

@@ -176,6 +176,20 @@ def test_related_papers_in_waves(many, monkeypatch, tmp_path):
     assert len(made) >= 6 and not any(df.inputFiles() and exists(df.inputFiles()[0]) for df in made)
 
 
+@pytest.mark.parametrize("most", [4000, 30])
+def test_pairs_of_papers_stay_in_their_tasks(many, monkeypatch, most):
+    """Over several spans of documents: no table has more than a span's best papers of a seed."""
+    monkeypatch.setattr(bt, "RELATED_MOST", 0.3)
+    monkeypatch.setattr(bt, "SPLIT", 64)
+    seen, write = [], bt.stored
+    monkeypatch.setattr(bt, "discard", lambda df: None)
+    monkeypatch.setattr(bt, "stored", lambda df, name, *parts: seen.append(write(df, name, *parts)) or seen[-1])
+    got = sorted((r.seed, r.rank, r.doc_id, r.score) for r in bt.related_all(many, most=most).collect())
+    want = sorted(brute(many, most))
+    assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=2e-6)
+    assert max(df.count() for df in seen) <= 260 * 5 * 6
+
+
 def exists(file):
     from pathlib import Path
     from urllib.parse import unquote, urlparse

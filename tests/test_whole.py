@@ -2,7 +2,7 @@
 
 import duckdb
 
-from folioscan.plans import catalogue, duck
+from folioscan.plans import catalogue, duck, library  # noqa: F401 (library registers its queries)
 
 MEDIUM = "/root/testdata/sf0.01"
 
@@ -47,3 +47,17 @@ def test_identifiers_that_repeat_beyond_five_digits(spark, tmp_path):
         assert sql.count(order) == 1
         want = con.execute(sql.replace(order, f"{order}, source_id desc")).fetchall()
         assert sorted(map(tuple, catalogue.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(want), name
+
+
+def test_other_queries_where_identifiers_repeat(spark, tmp_path):
+    """As above: windows of abstracts, snapshots and related papers."""
+    order, path = "order by published desc, id desc", tmp_path / "documents.parquet"
+    numbers = [k for x in range(10000, 30000) for d in range(10) if (9 * x + d) % 3500 == 0 for k in (x, 10 * x + d)]
+    con = duckdb.connect()
+    con.execute(f"copy (select {numbers}[doc_id + 1] as doc_id, * exclude doc_id from '{MEDIUM}/documents.parquet' where doc_id < {len(numbers)}) to '{path}' (format parquet)")
+    con.execute(f"create view documents as select * from '{path}'")
+    for name in ("abstract_window", "snapshot_round_trip", "related_terms_all", "related_papers_all"):
+        sql = catalogue.ORACLES[name]
+        assert sql.count(order) == 1
+        want = con.execute(sql.replace(order, f"{order}, source_id desc")).fetchall()
+        assert sorted(map(repr, map(tuple, catalogue.QUERIES[name](spark, str(tmp_path)).collect()))) == sorted(map(repr, want)), name
